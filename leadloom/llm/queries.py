@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, pii, quality, substrings, topk
+from . import bpe, html, jaccard, lm_scoring, pii, quality, substrings, topk
 from .common import read_table
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    found = lm_scoring.score(read_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +47,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_substrings, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html)
+    found = (op1_lm, op3_substrings, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html)
     return {f.__name__: f for f in found}
 
 
