@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +49,20 @@ def blocks_for(df: DataFrame, text: str, bytes_each: int) -> int:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Arrow batches gathered into tables of about limit bytes of the column; each row in one table."""
+    """The rows in tables of about limit bytes of the text column: small batches gathered, large ones cut."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    room = limit
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < len(sizes):
+            # the rows up to the one that fills the table, one at least
+            end = min(len(sizes), int(np.searchsorted(sizes, done + room)) + 1)
+            held.append(batch.slice(at, end - at))
+            room -= int(sizes[end - 1]) - done
+            at, done = end, int(sizes[end - 1])
+            if room <= 0:
+                yield pa.Table.from_batches(held)
+                held, room = [], limit
     if held:
         yield pa.Table.from_batches(held)

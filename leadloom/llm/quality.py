@@ -24,9 +24,10 @@ from .common import chunks, whole_text
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Odd multipliers that mix hashes (64-bit golden ratio and its relatives).
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-LOSS_STEPS = 150
+#: Odd multipliers that mix hashes (the golden ratio's bits and well-known finalisers).
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+MIX32 = np.uint32(0x85EBCA6B)
+LOSS_STEPS = 100
 
 
 class Hashes(dict):
@@ -55,12 +56,14 @@ def features(texts: list[bytes], bits: int, chars: int) -> tuple[list[np.ndarray
         h = hashed[own]
         parts += [bucket(h, bits), bucket(h[:-1] * MIX[0] + h[1:], bits)] if len(h) else []
         word_cuts.append(word_cuts[-1] + max(0, 2 * len(h) - 1))
-    data = np.frombuffer(b"".join(texts) + bytes(chars), np.uint8).astype(np.uint64)
-    code = np.zeros(len(data) - chars, np.uint64)
+    data = np.frombuffer(b"".join(texts) + bytes(chars), np.uint8)
+    code = np.zeros(len(data) - chars, np.uint32)
     for j in range(chars):
-        code = code << np.uint64(8) | data[j : len(data) - chars + j]
+        code = (code << np.uint32(8)) | data[j : len(data) - chars + j]
+    code = (code ^ code >> np.uint32(15)) * MIX32
+    code = (code ^ code >> np.uint32(13)) * MIX32 >> np.uint32(32 - bits)
     cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return ids, words, np.concatenate([*parts, np.zeros(0, np.int64)]), np.array(word_cuts), bucket(code * MIX[0] + MIX[2], bits), cuts
+    return ids, words, np.concatenate([*parts, np.zeros(0, np.int64)]), np.array(word_cuts), code.astype(np.int32), cuts
 
 
 def mean_of(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -76,24 +79,24 @@ def margins(weights: np.ndarray, words: np.ndarray, word_cuts: np.ndarray, grams
 
 def trained(texts: list[bytes], good: np.ndarray, held: np.ndarray, bits: int, chars: int) -> np.ndarray:
     """Weights, intercept, and Platt's slope and offset."""
-    _, _, words, word_cuts, grams, cuts = features(texts, bits, chars)
     rows, cols, values = [], [], []
-    for i in range(len(texts)):
-        for of, a, b in ((words, word_cuts[i], word_cuts[i + 1]), (grams, cuts[i], max(cuts[i], cuts[i + 1] - chars + 1))):
-            if b > a:
-                c, n = np.unique(of[a:b], return_counts=True)
-                rows.append(np.full(len(c), i))
-                cols.append(c)
-                values.append(n / (b - a))
-    row, col, value = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((rows, np.int64), (cols, np.int64), (values, np.float64)))
+    for i, text in enumerate(texts):
+        _, _, words, _, grams, _ = features([text], bits, chars)
+        for of in (words, grams[: max(0, len(text) - chars + 1)]):
+            if len(of):
+                c, n = np.unique(of, return_counts=True)
+                rows.append(np.full(len(c), i, np.int32))
+                cols.append(c.astype(np.int32))
+                values.append((n / len(of)).astype(np.float32))
+    row, col, value = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((rows, np.int32), (cols, np.int32), (values, np.float32)))
     fit = ~held
     share = np.where(good, 0.5 / max(1, (good & fit).sum()), 0.5 / max(1, (~good & fit).sum())) * fit
-    weights, intercept = np.zeros(1 << bits), 0.0
-    seen, seen0 = np.full(1 << bits, 1e-8), 1e-8
+    weights, intercept = np.zeros(1 << bits, np.float32), 0.0
+    seen, seen0 = np.full(1 << bits, 1e-8, np.float32), 1e-8
     for _ in range(LOSS_STEPS):  # Adagrad on the balanced logistic loss
         z = np.bincount(row, weights[col] * value, len(texts)) + intercept
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        step = np.bincount(col, error[row] * value, 1 << bits) + 1e-7 * weights
+        step = (np.bincount(col, error.astype(np.float32)[row] * value, 1 << bits) + 1e-7 * weights).astype(np.float32)
         seen += step * step
         seen0 += error.sum() ** 2
         weights -= 2.0 * step / np.sqrt(seen)
@@ -110,7 +113,7 @@ def trained(texts: list[bytes], good: np.ndarray, held: np.ndarray, bits: int, c
     return np.concatenate([weights, [intercept, slope, offset]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes | None:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes | None:
     """The model as bytes; None without labels of both kinds. The sample has train_rows labelled rows, the first by hash of id."""
     sample = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("good")).where("doc_id IS NOT NULL AND good IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(train_rows)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
@@ -184,13 +187,13 @@ def judged(model: bytes | None, docs: DataFrame, bits: int, chars: int, threshol
     return plain.mapInArrow(run, RESULT + extra)
 
 
-def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 4000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chunk_bytes: int = 8 << 20) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 2000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per document with its counts, probability and verdict."""
     model = fit(docs, labels, train_rows, bits, chars, id_col, text_col, label_col)
     return judged(model, docs, bits, chars, threshold, id_col, text_col, [], chunk_bytes)
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 4000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chunk_bytes: int = 8 << 20) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, train_rows: int = 2000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chunk_bytes: int = 4 << 20) -> DataFrame:
     """The documents that pass, all columns as they were."""
     model = fit(docs, labels, train_rows, bits, chars, id_col, text_col, label_col)
     found = judged(model, docs, bits, chars, threshold, id_col, text_col, docs.columns, chunk_bytes)
