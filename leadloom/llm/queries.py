@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, lm_scoring, pii, quality, substrings, topk
+from . import bpe, html, jaccard, lm_scoring, packing, pii, quality, substrings, topk
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -47,7 +51,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm, op3_substrings, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html)
+    found = (op1_lm, op3_substrings, op4_packing, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html)
     return {f.__name__: f for f in found}
 
 
