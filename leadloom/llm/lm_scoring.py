@@ -11,8 +11,8 @@ distinct strings of ORDER + 1 bytes and its distinct words, with their counts in
 documents. Counts are added up over all blocks. A string's probability needs the nodes of its own
 contexts only: all of order two and more share their last two bytes, by which the strings are
 dealt out, and the nodes of order one and zero are at most 257 * 256. Each block gets back the
-probabilities of its strings and the counts of words that other blocks have too, and scores its
-documents.
+probabilities of its strings and the counts of the words that other blocks have too, and scores
+its documents.
 
 Defined results: a null or empty text is its end alone; rows are scored one by one, repeated ones
 and those with null ids too (a null id is hashed as the empty text); with no training document all
@@ -21,7 +21,7 @@ symbols are equally likely; other columns are ignored. Words are told apart by 6
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks_for, stored, whole_text
+from .common import LOWER, blocks_for, chunks, stored, whole_text
 
 ORDER = 4
 #: No byte of UTF-8: the pads before a text and its end.
@@ -60,9 +60,42 @@ def merged_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return keys, np.bincount(where, np.concatenate([np.zeros(0, np.int64), *(n for _, n in held)]), len(keys)).astype(np.int64)
 
 
+def packed(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """block, rows: the documents of each chunk and block as one compressed Arrow stream; texts shuffle at a third of their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text", chunk_bytes):
+            block = chunk.column("block").to_numpy()
+            chunk = chunk.select(["doc_id", "learns", "text"])
+            numbers, streams = np.unique(block), []
+            for number in numbers.tolist():
+                own, sink = chunk.take(pa.array(np.flatnonzero(block == number))), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(own.combine_chunks())
+                streams.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(streams, pa.binary())], ["block", "rows"])
+
+    return docs.select("block", "doc_id", "learns", "text").mapInArrow(run, "block int, rows binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.Table]:
+    for stream in table.column("rows"):
+        yield pa.ipc.open_stream(stream.as_buffer()).read_all()
+
+
+def block_words(tables: Iterable[pa.Table]) -> Iterator[tuple[int | None, bool, bytes, np.ndarray]]:
+    """id, whether it trains, text and word hashes of each of a block's documents."""
+    known = Hashes()
+    for table in tables:
+        for doc, learns, text in zip(*(table.column(c) for c in ("doc_id", "learns", "text")), strict=True):
+            text = text.as_py().encode().translate(LOWER)
+            words = text.split()
+            words.append(LAST)
+            yield doc.as_py(), learns.as_py(), text, np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 def named(table: pa.Table) -> pa.Table:
     """A block's distinct words and strings, with their counts in its training documents."""
-    known = Hashes()
     held: dict[int, list] = {WORD: [], STRING: []}
     waiting: dict[tuple[int, bool], list[np.ndarray]] = {(k, l): [] for k in held for l in (False, True)}
     size = 0
@@ -75,11 +108,8 @@ def named(table: pa.Table) -> pa.Table:
         for kind in held:
             held[kind] = [merged_counts(held[kind])]
 
-    for text, learns in zip(table.column("text"), table.column("learns").to_pylist(), strict=True):
-        text = text.as_py().encode().translate(LOWER)
-        words = text.split()
-        words.append(LAST)
-        waiting[WORD, learns].append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    for _, learns, text, words in block_words(unpacked(table)):
+        waiting[WORD, learns].append(words)
         waiting[STRING, learns].append(strings(text))
         size += len(text)
         if size > 3 << 20:
@@ -92,6 +122,28 @@ def named(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(n, block, np.int32)), "kind": pa.array(np.concatenate([np.full(len(k), kind, np.int8) for kind, k, _ in parts])), "key": pa.array(np.concatenate([k for _, k, _ in parts])), "n": pa.array(np.concatenate([c for _, _, c in parts]))})
 
 
+def word_totals(words: DataFrame) -> DataFrame:
+    """block, key, total of the words that several blocks have; and in rows without a block, sums over the rest:
+    total (of all training tokens) and key (how many distinct words they are). words: block, key, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], 1) for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        held.clear()
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]]))
+        totals, sizes = np.add.reduceat(rows[:, 2], first), np.diff(np.append(first, len(rows)))
+        several = np.repeat(sizes > 1, sizes)
+        names = ["block", "key", "total"]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[several, 0].astype(np.int32)), pa.array(rows[several, 1]), pa.array(np.repeat(totals, sizes)[several])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([int((totals > 0).sum())], pa.int64()), pa.array([int(totals.sum())], pa.int64())], names)
+
+    # A word has at most one row for each block.
+    return words.select("block", "key", "n").repartition("key").mapInArrow(run, "block int, key bigint, total bigint")
+
+
 class Level:
     """The nodes of one order: per context the total and number of its symbols; per string its count."""
 
@@ -168,42 +220,40 @@ RESULT = "doc_id bigint, learns boolean, n_tokens bigint, n_known bigint, logs d
 
 
 def scored(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """The sums of a block's documents. found: kind, key, value of its words and strings."""
-    known = Hashes()
+    """The sums of a block's documents. found: kind, key, value of its strings, and of its words that other blocks have too."""
+    own = list(block_words(unpacked(docs)))
+    # The counts of the block's own words are its own training documents', but for those that were found elsewhere too.
+    words = np.unique(np.concatenate([w for *_, w in own]))
+    counts = np.zeros(len(words))
+    for _, learns, _, w in own:
+        if learns:
+            np.add.at(counts, np.searchsorted(words, w), 1)
     kind, key, value = (found.column(c).to_numpy() for c in ("kind", "key", "value"))
-    table = {}
-    for k in (WORD, STRING):
-        own = kind == k
-        order = np.argsort(key[own])
-        table[k] = key[own][order], value[own][order]
-    words, counts = table[WORD]
+    counts[np.searchsorted(words, key[kind == WORD])] = value[kind == WORD]
     logs = np.log10(counts + 0.5)
-    codes, chances = table[STRING]
+    codes, chances = key[kind == STRING], value[kind == STRING]
+    order = np.argsort(codes)
+    codes, chances = codes[order], chances[order]
     rows = []
-    for text in docs.column("text"):
-        text = text.as_py().encode().translate(LOWER)
-        own = text.split()
-        own.append(LAST)
-        h = np.sort(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
-        at = np.searchsorted(words, h)
+    for doc, learns, text, w in own:
+        at = np.searchsorted(words, w)
         # Order doesn't matter in a sum, and sorted strings are found faster.
         place = np.searchsorted(codes, np.sort(strings(text)))
-        rows.append((len(own), int((counts[at] > 0).sum()), float(logs[at].sum()), float(chances[place].sum())))
-    n = list(zip(*rows, strict=True))
-    return pa.table({"doc_id": docs.column("doc_id"), "learns": docs.column("learns"), "n_tokens": pa.array(n[0], pa.int64()), "n_known": pa.array(n[1], pa.int64()), "logs": pa.array(n[2]), "score": pa.array(n[3])})
+        rows.append((doc, learns, len(w), int((counts[at] > 0).sum()), float(logs[at].sum()), float(chances[place].sum())))
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "learns", "n_tokens", "n_known", "logs", "score"])
 
 
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 28 << 20) -> DataFrame:
     """doc_id, learns, n_tokens, n_known, train_tokens, base_score, score of each row; learns tells which rows train."""
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), whole_text(text_col).alias("text"))
     blocks = blocks_for(own, "text", block_bytes)
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = packed(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")))
     asked = stored(dealt.groupBy("block").applyInArrow(named, "block int, kind tinyint, key bigint, n bigint"), "asked")
-    words = asked.where(f"kind = {WORD}").select("block", "key", "n")
-    counts = stored(words.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).where("blocks > 1 OR total > 0"), "words")
-    totals = counts.where("total > 0").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    word_rows = words.join(counts.where("blocks > 1").select("key", "total"), "key", "left").select("block", F.lit(WORD).cast("tinyint").alias("kind"), "key", F.coalesce("total", "n").cast("double").alias("value"))
+    words = stored(word_totals(asked.where(f"kind = {WORD}")), "words")
+    totals = words.where("block IS NULL").agg(F.sum("total").alias("n"), F.sum("key").alias("v")).first()
+    n, v = totals["n"] or 0, totals["v"] or 0
+    word_rows = words.where("block IS NOT NULL").select("block", F.lit(WORD).cast("tinyint").alias("kind"), "key", F.col("total").cast("double").alias("value"))
     texts = asked.where(f"kind = {STRING}").select("block", "key", "n")
     model = modelled(stored(texts.groupBy("key").agg(F.sum("n").alias("n")), "strings"))
     string_rows = texts.join(model, "key").select("block", F.lit(STRING).cast("tinyint").alias("kind"), "key", "value")
