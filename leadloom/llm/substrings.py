@@ -32,6 +32,8 @@ from .common import chunks, stored, whole_text
 GRAM = 32
 #: Contexts of an anchor in a shard; an anchor with more is dealt over several.
 SHARD = 512
+#: Windows of a bucket in which shards are merged, about.
+BUCKET = 1 << 15
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -184,8 +186,13 @@ def repeats_of(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return hit, group, starts, counts
 
 
-def sharded(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """rid, first, last of the repeated windows of lone contexts; and, of dealt anchors, one window of each class (with its digest)."""
+#: A merged window: its document, start, digest, and whether its shard has it once.
+WINDOW = np.dtype([("rid", "<i8"), ("first", "<i4"), ("w1", "<i8"), ("w2", "<i8"), ("lone", "?")])
+
+
+def sharded(pieces: DataFrame, length: int, shard_bytes: int, buckets: int) -> DataFrame:
+    """rid, first, last of the repeated windows of lone contexts; and, of dealt anchors, one window of each class,
+    packed by bucket of its digest: a row for each shard and bucket."""
     dealt = pieces.repartition(F.col("h"), F.col("salt")).sortWithinPartitions("h", "salt")
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -204,50 +211,55 @@ def sharded(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of(batches):
-            segments = [r["bytes"] for r in rows]
-            hit, group, starts, counts = repeats_of(segments, length)
+            hit, group, starts, counts = repeats_of([r["bytes"] for r in rows], length)
             out: list[tuple] = []
+            windows: list[tuple] = []
             named: set[tuple] = set()
-            for row, text, at, n in zip(rows, segments, starts.tolist(), counts.tolist(), strict=True):
+            for row, at, n in zip(rows, starts.tolist(), counts.tolist(), strict=True):
                 own = hit[at : at + n]
                 if row["n"] == 1:
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
-                    out += [(row["rid"], row["first"] + a, row["first"] + b - 1, None, None, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                    out += [(row["rid"], row["first"] + a, row["first"] + b - 1, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 if row["salt"]:
                     for j in range(n):
                         g = (row["h"], row["salt"], int(group[at + j]))
-                        if g in named:
-                            continue
-                        named.add(g)
-                        digest = xxhash.xxh3_128_intdigest(text[j : j + length])
-                        lone = row["n"] == 1 and not own[j]
-                        out.append((row["rid"], row["first"] + j, row["first"] + j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, row["salt"], lone))
+                        if g not in named:
+                            named.add(g)
+                            digest = xxhash.xxh3_128_intdigest(row["bytes"][j : j + length])
+                            windows.append((row["rid"], row["first"] + j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, row["n"] == 1 and not own[j]))
+            if windows:
+                packed = np.array(windows, WINDOW)
+                bucket = packed["w1"] % buckets
+                order = np.lexsort((packed["w1"], bucket))
+                for part in np.split(packed[order], np.flatnonzero(np.diff(bucket[order])) + 1):
+                    out.append((None, None, None, int(part["w1"][0] % buckets), part.tobytes()))
             if out:
-                names = ["rid", "first", "last", "w1", "w2", "shard", "lone"]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rid", "first", "last", "bucket", "windows"])
 
-    return dealt.select("h", "salt", "rid", "first", "n", "bytes").mapInArrow(run, "rid bigint, first int, last int, w1 bigint, w2 bigint, shard bigint, lone boolean")
+    return dealt.select("h", "salt", "rid", "first", "n", "bytes").mapInArrow(run, "rid bigint, first int, last int, bucket bigint, windows binary")
 
 
-def merged(windows: DataFrame) -> DataFrame:
-    """rid, first, last of the lone windows that another shard has too."""
+def merged(shards: DataFrame) -> DataFrame:
+    """rid, first, last of the lone windows that another shard has too. shards: bucket, windows (sorted by digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        key = np.stack([table.column(c).to_numpy() for c in ("w1", "w2")], 1).astype(np.int64)
-        key = np.ascontiguousarray(key).view([("a", np.int64), ("b", np.int64)]).ravel()
-        order = np.argsort(key, order=("a", "b"))
-        all_first, all_key = key["a"][order], key["b"][order]
-        lone = np.flatnonzero(table.column("lone").to_numpy(zero_copy_only=False))
-        # Each lone window is looked for by its digest's first half, then among those few by the second.
-        low, high = (np.searchsorted(all_first, key["a"][lone], side) for side in ("left", "right"))
-        found = [i for i, a, b in zip(lone.tolist(), low.tolist(), high.tolist(), strict=True) if b - a > 1 and int((all_key[a:b] == key["b"][i]).sum()) > 1]
-        yield from table.select(["rid", "first", "last"]).take(pa.array(found, pa.int64())).combine_chunks().to_batches()
-
-    return windows.repartition("w1").mapInArrow(run, "rid bigint, first int, last int")
+        lists: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                lists.setdefault(bucket, []).append(np.frombuffer(packed, WINDOW))
+        for parts in lists.values():
+            joined = np.concatenate(parts)
+            joined = joined[np.lexsort((joined["w2"], joined["w1"]))]
+            lone = joined[joined["lone"]]
+            # Each lone window is looked for by its digest's first half, and then among the few by the second.
+            low, high = (np.searchsorted(joined["w1"], lone["w1"], side) for side in ("left", "right"))
+            found = [i for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b - a > 1 and int((joined["w2"][a:b] == lone["w2"][i]).sum()) > 1]
+            if found:
+                first = pa.array(lone["first"][found])
+                yield pa.RecordBatch.from_arrays([pa.array(lone["rid"][found]), first, first], ["rid", "first", "last"])
+
+    return shards.repartition("bucket").mapInArrow(run, "rid bigint, first int, last int")
 
 
 def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) -> DataFrame:
@@ -259,6 +271,9 @@ def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) ->
     kinds = stored(unlike.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "kinds")
     copies = unlike.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("rid", "first", "last")
     many = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
+    # A context has about as many windows as anchors are apart: half a window's grams.
+    hot = many.where(F.col("kinds") > SHARD).agg(F.sum("kinds").alias("n")).first()["n"] or 0
+    buckets = 1 + hot * (length - GRAM) // 2 // BUCKET
     salt = F.when(F.col("kinds") > SHARD, 1 + F.pmod("c", F.ceil(F.col("kinds") / SHARD))).otherwise(0)
     asked = kinds.join(many, "h").select("h", salt.cast("bigint").alias("salt"), "n", "one.rid", "one.first", "one.last")
     per_text = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "salt", "n", "first", "last")).alias("asked"))
@@ -273,8 +288,8 @@ def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "salt", "rid", "first", "n", "bytes"])
 
     pieces = docs.join(per_text, "rid").select("rid", "text", "asked").mapInArrow(cut, "h bigint, salt bigint, rid bigint, first int, n bigint, bytes binary")
-    results = stored(sharded(pieces, length, shard_bytes), "suffixes")
-    runs = again.where("alike").select("rid", "first", "last").union(copies).union(results.where("w1 IS NULL").select("rid", "first", "last")).union(merged(results.where("w1 IS NOT NULL").select("rid", "first", "last", "w1", "w2", "lone")))
+    results = stored(sharded(pieces, length, shard_bytes, buckets), "suffixes")
+    runs = again.where("alike").select("rid", "first", "last").union(copies).union(results.where("bucket IS NULL").select("rid", "first", "last")).union(merged(results.where("bucket IS NOT NULL").select("bucket", "windows")))
     return runs.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
