@@ -156,20 +156,22 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_
         for chunk in chunks(batches, "text", chunk_bytes):
             words = Words()
             docs_words = [words.of(t) for b in chunk.column("text").chunks for t in b.to_pylist()]
-            ids, cuts = table.replay([w.encode() for w in words])
-            as_text, decoded = [], []
+            listed, pieces = words.words()
+            ids, cuts = table.replay([w.encode() for w in listed])
+            as_text, decoded, sizes = [], [], []
             ends = cuts.tolist()
             flat = ids.tolist()
-            for k in range(len(words)):
-                own = flat[ends[k] : ends[k + 1]]
-                as_text.append(" ".join(map(str, own)).encode())
+            for piece in pieces:
+                own = [i for k in piece for i in flat[ends[k] : ends[k + 1]]]
+                as_text.append("".join(f"{i} " for i in own).encode())
                 decoded.append(b"".join(map(table.bytes.__getitem__, own)))
-            counts = np.diff(cuts)
+                sizes.append(len(own))
+            counts = np.array(sizes, np.int64)
             n, hashed, back = [], [], []
             for own in docs_words:
                 n.append(int(counts[own].sum()))
                 own = own.tolist()
-                hashed.append(hashlib.sha256(b" ".join(map(as_text.__getitem__, own))).hexdigest())
+                hashed.append(hashlib.sha256(b"".join(map(as_text.__getitem__, own))[:-1]).hexdigest())
                 back.append(hashlib.sha256(b"".join(map(decoded.__getitem__, own))).hexdigest())
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(hashed), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -184,8 +186,10 @@ def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", te
         for chunk in chunks(batches, "text", chunk_bytes):
             words = Words()
             docs_words = [words.of(t) for b in chunk.column("text").chunks for t in b.to_pylist()]
-            ids, cuts = table.replay([w.encode() for w in words])
-            out = [np.concatenate([ids[cuts[w] : cuts[w + 1]] for w in own.tolist()]) if len(own) else ids[:0] for own in docs_words]
+            listed, pieces = words.words()
+            ids, cuts = table.replay([w.encode() for w in listed])
+            coded = [np.concatenate([ids[:0], *(ids[cuts[k] : cuts[k + 1]] for k in piece)]) for piece in pieces]
+            out = [np.concatenate([coded[w] for w in own.tolist()]) for own in docs_words]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")

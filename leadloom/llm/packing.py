@@ -19,6 +19,7 @@ one, so are null ids; an empty table gives no sequences; other columns are ignor
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +42,7 @@ GAP, STEPS = 2e-3, 400
 
 @lru_cache(maxsize=2)
 def tokenizer(file: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
     found = Tokenizer.from_file(file)
     found.encode_special_tokens = True  # their strings in a text are ordinary text
     return found
@@ -57,10 +59,11 @@ def tokenised(docs: DataFrame, file: str | None, size: int, chunk_bytes: int) ->
         for chunk in chunks(batches, "text", chunk_bytes):
             words = Words()
             docs_words = [words.of(t) for b in chunk.column("text").chunks for t in b.to_pylist()]
-            ids = []
-            listed = list(words)
+            listed, pieces = words.words()
+            coded = []
             for k in range(0, len(listed), 20_000):
-                ids += [np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch(listed[k : k + 20_000], add_special_tokens=False)]
+                coded += [np.array(e.ids, "<u4").tobytes() for e in encoder.encode_batch(listed[k : k + 20_000], add_special_tokens=False)]
+            ids = [b"".join(map(coded.__getitem__, piece)) for piece in pieces]
             end = np.array([END_ID], "<u4").tobytes()
             tokens, full, tails = [], [], []
             for own in docs_words:
