@@ -32,8 +32,8 @@ from .common import LOWER, chunks, stored, whole_text
 from .components import labels
 
 GOLD, FMIX1, FMIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
-#: Below this size every shingle is a block of its own.
-SINGLE = 64
+#: Below this size blocks are so many that each shingle is alone in its own.
+SINGLE = 1024
 #: Signatures whose order is known by how common they are; the others count as rare.
 COMMON = 100_000
 
@@ -68,20 +68,26 @@ def widest_difference(n: int) -> int:
     return (n + n * 5 // 4) // 9
 
 
-def signatures(own: np.ndarray) -> Iterator[np.ndarray]:
-    """The set's signatures in its size band, and in the next where a linked set may lie there."""
+def prefix_length(n: int, single: bool) -> int:
+    """So many first signatures of a set that a linked one has one of them: one more than can be unlike. Where
+    shingles are alone in their blocks, only the set's own excess of a fifth at most can be."""
+    return (n // 5 if single else widest_difference(n)) + 1
+
+
+def signatures(own: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+    """The set's signatures in its size band, and in the next where a linked set may lie there; and whether shingles are alone."""
     n = len(own)
     bands = sorted({0 if m < SINGLE else int(m).bit_length() + 1 >> 1 for m in (n, n * 5 // 4)})
     for band in bands:
         if not band:
-            yield mixed(own ^ FMIX1)
+            yield True, mixed(own ^ FMIX1)
             continue
         bits = 2 * band  # 4 ** band blocks, at least as many as the band's largest set has elements
         block = own >> np.uint64(64 - bits)
         begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         parity = np.bitwise_xor.reduceat(mixed(own ^ GOLD), begins)
         some = parity != 0
-        yield mixed(parity[some] ^ (block[begins][some] + np.uint64(band << 56)) * GOLD)
+        yield False, mixed(parity[some] ^ (block[begins][some] + np.uint64(band << 56)) * GOLD)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -114,7 +120,7 @@ def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
                 classes.append(k if len(own) else None)
                 sketches.append(sketch(own) if len(own) and k not in seen else None)
                 if len(own) and k not in seen:
-                    held += signatures(own)
+                    held += [sig for _, sig in signatures(own)]
                 seen.add(k)
             found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             common = n > 1
@@ -148,12 +154,12 @@ def prefixes(docs: DataFrame, words: int, common: tuple[bytes, bytes], chunk_byt
                 if not len(own) or (k := class_of(own)) in seen:
                     continue
                 seen.add(k)
-                for sig in signatures(own):
+                for single, sig in signatures(own):
                     often = np.zeros(len(sig), np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, sig), len(known) - 1)
                         often = np.where(known[at] == sig, times[at], 0)
-                    first = np.lexsort((sig, often))[: widest_difference(len(own)) + 1]
+                    first = np.lexsort((sig, often))[: prefix_length(len(own), single)]
                     sigs.append(sig[first].view(np.int64))
                     classes.append(np.full(len(first), k))
                     sizes.append(np.full(len(first), len(own)))
@@ -185,6 +191,12 @@ def shared_only(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, k bigint, n bigint")
 
 
+def with_lone(members: DataFrame) -> DataFrame:
+    """Adds lone: how many of a class's first signatures no other class has among its own. It serves to choose pivots."""
+    count = members.groupBy("k").agg(F.count("*").alias("shared"))
+    return members.join(count, "k").withColumn("lone", F.col("n") / 5 - F.col("shared")).select("sig", "k", "n", "lone")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """k, elements of the wanted classes (k, doc_id: one document of each), once for each row of that document."""
     texts = docs.join(wanted.select(F.col("doc_id").alias("_of"), F.col("k")), F.col("doc_id").eqNullSafe(F.col("_of")))
@@ -231,20 +243,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def candidates(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of members and their group's pivots; and the members that are no pivots, for the next round.
 
-    members has sig, k, n, label. Groups of up to 2 * pivots classes meet whole.
+    members has sig, k, n, lone, label. A group's first pivot is the class with the fewest
+    signatures of its own, the likeliest to be linked; by a lottery over classes where several have, so
+    that groups of much the same classes have the same; groups of up to 2 * pivots meet whole.
     """
-    groups = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("k").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    open_ = members.join(groups.select("sig", "size", "least"), "sig")
-    lot = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
-    chosen = (F.col("size") <= 2 * pivots) | (F.col("k") == F.col("least")) | (lot * F.col("size") < pivots * 1_000_000)
-    open_ = stored(open_.select("sig", "k", "n", "label", chosen.alias("pivot")), "groups")
+    lot = F.xxhash64("k")
+    groups = members.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.struct("lone", lot.alias("lot"), "k"))["k"].alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    open_ = members.join(groups.select("sig", "size", "first"), "sig")
+    share = F.pmod(lot, F.lit(1_000_000)) * F.col("size") < pivots * 1_000_000
+    chosen = (F.col("size") <= 2 * pivots) | (F.col("k") == F.col("first")) | (share & F.lit(pivots > 1))
+    open_ = stored(open_.select("sig", "k", "n", "lone", "label", chosen.alias("pivot")), "groups")
     pivot = open_.where("pivot").select("sig", F.col("k").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
     met = open_.join(pivot, "sig").where("label != p_label AND 100 * least(n, p_n) >= 80 * greatest(n, p_n)")
     pairs = met.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
-    return pairs, open_.where("NOT pivot").select("sig", "k", "n")
+    return pairs, open_.where("NOT pivot").select("sig", "k", "n", "lone")
+
 
+def nearer(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """k, label: each linked class takes the least label of its neighbours and itself; labels are their own at first.
 
-def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
+    Alike labels mean one component. That they may lag behind only makes for more pairs to verify.
+    """
+    both = links.select(F.col("a").alias("k"), F.col("b").alias("other")).union(links.select(F.col("b").alias("k"), F.col("a").alias("other")))
+    if known is None:
+        return both.groupBy("k").agg(F.least(F.col("k"), F.min("other")).alias("label"))
+    seen = both.join(known.select(F.col("k").alias("other"), "label"), "other").select("k", "label").union(known)
+    return seen.groupBy("k").agg(F.min("label").alias("label"))
+
+
+def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id that links lead to)."""
     if percent < 80:
         raise ValueError("the size bands hold for a similarity of 80 percent or more")
@@ -255,29 +282,30 @@ def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     ordered = (np.array([s for s, _ in top], np.uint64).tobytes(), np.array([t for _, t in top], np.int64).tobytes())
     of_docs = survey.where("n IS NOT NULL").select("doc_id", "n", "k", "sketch")
     classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    members = stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "members")
-    found: DataFrame | None = None
+    members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared")), "members")
     links: DataFrame | None = None
     sets: DataFrame | None = None
+    known: DataFrame | None = None
     while True:
-        marked = members.withColumn("label", F.col("k")) if found is None else members.join(found.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        marked = members.withColumn("label", F.col("k")) if known is None else members.join(known, "k", "left").withColumn("label", F.coalesce("label", "k"))
         pairs, members = candidates(marked, pivots)
         pairs = stored(near_by_sketch(pairs, classes), "pairs")
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("k"), "k", "left_anti")
         wanted = stored(wanted.join(classes.select("k", "doc_id"), "k"), "wanted")
-        if wanted.limit(1).count():
+        if not wanted.isEmpty():
             more = stored(set_table(plain, wanted, words), "sets")
             sets = more if sets is None else sets.union(more)
-        if sets is not None:
+        if sets is not None and not pairs.isEmpty():
             near = stored(verified(pairs, sets, percent), "links")
-            if near.limit(1).count():
+            if not near.isEmpty():
                 links = near if links is None else links.union(near)
-                found = labels(links)
-        if not members.limit(1).count():
+                known = stored(nearer(nearer(None, links), links), "labels")
+        if members.isEmpty():
             break
-        pivots *= 4
+        pivots *= 8
+    found = None if links is None else labels(links)
     least = classes.select("k", "doc_id") if found is None else classes.join(found.select(F.col("node").alias("k"), "label"), "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))
     if found is not None:
         lowest = least.groupBy("label").agg(F.min("doc_id").alias("lowest"))
