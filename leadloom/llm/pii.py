@@ -256,8 +256,12 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def fit(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> bytes | None:
     """The field's weights, learned from train_rows texts that have a node, the first by hash; None if there is none."""
-    text = whole_text(text_col)
-    picked = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", F.xxhash64("t").alias("h")).orderBy("h").limit(train_rows).select("t")
+    rows = docs.select(docs[id_col].cast("bigint").alias("i"), whole_text(text_col).alias("t")).where(F.col("t").rlike("[0-9@]")).select("t", F.xxhash64("i", "t").alias("h"))
+    # Only hashes are ranked; the texts up to the last of them are few, repeated rows count once.
+    last = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h").alias("h")).first()["h"]
+    if last is None:
+        return None
+    picked = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("t").alias("t")).select("t")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column("t").to_pylist()]
@@ -273,7 +277,7 @@ def fit(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_co
 RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
 
-def find(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: the base counts and the digest of the base spans; and all spans."""
     model = fit(docs, train_rows, id_col, text_col)
 
@@ -298,7 +302,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def mask(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
+def mask(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """The documents with every span masked; a null text stays null, other columns stay as they are."""
     model = fit(docs, train_rows, id_col, text_col)
     place = docs.columns.index(text_col)
