@@ -7,7 +7,8 @@ difference, and that is at most a ninth of both sizes at a similarity of 0.8. By
 principle two linked documents share one of each one's first D + 1 signatures in any common order;
 the order is rarest first, so that what many documents share is hardly ever joined on. A wider
 parity sketch, whose Hamming distance bounds the difference from below too, drops most false
-candidates; what is left is verified on whole sets.
+candidates, folded to FOLDED bits within the pigeonhole join and at its full width after it; what
+is left is verified on whole sets.
 
 A signature's group is never paired out: in each round its members meet a few pivots, linked ones
 join a component, and a pivot that has met its group leaves. Rounds end when every group lies in
@@ -34,6 +35,8 @@ from .components import labels
 GOLD, FMIX1, FMIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 #: Below this size blocks are so many that each shingle is alone in its own.
 SINGLE = 1024
+#: Bits of the sketch that members carry into the pigeonhole join, in two integers.
+FOLDED = 128
 #: Signatures whose order is known by how common they are; the others count as rare.
 COMMON = 100_000
 
@@ -96,6 +99,14 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
 
+def folded(parity: bytes) -> np.ndarray:
+    """The sketch at FOLDED bits, as 64-bit integers."""
+    x = np.frombuffer(parity, np.uint8)
+    while len(x) * 8 > FOLDED:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def far_apart(a: bytes, b: bytes, n: int, m: int) -> bool:
     """Whether the sketches' distance alone rules a link out."""
     x, y = (np.frombuffer(s, np.uint8) for s in ((a, b) if len(a) >= len(b) else (b, a)))
@@ -109,17 +120,19 @@ def class_of(own: np.ndarray) -> int:
 
 
 def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
-    """Per document its class, size and sketch; and per chunk the signatures found twice or more, with counts."""
+    """Per document its class, size and sketch, whole and folded; and per chunk the signatures found twice or more, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", chunk_bytes):
-            sizes, classes, sketches, held, seen = [], [], [], [], set()
+            sizes, classes, sketches, folds, held, seen = [], [], [], [], [], set()
             for own in shingle_sets((t for b in chunk.column("text").chunks for t in b.to_pylist()), words):
                 k = class_of(own)
                 sizes.append(len(own))
                 classes.append(k if len(own) else None)
-                sketches.append(sketch(own) if len(own) and k not in seen else None)
-                if len(own) and k not in seen:
+                new = len(own) > 0 and k not in seen
+                sketches.append(sketch(own) if new else None)
+                folds.append(folded(sketches[-1]).tolist() if new else [None, None])
+                if new:
                     held += [sig for _, sig in signatures(own)]
                 seen.add(k)
             found, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
@@ -132,13 +145,14 @@ def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
                     pa.concat_arrays([pa.array(sizes, pa.int64()), none]),
                     pa.concat_arrays([pa.array(classes, pa.int64()), none]),
                     pa.array([*sketches, *[None] * len(none)], pa.binary()),
+                    *(pa.array([*(f[i] for f in folds), *[None] * len(none)], pa.int64()) for i in (0, 1)),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(found[common].view(np.int64))]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(n[common], pa.int64())]),
                 ],
-                ["doc_id", "n", "k", "sketch", "sig", "times"],
+                ["doc_id", "n", "k", "sketch", "f0", "f1", "sig", "times"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k bigint, sketch binary, sig bigint, times bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, k bigint, sketch binary, f0 bigint, f1 bigint, sig bigint, times bigint")
 
 
 def prefixes(docs: DataFrame, words: int, common: tuple[bytes, bytes], chunk_bytes: int) -> DataFrame:
@@ -191,10 +205,11 @@ def shared_only(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, k bigint, n bigint")
 
 
-def with_lone(members: DataFrame) -> DataFrame:
-    """Adds lone: how many of a class's first signatures no other class has among its own. It serves to choose pivots."""
-    count = members.groupBy("k").agg(F.count("*").alias("shared"))
-    return members.join(count, "k").withColumn("lone", F.col("n") / 5 - F.col("shared")).select("sig", "k", "n", "lone")
+def with_lone(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Adds lone, how many of a class's first signatures no other class has among its own, which serves to choose
+    pivots, and the class's folded sketch."""
+    count = members.groupBy("k").agg(F.count("*").alias("shared")).join(classes.select("k", "f0", "f1"), "k")
+    return members.join(count, "k").withColumn("lone", F.col("n") / 5 - F.col("shared")).select("sig", "k", "n", "lone", "f0", "f1")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -243,7 +258,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def candidates(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of members and their group's pivots; and the members that are no pivots, for the next round.
 
-    members has sig, k, n, lone, label. A group's first pivot is the class with the fewest
+    members has sig, k, n, lone, f0, f1, label. A group's first pivot is the class with the fewest
     signatures of its own, the likeliest to be linked; by a lottery over classes where several have, so
     that groups of much the same classes have the same; groups of up to 2 * pivots meet whole.
     """
@@ -252,11 +267,12 @@ def candidates(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
     open_ = members.join(groups.select("sig", "size", "first"), "sig")
     share = F.pmod(lot, F.lit(1_000_000)) * F.col("size") < pivots * 1_000_000
     chosen = (F.col("size") <= 2 * pivots) | (F.col("k") == F.col("first")) | (share & F.lit(pivots > 1))
-    open_ = stored(open_.select("sig", "k", "n", "lone", "label", chosen.alias("pivot")), "groups")
-    pivot = open_.where("pivot").select("sig", F.col("k").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
-    met = open_.join(pivot, "sig").where("label != p_label AND 100 * least(n, p_n) >= 80 * greatest(n, p_n)")
+    open_ = stored(open_.select("sig", "k", "n", "lone", "f0", "f1", "label", chosen.alias("pivot")), "groups")
+    pivot = open_.where("pivot").select("sig", F.col("k").alias("p"), F.col("n").alias("p_n"), F.col("f0").alias("p_f0"), F.col("f1").alias("p_f1"), F.col("label").alias("p_label"))
+    near = "9 * (bit_count(f0 ^ p_f0) + bit_count(f1 ^ p_f1)) <= n + p_n"
+    met = open_.join(pivot, "sig").where(f"label != p_label AND 100 * least(n, p_n) >= 80 * greatest(n, p_n) AND {near}")
     pairs = met.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
-    return pairs, open_.where("NOT pivot").select("sig", "k", "n", "lone")
+    return pairs, open_.where("NOT pivot").select("sig", "k", "n", "lone", "f0", "f1")
 
 
 def nearer(known: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -280,9 +296,9 @@ def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     common = survey.where("sig IS NOT NULL").groupBy("sig").agg(F.sum("times").alias("times")).where("times > 7").orderBy(F.desc("times"), "sig").limit(COMMON)
     top = sorted((r["sig"] % 2**64, r["times"]) for r in common.collect())  # COMMON rows at most
     ordered = (np.array([s for s, _ in top], np.uint64).tobytes(), np.array([t for _, t in top], np.int64).tobytes())
-    of_docs = survey.where("n IS NOT NULL").select("doc_id", "n", "k", "sketch")
-    classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared")), "members")
+    of_docs = survey.where("n IS NOT NULL").select("doc_id", "n", "k", "sketch", "f0", "f1")
+    classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("f0").alias("f0"), F.max("f1").alias("f1")), "classes")
+    members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared"), classes), "members")
     links: DataFrame | None = None
     sets: DataFrame | None = None
     known: DataFrame | None = None
