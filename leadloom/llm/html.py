@@ -1,15 +1,20 @@
 """Main-text extraction by equivalence-class template deduction.
 
 The tokens of a page are its tags, told apart by the path of containers they stand in, and its
-text nodes. Per host, tokens that share their vector of occurrences over the pages form an
+pieces of text (what stands between the tags of blocks). Per host, tokens that share their vector of occurrences over the pages form an
 equivalence class; the vectors are compared by two sums of page hashes, which partial aggregation
 adds up, so a host with a third of all pages is no group of any task. Classes that occur once in
 every page they are in, on at least half of the host's pages, and whose tokens keep their order,
-nest into the host's template. The slots that its containers open are weighed by the text they
-hold; the one of the article is extracted, less the slots of menus, notices and the like.
-
-Defined results: a null or empty page has an empty text; a page whose url is null or has no host
-is taken by itself (its tags alone lead); repeated rows each get their text; markup cut off at
+nest into the host's template: containers, which are its slots, and fixed texts. A fixed text is
+dropped wherever it stands, so only what varies between pages is left. Slots are weighed by their
+varying text. Names of elements are tie-breaks among the slots that are left: the slot named as the
+article's is taken if it holds half of the varying text at least, else all slots are; slots named as
+menus, notices and the like are left out, unless words of a class alone say so and nearly all of the
+varying text stands there.
+
+Copies of one page are no evidence: a text is fixed only if it is on SUPPORT unlike pages (by a
+lower bound). Defined results: a page of fixed texts alone has an empty text; a null or empty page has an empty text; a page whose url is null or has no host
+is taken by itself, as is a host's only page (tags alone lead there); repeated rows each get their text; markup cut off at
 the end of a page is dropped. Other columns are ignored.
 """
 
@@ -39,6 +44,11 @@ PAGE_WORDS = frozenset("ad ads advert advertisement advertising sponsor sponsore
 MAIN_WORDS = frozenset("article content main post entry story".split())
 PAGE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
+#: On so many unlike pages at least a text has to be to belong to the template.
+SUPPORT = 4
+#: The share of a host's varying text from which a slot is no aside, whatever its class is called.
+MOST = 0.8
+
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?=[a-zA-Z/!?])(?:/?([a-zA-Z][^\s/>]*))?((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
@@ -113,14 +123,15 @@ def aside(token: Token, inside: bool) -> bool:
 class Walk:
     """The open containers while a page is read."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset = frozenset()) -> None:
+        self.kept = kept  # paths that are no asides
         self.open: list[tuple[str, str, bool]] = []  # tag, path, whether aside
 
     def step(self, token: Token) -> None:
         if token.kind == "open" and (token.name in CONTAINERS or token.name in SKIPPED):
             path = f"{self.open[-1][1] if self.open else ''}/{label(token)}"
             inside = any(tag in ("article", "main") for tag, _, _ in self.open)
-            self.open.append((token.name, path, (bool(self.open) and self.open[-1][2]) or aside(token, inside)))
+            self.open.append((token.name, path, path not in self.kept and ((bool(self.open) and self.open[-1][2]) or aside(token, inside))))
         elif token.kind == "close" and any(tag == token.name for tag, _, _ in self.open):
             while self.open.pop()[0] != token.name:
                 pass
@@ -134,23 +145,52 @@ class Walk:
         return bool(self.open) and self.open[-1][2]
 
 
+def steps(page: str, walk: Walk, keyed: bool = True) -> Iterator[tuple[Token | None, str, str]]:
+    """While walk follows the page: (tag, path before it, ''), and before a block's or container's tag (None, piece
+    of text, its role). A role has the text's hash, its number among the same on the page, and the path."""
+    held: list[str] = []
+    seen: Counter = Counter()
+
+    def piece() -> tuple[None, str, str] | None:
+        raw = "".join(held)
+        held.clear()
+        if not (text := " ".join(raw.split())):
+            return None if not raw else (None, raw, "")
+        if not keyed:
+            return None, raw, "#"
+        role = f"#{xxhash.xxh3_64_hexdigest(text)}{walk.path}"
+        seen[role] += 1
+        return None, raw, role if seen[role] == 1 else f"#{seen[role]}{role}"
+
+    for token in tokens(page):
+        if token.kind == "text":
+            held.append(token.text)
+            continue
+        if token.name == "br":
+            held.append(" ")
+        elif held and (token.name in BLOCKS or token.name in SKIPPED) and (found := piece()):
+            yield found
+        before = walk.path
+        walk.step(token)
+        yield token, before, ""
+    if held and (found := piece()):
+        yield found
+
+
 def roles(page: str) -> dict[str, tuple[int, int, int]]:
-    """Each token's role: occurrences, place of the first, and characters of text in the container (not of asides)."""
+    """Each token's role: occurrences, place of the first, and characters of text: its own, or the container's."""
     count: Counter = Counter()
     first: dict[str, int] = {}
     held: Counter = Counter()
     walk = Walk()
-    for n, token in enumerate(tokens(page)):
-        before = walk.path
-        walk.step(token)
-        if token.kind == "text":
-            size = len(token.text.strip())
-            if not size:
+    for n, (token, before, role) in enumerate(steps(page, walk)):
+        if token is None:
+            if not role:
                 continue
-            role = f"{walk.path}#{xxhash.xxh3_64_hexdigest(token.text.strip())}"
-            if not walk.out:
-                for _, path, _ in walk.open:
-                    held[f"{path}<"] += size
+            size = len(before.strip())
+            held[role] += size
+            for _, path, _ in walk.open:
+                held[f"{path}<"] += size
         elif token.kind == "open":
             role = f"{walk.path}<" if walk.path != before else f"{walk.path}/{token.name}<"
         else:
@@ -165,7 +205,8 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 8 << 20) -> DataFrame:
-    """host, template: per host the container paths of its template, as 'path' or, for the article's, '*path', one a line."""
+    """host, template: per host the slots of its template, one a line: 'path', '*path' for the article's ('*' for all),
+    '!path' for one that is no aside; and '#role' for each fixed text."""
     plain = pages.select(pages[id_col].cast("string").alias("_id"), host_of(F.col(url_col)).alias("_host"), whole_text(html_col).alias("_html"))
     plain = plain.where("_host != '' AND _html != ''")
 
@@ -175,20 +216,23 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             sums: dict[tuple[str, str], list[int]] = {}
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = xxhash.xxh3_64_intdigest(f"{key}\n{page}")
+                kind = 1 << xxhash.xxh3_64_intdigest(page) % 63  # so many bits in all, so many unlike pages at least
                 for role, (n, place, held) in [*roles(page).items(), ("", (1, 0, 0))]:
-                    row = sums.setdefault((host, role), [0] * 6)
+                    row = sums.setdefault((host, role), [0] * 7)
                     for i, x in enumerate((1, n, (digest & 0x3FFFFFFF) * n, (digest >> 34) * n, place, held)):
                         row[i] += x
+                    row[6] |= kind
             keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([r for _, r in keys], pa.string()), *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(6))], ["host", "role", "pages", "n", "s1", "s2", "place", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([r for _, r in keys], pa.string()), *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(7))], ["host", "role", "pages", "n", "s1", "s2", "place", "held", "kinds"])
 
-    summed = plain.mapInArrow(run, "host string, role string, pages bigint, n bigint, s1 bigint, s2 bigint, place bigint, held bigint")
+    summed = plain.mapInArrow(run, "host string, role string, pages bigint, n bigint, s1 bigint, s2 bigint, place bigint, held bigint, kinds bigint")
     total = [F.sum(c).alias(c) for c in ("pages", "n", "s1", "s2", "place", "held")]
+    total.append(F.bit_count(F.bit_or("kinds")).alias("kinds"))
     by_role = summed.where("role != ''").groupBy("host", "role").agg(*total).where("pages > 1 AND pages = n")
     by_host = summed.where("role = ''").groupBy("host").agg(F.sum("pages").alias("of_host"))
     # At most twice a page's mean number of roles is on half of a host's pages: a bounded list.
     steady = by_role.join(by_host, "host").where("2 * pages >= of_host")
-    listed = steady.groupBy("host").agg(F.collect_list(F.struct("role", "pages", "s1", "s2", (F.col("place") / F.col("pages")).alias("place"), (F.col("held") / F.col("pages")).alias("held"))).alias("roles"))
+    listed = steady.groupBy("host").agg(F.collect_list(F.struct("role", "pages", "s1", "s2", (F.col("place") / F.col("pages")).alias("place"), "held", "kinds")).alias("roles"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,16 +242,31 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return listed.mapInArrow(nest, "host string, template string")
 
 
+def within(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
+def named_aside(path: str) -> bool:
+    """Whether the container of that path is one of menus, notices and the like by itself."""
+    *above, last = path.split("/")
+    name, *words = last.split(".")
+    return aside(Token("open", name, frozenset(words), ""), any(part.split(".")[0] in ("article", "main") for part in above))
+
+
 def template(rows: list[tuple]) -> str:
-    """The template of a host from its steady roles: (role, pages, s1, s2, place, held)."""
+    """The template of a host from its steady roles: (role, pages, s1, s2, place, held, kinds)."""
     classes: dict[tuple, list[tuple]] = {}
-    for role, pages, s1, s2, place, held in rows:
-        classes.setdefault((pages, s1, s2), []).append((place, role, held))
-    slots: dict[str, float] = {}
+    for role, pages, s1, s2, place, held, kinds in rows:
+        classes.setdefault((pages, s1, s2), []).append((place, role, held, kinds))
+    slots: dict[str, int] = {}
+    fixed: dict[str, int] = {}
     for members in classes.values():
-        tags = sorted(m for m in members if "#" not in m[1])
         opened: list[str] = []
-        for _, role, held in tags:
+        for _, role, held, kinds in sorted(members):
+            if role.startswith("#"):
+                if kinds >= SUPPORT:
+                    fixed[role] = held
+                continue
             if not role.endswith("<"):
                 continue
             path = role[:-1]
@@ -216,8 +275,40 @@ def template(rows: list[tuple]) -> str:
                 opened.pop()
             opened.append(path)
             slots[path] = held
-    best = max(slots, key=lambda p: (worth(p), slots[p], p), default="")
-    return "\n".join(("*" if p == best and worth(p) > 0 else "") + p for p in sorted(slots) if "." in p or p.rsplit("/", 1)[-1] in CONTAINERS)
+    slots = {p: held for p, held in slots.items() if "." in p or p.rsplit("/", 1)[-1] in CONTAINERS}
+    # What varies: a slot's text less the fixed texts in it.
+    vary = dict(slots)
+    for role, held in fixed.items():
+        path = role[role.index("/") :] if "/" in role else ""
+        for p in slots:
+            if within(path, p):
+                vary[p] -= held
+    outer = lambda found: [p for p in found if not any(p.startswith(q + "/") for q in found)]
+    whole = sum(vary[p] for p in outer(slots))
+    asides = [p for p in slots if named_aside(p)]
+    tags = lambda p: any(part.split(".")[0] in SKIPPED for part in p.split("/"))
+    named = [p for p in slots if worth(p) > 0 and vary[p] > 0]
+    kept = [] if named else [p for p in asides if vary[p] > MOST * whole and not tags(p)]
+    plain = whole - sum(vary[p] for p in outer([p for p in asides if p not in kept]))
+    best = max(named, key=lambda p: (worth(p), vary[p], p), default=None)
+    lines = ["*" + p if p == best and 2 * vary[p] >= plain else p for p in sorted(slots)]
+    if best is not None and 2 * vary[best] < plain:
+        lines.append("*")
+    return "\n".join([*lines, *("!" + p for p in sorted(kept)), *sorted(fixed)])
+
+
+class Form(NamedTuple):
+    """A host's template as extraction reads it. main: the article's slot, '' for all, None where none is named."""
+
+    main: str | None
+    kept: frozenset
+    fixed: frozenset
+
+
+@lru_cache(maxsize=1024)
+def form_of(text: str) -> Form:
+    lines = text.split("\n") if text else []
+    return Form(next((x[1:] for x in lines if x.startswith("*")), None), frozenset(x[1:] for x in lines if x.startswith("!")), frozenset(x for x in lines if x.startswith("#")))
 
 
 def worth(path: str) -> int:
@@ -228,50 +319,47 @@ def worth(path: str) -> int:
     return 4 * (tag == "article" or "=articlebody" in words) + 2 * (tag == "main" or "=main" in words) + (tag in CONTAINERS and bool(MAIN_WORDS & set(words)))
 
 
-def extracted(page: str, main: str) -> str:
-    """The blocks of the article's slot, or of the page's likeliest container if the template names none."""
-    listed = list(tokens(page))
-    if not main or not any_path(listed, main):
-        main = likeliest(listed)
-    walk, blocks, held = Walk(), [], []
-
-    def flush() -> None:
-        if text := " ".join(html.unescape("".join(held)).split()):
-            blocks.append(text)
-        held.clear()
-
-    for token in listed:
-        walk.step(token)
-        inside = not main or walk.path == main or walk.path.startswith(main + "/")
-        if token.kind == "text":
-            if inside and not walk.out:
-                held.append(token.text)
-        elif token.name in BLOCKS:
-            flush()
-        elif token.name == "br":
-            held.append(" ")
-    flush()
+def extracted(page: str, form: Form) -> str:
+    """The blocks that vary in the article's slot, or in the page's likeliest container if the template names none."""
+    walk = Walk(form.kept)
+    held: list[tuple[str, str, bool]] = []  # piece, path, whether it is a block's end
+    opened = {""}
+    for token, raw, role in steps(page, walk, bool(form.fixed)):
+        if token is None:
+            if not walk.out and role not in form.fixed:
+                held.append((raw, walk.path, False))
+            continue
+        opened.add(walk.path)
+        if token.name in BLOCKS:
+            held.append(("", walk.path, True))
+    main = form.main
+    if main is None or main not in opened:
+        main = likeliest(held, bool(form.fixed))
+    blocks, block = [], []
+    for raw, path, ends in [*held, ("", "", True)]:
+        if not ends:
+            if within(path, main):
+                block.append(raw)
+        elif block:
+            if text := " ".join(html.unescape("".join(block)).split()):
+                blocks.append(text)
+            block.clear()
     return "\n".join(blocks)
 
 
-def any_path(listed: list[Token], main: str) -> bool:
-    walk = Walk()
-    for token in listed:
-        walk.step(token)
-        if walk.path == main:
-            return True
-    return False
-
-
-def likeliest(listed: list[Token]) -> str:
-    walk, held = Walk(), Counter()
-    for token in listed:
-        walk.step(token)
-        if token.kind == "text" and not walk.out:
-            for _, path, _ in walk.open:
-                held[path] += len(token.text.strip())
-    best = max(held, key=lambda p: (worth(p), held[p], -len(p), p), default="")
-    return best if best and worth(best) > 0 else ""
+def likeliest(held: list[tuple[str, str, bool]], deduced: bool) -> str:
+    """The container most like an article's by name; '' for all, and where a template has been deduced and most of the text stands outside."""
+    size: Counter = Counter()
+    for raw, path, _ in held:
+        if n := len(raw.strip()):
+            size[path] += n
+    sums: Counter = Counter()
+    for path, n in size.items():
+        parts = path.split("/")
+        for i in range(2, len(parts) + 1):
+            sums["/".join(parts[:i])] += n
+    best = max(sums, key=lambda p: (worth(p), sums[p], -len(p), p), default="")
+    return best if best and worth(best) > 0 and not (deduced and 2 * sums[best] < size.total()) else ""
 
 
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
@@ -280,13 +368,13 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 8 << 20) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page."""
     # Stored, the templates have a known size: Spark broadcasts them while they are small, and deals out pages by host beyond.
-    found = stored(templates(pages, id_col, url_col, html_col, chunk_bytes), "templates").select(F.col("host").alias("_host"), F.regexp_extract("template", r"(?m)^\*(.*)$", 1).alias("_main"))
+    found = stored(templates(pages, id_col, url_col, html_col, chunk_bytes), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_form"))
     plain = pages.select(pages[id_col].cast("bigint").alias("_id"), pages[url_col].cast("string").alias("_url"), host_of(F.col(url_col)).alias("_host"), whole_text(html_col).alias("_html"))
-    joined = plain.join(found, "_host", "left").select("_id", "_url", "_html", "_main")
+    joined = plain.join(found, "_host", "left").select("_id", "_url", "_html", "_form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_html", chunk_bytes):
-            texts = [extracted(page, main or "") for page, main in zip(batch.column("_html").to_pylist(), batch.column("_main").to_pylist(), strict=True)]
+            texts = [extracted(page, form_of(form or "")) for page, form in zip(batch.column("_html").to_pylist(), batch.column("_form").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").combine_chunks(), batch.column("_url").combine_chunks(), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, RESULT)

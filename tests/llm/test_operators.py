@@ -341,6 +341,26 @@ def test_html(spark):
     assert "*/body/article" in named["h0.example"].split("\n")
 
 
+def test_html_template_leads(spark):
+    """What recurs on a host goes and what varies stays, whatever elements are called; copies of a page are no evidence."""
+    rows, want = [], {}
+    for i in range(40):
+        own, more = prose(12), prose(8) + " <b>x</b>, <i>y</i>."
+        plain = re.sub("<[^>]*>", "", more)
+        rows.append((i, f"http://plain.example/{i}", f"<body><div class=c1><p>Our shop, open daily</div><div class=c2><h2>{own}</h2></div><div class=c3><p>{more}<p>Call us now</div></body>"))
+        want[i] = f"{own}\n{plain}"
+        rows.append((100 + i, f"http://inner.example/{i}", f"<body><article><h1>{own}</h1><p>{more}<p>Call us now<p>Call us now</article></body>"))
+        want[100 + i] = f"{own}\n{plain}"
+        rows.append((200 + i, f"http://social.example/{i}", f"<body><div class='social page'><p>Join us</p><p>{own}</div></body>"))
+        want[200 + i] = own
+        rows.append((300 + i, f"http://teaser.example/{i}", f"<body><div class=c1><p>{own} {own} {own}</div><article><p>{plain[:9]}</article></body>"))
+        want[300 + i] = f"{own} {own} {own}\n{plain[:9].strip()}"
+        rows.append((400 + i, "http://copies.example/a", "<body><article><h1>One page</h1><p>many times</article></body>"))
+        want[400 + i] = "One page\nmany times"
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, text string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+
+
 def test_licenses(spark):
     text = "Copyright (c) 2020 A. Person\n" + dict(licenses.KNOWN)["0BSD"].replace("software", "SOFTWARE")
     rows = [(1, text), (2, text.replace("PROFITS", "PROFIT")), (3, None), (4, "released under   the MIT licence"), (5, "(c) 2020"), (6, "a " * 5000)]
