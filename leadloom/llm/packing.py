@@ -20,7 +20,9 @@ one, so are null ids; an empty table gives no sequences; other columns are ignor
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -48,21 +50,28 @@ GAP, STEPS = 2e-3, 400
 def tokenizer(file: str) -> Callable[[str], np.ndarray]:
     """What encodes texts: the tokenizers library for a .json file, and for a rank file tiktoken, which is faster.
 
-    The public vocabulary comes as both; special strings in a text are ordinary text to either.
+    The public vocabulary comes as both; special strings in a text are their one id to either. A rank
+    file has none of its own: they are those of the .json file beside it.
     """
     if file.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         found = Tokenizer.from_file(file)
-        found.encode_special_tokens = True
         return lambda text: np.array(found.encode(text, add_special_tokens=False).ids, "<u4")
     with open(file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special: dict[str, int] = {}
+    if os.path.exists(beside := os.path.splitext(file)[0] + ".json"):
+        with open(beside, encoding="utf-8") as whole:
+            special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         try:
-            return encoding.encode_to_numpy(text, disallowed_special=())
+            return encoding.encode_to_numpy(text, allowed_special="all")
         except ValueError:  # its pattern gives up on millions of spaces in a row
+            parts = re.split(f"({'|'.join(map(re.escape, special))})", text) if special else [text]
+            if len(parts) > 1:
+                return np.concatenate([encode(t) for t in parts])
             words = Words()
             own = words.of(text)
             listed, pieces = words.words()

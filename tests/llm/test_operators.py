@@ -233,6 +233,23 @@ def test_packing(spark, rows):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_special_strings(spark):
+    """Ids are those of the public tokenizer as it is: a special string is its one id."""
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, "x <|endoftext|> <|endoftext|><|endoftext|>\n y"), (4, "<|endoftext|"), (5, "it's <|endoftext|>" * 400)]
+    got = collections.defaultdict(list)
+    for r in packing.pack(frame(spark, rows)).collect():
+        got[r["doc_id"]].append(r)
+    for i, t in rows:
+        ids = [*encoder.encode(t, add_special_tokens=False).ids, 0]
+        assert {r["doc_tokens"] for r in got[i]} == {len(ids)} and sum(r["length"] for r in got[i]) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in got[i])
+    huge = "a<|endoftext|>before there" + " " * 1_500_000 + "<|endoftext|>"
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        ids = packing.tokenizer(public_tokenizers.path(name))(huge).tolist()
+        assert ids[:2] == [64, 50256] and ids[-1] == 50256 and ids == encoder.encode(huge, add_special_tokens=False).ids
+
+
 def test_packing_plans():
     for histogram in ({700: 999}, {600: 10, 424: 3, 100: 7}, {k: k % 5 + 1 for k in range(1, 1024, 7)}, {}):
         plan = packing.plan(histogram, 1024)
