@@ -2,11 +2,11 @@
 
 Nodes are the tokens of a document that hold a digit or an at sign. Neighbouring nodes share
 chain potentials; tokens with the same digits or the same text share skip potentials with their
-nearest earlier occurrence, however far. The field learns from the patterns' own spans on a
+first occurrence, however far. The field learns from the patterns' own spans on a
 bounded sample (`train_rows`) by pseudo-likelihood; tokens under a match that a check dropped
 count as unobserved, so that what glued neighbours hide is left to the field. Loopy message
-passing then gives each token's label; a span is added only for a certain token that is not
-under a base span. Where a document has no node, there is nothing to infer.
+passing, until it settles, then gives each token's label; neighbouring tokens that are certain of one
+label are read together, and a span is added for what they hold, where no base span is. Where a document has no node, there is nothing to infer.
 
 Defined results: a null or empty text has no spans; rows are independent, so repeated rows, null
 ids and empty tables need no special care; without spans to learn from, the field adds none.
@@ -38,7 +38,12 @@ NODE = re.compile(r"[^\x20\x09-\x0D]+")
 DIGIT = re.compile(r"[0-9]")
 N_LABELS = len(KINDS) + 1
 CERTAIN = 0.9
-ROUNDS = 8
+#: Messages are passed until none moves more than this, or so many times where they swing for ever.
+SETTLED, ROUNDS = 1e-3, 200
+#: What the field may add, by the field's label alone: looser than the base patterns.
+ADDRESS = re.compile(r"[^@\s<>()\[\],;:\"']+@[^@\s<>()\[\],;:\"']*[^\W_]")
+QUAD = re.compile(r"(?<![0-9])(?=([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]))")
+NUMBER = re.compile(r"\+?\(?[0-9](?:[().0-9\s-]*[0-9])?")
 
 
 def luhn(digits: str) -> bool:
@@ -78,7 +83,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
                 spans.append((2, *m.span()))
-            elif len(digits) > 19:
+            elif len(digits) >= 16:
                 dropped.append(m.span())
         if "+" in text:
             for m in PHONE.finditer(text):
@@ -125,7 +130,7 @@ class Field:
         for i, text in enumerate(texts):
             if "@" not in text and not DIGIT.search(text):
                 continue
-            last: dict[str, int] = {}
+            first: dict[str, int] = {}
             previous, number, before = -9, 0, ""
             for number, m in enumerate(NODE.finditer(text)):
                 token = m[0]
@@ -137,9 +142,10 @@ class Field:
                         chain.append((node - 1, node))
                     digits = "".join(c for c in token if c in "0123456789")
                     key = digits if len(digits) >= 7 else token.lower()
-                    if key in last:
-                        skip.append((last[key], node))
-                    last[key] = node
+                    if key in first:
+                        skip.append((first[key], node))
+                    else:
+                        first[key] = node
                     previous = number
                 before = token
         self.chain, self.skip = (np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip))
@@ -212,22 +218,47 @@ def marginals(field: Field, model: np.ndarray) -> np.ndarray:
         z = belief()
         a, b = z[edges[:, 0]] - back, z[edges[:, 1]] - forth
         a, b = (np.exp(x - x.max(axis=1, keepdims=True)) for x in (a, b))
-        forth = 0.5 * forth + 0.5 * logs(np.einsum("ei,eij->ej", a, table))
-        back = 0.5 * back + 0.5 * logs(np.einsum("ej,eij->ei", b, table))
+        new = 0.5 * forth + 0.5 * logs(np.einsum("ei,eij->ej", a, table)), 0.5 * back + 0.5 * logs(np.einsum("ej,eij->ei", b, table))
+        moved = max(np.abs(new[0] - forth).max(), np.abs(new[1] - back).max())
+        forth, back = new
+        if moved < SETTLED:
+            break
     z = belief()
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def entity(kind: int, token: str) -> tuple[int, int] | None:
-    """Where in the token the kind's characters are; None if it can't hold one."""
+def entity(kind: int, text: str) -> tuple[int, int] | None:
+    """Where in the text of a run of tokens the kind's characters are; None if it can't hold one."""
     if kind == 0:
-        return next(iter(emails(token)), None)
+        return m.span() if (m := ADDRESS.search(text)) else None
     if kind == 1:
-        return m.span() if (m := IP.search(token)) and all(len(p) < 4 and int(p) < 256 for p in m[0].split(".")) else None
-    m = re.search(r"\+?[0-9](?:[().0-9-]*[0-9])?", token)
-    digits = sum(c in "0123456789" for c in m[0]) if m else 0
-    return m.span() if m and (16 <= digits <= 19 and luhn("".join(filter(str.isdigit, m[0]))) if kind == 2 else 8 <= digits <= 15) else None
+        return next((m.span(1) for m in QUAD.finditer(text) if all(int(p) < 256 for p in m[1].split("."))), None)
+    m = NUMBER.search(text)
+    digits = "".join(c for c in m[0] if c in "0123456789") if m else ""
+    return m.span() if m and (16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15) else None
+
+
+def decoded(text: str, kind: int, run: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans in a run of neighbouring tokens (start, end) of one kind: from each token the longest stretch that is
+    one, addresses token by token; none over a span that is taken."""
+    found, i = [], 0
+    free = [not any(x < b and a < y for _, x, y in taken) for a, b in run]
+    while i < len(run):
+        end, n = i, 0
+        while end < len(run) and (end == i or kind > 1) and n <= 19 and (free[end] or end == i):
+            n += sum(c in "0123456789" for c in text[run[end][0] : run[end][1]])
+            end += 1
+        for j in range(end, i, -1):
+            a = run[i][0]
+            inside = entity(kind, text[a : run[j - 1][1]])
+            # All tokens of the stretch take part, so that a shorter one isn't hidden by others.
+            if inside and (j == i + 1 or a + inside[1] > run[j - 1][0]) and a + inside[0] < run[i][1] and not any(x < a + inside[1] and a + inside[0] < y for _, x, y in taken):
+                found.append((kind, a + inside[0], a + inside[1]))
+                i = j - 1
+                break
+        i += 1
+    return found
 
 
 def spans_of(texts: list[str], model: np.ndarray | None) -> list[tuple[list, list]]:
@@ -239,14 +270,16 @@ def spans_of(texts: list[str], model: np.ndarray | None) -> list[tuple[list, lis
         if field.at:
             p = marginals(field, model)
             best = p[:, 1:].argmax(axis=1)
+            linked = {int(b) for _, b in field.chain}  # nodes right after another
+            runs: list[list[int]] = []
             for n in np.flatnonzero(p[np.arange(len(p)), best + 1] >= CERTAIN).tolist():
-                i, a, b = field.at[n]
-                inside = entity(int(best[n]), texts[i][a:b])
-                if inside is None:
-                    continue
-                s, e = a + inside[0], a + inside[1]
-                if not any(x < e and s < y for _, x, y in base[i][0]):
-                    added[i].append((int(best[n]), s, e))
+                if runs and n in linked and runs[-1][-1] == n - 1 and best[n] == best[n - 1]:
+                    runs[-1].append(n)
+                else:
+                    runs.append([n])
+            for run in runs:
+                i = field.at[run[0]][0]
+                added[i] += decoded(texts[i], int(best[run[0]]), [field.at[n][1:] for n in run], base[i][0])
     return [(own, more) for (own, _), more in zip(base, added, strict=True)]
 
 

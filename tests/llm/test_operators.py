@@ -336,6 +336,21 @@ def test_pii_field(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_pii_field_adds_over_tokens():
+    """Runs of tokens of one label are read together; a number that fails its check is unobserved."""
+    cut = lambda text: [m.span() for m in re.finditer(r"\S+", text)]
+    for kind, text, want in ((3, "(017) 555-7713", [(3, 0, 14)]), (2, "4111 1111 1111 1111", [(2, 0, 19)]), (2, "12 4111 1111 1111 1111", [(2, 3, 22)]), (3, "555 1234", []), (1, "300.10.2.3.4", [(1, 4, 12)]), (0, "root@localhost, x", [(0, 0, 14)]), (2, "4111111111111112", [])):
+        assert pii.decoded(text, kind, cut(text), []) == want, text
+    assert pii.decoded("(017) 555-7713", 3, cut("(017) 555-7713"), [(3, 6, 14)]) == []
+    assert pii.base_spans("12 4111 1111 1111 1111") == ([], [(0, 22)])
+    rows = [f"call +1 ({i % 90:03}) 555-{1000 + 7 * i} today. {prose(4)} ring ({i % 90:03}) 555-{1000 + 7 * i} or {i} of {prose(3)}" for i in range(200)]
+    seen = pii.Field(rows)
+    model = pii.learned(seen, np.where(seen.observed([([(3, m.start(), m.end()) for m in re.finditer(r"(?:\+1 )?\([0-9]+\) 555-[0-9]+", t)], []) for t in rows]) > 0, 4, 0))
+    text = "ring +1 (017) 555-7713 now or later (017) 555-7713 end"
+    own, more = pii.spans_of([text], model)[0]
+    assert own == [(3, 5, 22)] and more == [(3, 36, 50)]
+
+
 def page(i, blocks, cut=False):
     body = "".join(f"<p>{escapes.escape(b)}</p>" for b in blocks[1:])
     whole = f'<html><head><title>t{i}</title><script>var x="</p>";</script></head><body><nav><ul><li><a href="/a">Menu {i}</a></li></ul></nav><div class="cookie-notice">We use cookies</div><header>Site</header><article><h1>{escapes.escape(blocks[0])}</h1>{body}<aside>see also</aside><form>name <input></form></article><div id="comments"><p>first!</p></div><footer>&copy; site</footer></body></html>'
