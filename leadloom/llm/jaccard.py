@@ -331,10 +331,15 @@ def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns as they were.
+    """One row of each component, the first by id (null last) and content; all columns as they were.
 
-    A document without shingles, or with a null id, stays; of rows that repeat an id, all stay or go.
+    Rows are told apart by a number of their own, stored with them, so rows that repeat an id, or have
+    none, are decided one by one. A row without shingles stays.
     """
-    joined = join_near(docs, words, percent, id_col, text_col)
-    gone = joined.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    row = "_leadloom_row"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    joined = join_near(numbered, words, percent, row, text_col).select(F.col("doc_id").alias("_r"), "component_id")
+    id_, text = numbered[id_col].cast("bigint"), F.xxhash64(whole_text(text_col))
+    order = F.struct(id_.isNull().alias("none"), id_.alias("id"), text.alias("h"), F.col(row).alias("r"))
+    first = numbered.select(F.col(row), order.alias("o")).join(joined, F.col(row) == F.col("_r")).groupBy("component_id").agg(F.min("o")["r"].alias("_kept"))
+    return numbered.join(first, F.col(row) == F.col("_kept"), "left_semi").drop(row)

@@ -134,6 +134,16 @@ def test_jaccard(spark, rows):
     assert jaccard.join_near(frame(spark, [])).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    """Doubled rows, rows without an id and an id with two texts: one row of each group stays, and its text outlives the next stage."""
+    doubled, nameless, near, unique = (prose(150) for _ in range(4))
+    rows = [(7, doubled), (7, doubled), (None, nameless), (None, nameless), (3, near), (8, near + " end"), (8, unique)]
+    kept = jaccard.keep_one(frame(spark, rows))
+    want = collections.Counter([(7, doubled), (None, nameless), (3, near), (8, unique)])
+    assert kept.columns == frame(spark, []).columns and collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert collections.Counter((r["doc_id"], r["text"]) for r in substrings.dedup(kept).collect()) == want
+
+
 def test_jaccard_at_the_threshold(spark):
     """Pairs of all small sizes that just link, or just don't."""
     rows = []
