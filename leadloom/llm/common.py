@@ -27,11 +27,13 @@ def whole_text(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a
+    temporary one, since all is on one machine there; a cluster gets an error, as rows would be lost."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"leadloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -42,6 +44,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, stored, with a number of its own for each row. As it is stored with the rows, it stays when tasks are run again."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def joined_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The inner join of two stored tables by keys, where counts.n of the total rows have a key.
+
+    Keys with over a thousandth of all rows, so a thousand at most, meet their rows where these are read.
+    """
+    hot = F.broadcast(counts.where(F.col(n) * 1000 > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counts.where(F.col(n) * 1000 <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def blocks_for(df: DataFrame, text: str, bytes_each: int) -> int:
     """How many blocks of about bytes_each bytes hold the texts of df; one pass over lengths."""
     total = df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0

@@ -3,17 +3,18 @@
 A byte goes if a string of `length` bytes over it also starts anywhere else. Suffixes that can
 matter are found first, without loss: every window of `length` bytes names its least hashed
 `GRAM`-byte string, its anchor, by content alone, so equal windows have equal anchors, and a window
-whose anchor is found once is no repeat. A run of windows that name one anchor is a context.
-Contexts that are found twice or more, alike, need no sorting: their windows all repeat. Where an
-anchor has unlike contexts, one of each goes to a shard by its anchor, and the shard builds a
-suffix array: keys of seven bytes, refined as by Larsson and Sadakane (only groups that are not yet
-told apart are sorted again, at twice the depth), with common prefixes by Kasai's method, run over
-all contexts in step. Anchors with many contexts are dealt over several shards, and these are
+whose anchor is found once is no repeat. A run of windows that name one anchor is a context. All
+contexts of an anchor that is found twice go to a shard by it; of contexts whose digests are alike
+two are enough to tell what repeats, and the others take over what is found for those. The shard
+builds a suffix array: keys of seven bytes, refined as by Larsson and Sadakane (only groups that are
+not yet told apart are sorted again, at twice the depth), with common prefixes by Kasai's method, run
+over all contexts in step. Anchors with many contexts are dealt over several shards, and these are
 merged: each shard names one window of every class, and binary search finds it among the others'.
 
-Defined results: a null or empty text has no bytes; rows that repeat an id and text are two
-documents, so each is the other's copy; null ids are ids like others; texts shorter than `length`
-stay whole; other columns are ignored. Hashes of 128 bits stand for contexts and merged windows.
+Defined results: a null or empty text has no bytes; rows are told apart by a number of their own, so
+rows that repeat an id and text are two documents, each the other's copy; null ids are ids like
+others; texts shorter than `length` stay whole; other columns are ignored by dedup_report() and kept
+by dedup(). Hashes of 128 bits (an anchor's and a context's) stand for contexts, and for merged windows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, whole_text
+from .common import chunks, joined_by_count, numbered, stored, whole_text
 
 GRAM = 32
 #: Contexts of an anchor in a shard; an anchor with more is dealt over several.
@@ -36,6 +37,8 @@ SHARD = 512
 BUCKET = 1 << 15
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 PLACE = np.uint64((1 << 24) - 1)
+#: Bytes whose anchors are looked for at a time; places within have 24 bits.
+SLICE = 1 << 19
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -63,13 +66,13 @@ def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     out: list[tuple[np.ndarray, ...]] = []
     cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    for low in range(0, max(1, len(data)), 1 << 23):  # places have 24 bits; a slice may read on past its end
-        part = data[low : low + (1 << 23) + length]
+    for low in range(0, max(1, len(data)), SLICE):
+        part = data[low : low + SLICE + length]  # it may read on past its end
         if len(part) < length:
             continue
         h = gram_hashes(part)
         key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        at = (least_in(key, length - GRAM + 1) & PLACE).astype(np.int64)[: 1 << 23]
+        at = (least_in(key, length - GRAM + 1) & PLACE).astype(np.int64)[:SLICE]
         start = low + np.arange(len(at))
         text = np.searchsorted(cuts, start, "right") - 1
         good = start + length <= cuts[text + 1]
@@ -186,14 +189,14 @@ def repeats_of(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return hit, group, starts, counts
 
 
-#: A merged window: its document, start, digest, and whether its shard has it once.
-WINDOW = np.dtype([("rid", "<i8"), ("first", "<i4"), ("w1", "<i8"), ("w2", "<i8"), ("lone", "?")])
+#: A merged window: its context, place there, digest, and whether no context of its shard has it too.
+WINDOW = np.dtype([("h", "<i8"), ("c", "<i8"), ("place", "<i4"), ("w1", "<i8"), ("w2", "<i8"), ("lone", "?")])
 
 
 def sharded(pieces: DataFrame, length: int, shard_bytes: int, buckets: int) -> DataFrame:
-    """rid, first, last of the repeated windows of lone contexts; and, of dealt anchors, one window of each class,
-    packed by bucket of its digest: a row for each shard and bucket."""
-    dealt = pieces.repartition(F.col("h"), F.col("salt")).sortWithinPartitions("h", "salt")
+    """h, c, n, a, b: the runs of windows of a context that repeat in its shard, from its first; and, of dealt anchors,
+    one window of each class, packed by bucket of its digest: a row for each shard and bucket."""
+    dealt = pieces.repartition(F.col("h"), F.col("salt")).sortWithinPartitions("h", "salt", "c")
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         """Rows of whole groups, about shard_bytes of text at a time."""
@@ -215,82 +218,98 @@ def sharded(pieces: DataFrame, length: int, shard_bytes: int, buckets: int) -> D
             out: list[tuple] = []
             windows: list[tuple] = []
             named: set[tuple] = set()
+            done: set[tuple] = set()
             for row, at, n in zip(rows, starts.tolist(), counts.tolist(), strict=True):
                 own = hit[at : at + n]
-                if row["n"] == 1:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
-                    out += [(row["rid"], row["first"] + a, row["first"] + b - 1, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                # A context's twin has the same windows.
+                if (twin := (row["h"], row["c"])) in done:
+                    continue
+                done.add(twin)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
+                out += [(*twin, row["n"], a, b - 1, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 if row["salt"]:
                     for j in range(n):
                         g = (row["h"], row["salt"], int(group[at + j]))
                         if g not in named:
                             named.add(g)
                             digest = xxhash.xxh3_128_intdigest(row["bytes"][j : j + length])
-                            windows.append((row["rid"], row["first"] + j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, row["n"] == 1 and not own[j]))
+                            windows.append((*twin, j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, not own[j]))
             if windows:
                 packed = np.array(windows, WINDOW)
                 bucket = packed["w1"] % buckets
                 order = np.lexsort((packed["w1"], bucket))
                 for part in np.split(packed[order], np.flatnonzero(np.diff(bucket[order])) + 1):
-                    out.append((None, None, None, int(part["w1"][0] % buckets), part.tobytes()))
+                    out.append((None, None, None, None, None, int(part["w1"][0] % buckets), part.tobytes()))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rid", "first", "last", "bucket", "windows"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "c", "n", "a", "b", "bucket", "windows"])
 
-    return dealt.select("h", "salt", "rid", "first", "n", "bytes").mapInArrow(run, "rid bigint, first int, last int, bucket bigint, windows binary")
+    return dealt.select("h", "c", "salt", "n", "bytes").mapInArrow(run, "h bigint, c bigint, n bigint, a int, b int, bucket bigint, windows binary")
 
 
 def merged(shards: DataFrame) -> DataFrame:
-    """rid, first, last of the lone windows that another shard has too. shards: bucket, windows (sorted by digest)."""
+    """h, c, n, a, b of the lone windows that another shard has too. shards: bucket, windows (sorted by digest)."""
+
+    def found_in(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        joined = np.frombuffer(b"".join(parts), WINDOW)
+        joined = joined[np.lexsort((joined["w2"], joined["w1"]))]
+        lone = joined[joined["lone"]]
+        # Each lone window is looked for by its digest's first half, and then among the few by the second.
+        low, high = (np.searchsorted(joined["w1"], lone["w1"], side) for side in ("left", "right"))
+        found = [i for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b - a > 1 and int((joined["w2"][a:b] == lone["w2"][i]).sum()) > 1]
+        if found:
+            own = lone[found]
+            place = pa.array(own["place"].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(own["h"].copy()), pa.array(own["c"].copy()), pa.array(np.ones(len(own), np.int64)), place, place], ["h", "c", "n", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: dict[int, list[np.ndarray]] = {}
+        now, parts = None, []
         for batch in batches:
             for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("windows").to_pylist(), strict=True):
-                lists.setdefault(bucket, []).append(np.frombuffer(packed, WINDOW))
-        for parts in lists.values():
-            joined = np.concatenate(parts)
-            joined = joined[np.lexsort((joined["w2"], joined["w1"]))]
-            lone = joined[joined["lone"]]
-            # Each lone window is looked for by its digest's first half, and then among the few by the second.
-            low, high = (np.searchsorted(joined["w1"], lone["w1"], side) for side in ("left", "right"))
-            found = [i for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if b - a > 1 and int((joined["w2"][a:b] == lone["w2"][i]).sum()) > 1]
-            if found:
-                first = pa.array(lone["first"][found])
-                yield pa.RecordBatch.from_arrays([pa.array(lone["rid"][found]), first, first], ["rid", "first", "last"])
+                if bucket != now and parts:
+                    yield from found_in(parts)
+                    parts = []
+                now = bucket
+                parts.append(packed)
+        if parts:
+            yield from found_in(parts)
 
-    return shards.repartition("bucket").mapInArrow(run, "rid bigint, first int, last int")
+    return shards.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h bigint, c bigint, n bigint, a int, b int")
 
 
 def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) -> DataFrame:
     """rid, spans: the runs of repeated window starts of each document that has one. docs has rid, text."""
-    found = anchors(docs, length, chunk_bytes)
-    groups = found.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("low"), F.max("c").alias("high")).where("times > 1")
-    again = stored(found.join(groups.select("h", (F.col("low") == F.col("high")).alias("alike")), "h"), "contexts")
-    unlike = again.where("NOT alike")
-    kinds = stored(unlike.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last")).alias("one")), "kinds")
-    copies = unlike.join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("rid", "first", "last")
-    many = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
+    found = stored(anchors(docs, length, chunk_bytes), "anchors")
+    total = found.count()
+    times = stored(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    again = stored(joined_by_count(found, times, ["h"], "times", total).drop("times"), "contexts")
+    place = F.struct("rid", "first", "last")
+    kinds = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("twin")), "kinds")
+    many = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
     # A context has about as many windows as anchors are apart: half a window's grams.
     hot = many.where(F.col("kinds") > SHARD).agg(F.sum("kinds").alias("n")).first()["n"] or 0
     buckets = 1 + hot * (length - GRAM) // 2 // BUCKET
     salt = F.when(F.col("kinds") > SHARD, 1 + F.pmod("c", F.ceil(F.col("kinds") / SHARD))).otherwise(0)
-    asked = kinds.join(many, "h").select("h", salt.cast("bigint").alias("salt"), "n", "one.rid", "one.first", "one.last")
-    per_text = asked.groupBy("rid").agg(F.collect_list(F.struct("h", "salt", "n", "first", "last")).alias("asked"))
+    both = F.explode(F.when(F.col("n") > 1, F.array("one", "twin")).otherwise(F.array("one")))
+    asked = joined_by_count(kinds, many, ["h"], "kinds", total).select("h", "c", salt.cast("bigint").alias("salt"), "n", both.alias("at"))
+    per_text = asked.groupBy("at.rid").agg(F.collect_list(F.struct("h", "c", "salt", "n", "at.first", "at.last")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", chunk_bytes):
             rows = []
-            for rid, text, asked in zip(*(chunk.column(c).to_pylist() for c in ("rid", "text", "asked")), strict=True):
+            for text, asked in zip(*(chunk.column(c).to_pylist() for c in ("text", "asked")), strict=True):
                 text = text.encode()
-                rows += [(a["h"], a["salt"], rid, a["first"], a["n"], text[a["first"] : a["last"] + length]) for a in asked]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "salt", "rid", "first", "n", "bytes"])
+                rows += [(a["h"], a["c"], a["salt"], a["n"], text[a["first"] : a["last"] + length]) for a in asked]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "c", "salt", "n", "bytes"])
 
-    pieces = docs.join(per_text, "rid").select("rid", "text", "asked").mapInArrow(cut, "h bigint, salt bigint, rid bigint, first int, n bigint, bytes binary")
+    pieces = docs.join(per_text, "rid").select("text", "asked").mapInArrow(cut, "h bigint, c bigint, salt bigint, n bigint, bytes binary")
     results = stored(sharded(pieces, length, shard_bytes, buckets), "suffixes")
-    runs = again.where("alike").select("rid", "first", "last").union(copies).union(results.where("bucket IS NULL").select("rid", "first", "last")).union(merged(results.where("bucket IS NOT NULL").select("bucket", "windows")))
-    return runs.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    runs = results.where("bucket IS NULL").select("h", "c", "n", "a", "b")
+    if hot:
+        runs = stored(runs.union(merged(results.where("bucket IS NOT NULL").select("bucket", "windows"))), "runs")
+    hits = joined_by_count(again, runs, ["h", "c"], "n", total)
+    return hits.groupBy("rid").agg(F.collect_set(F.struct((F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))).alias("spans"))
 
 
 def kept_parts(text: bytes, spans: list[dict] | None, length: int) -> tuple[list[bytes], int]:
@@ -307,20 +326,17 @@ def kept_parts(text: bytes, spans: list[dict] | None, length: int) -> tuple[list
     return [*parts, text[end:]], runs
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str, carried: list[str], length: int, chunk_bytes: int, shard_bytes: int) -> DataFrame:
-    """doc_id, text, spans and the carried columns as _c0 and on; each row of docs once."""
-    text = whole_text(text_col)
-    rid = F.xxhash64(docs[id_col].cast("bigint"), text)
-    own = docs.select(rid.alias("rid"), text.alias("text"))
-    spans = covered(own, length, chunk_bytes, shard_bytes)
-    all_ = docs.select(rid.alias("rid"), docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carried)])
-    return all_.join(spans, "rid", "left").drop("rid")
+def with_spans(docs: DataFrame, text_col: str, length: int, chunk_bytes: int, shard_bytes: int) -> DataFrame:
+    """docs with the column spans; each row once."""
+    own = numbered(docs, "_rid")
+    found = covered(own.select(F.col("_rid").alias("rid"), whole_text(text_col).alias("text")), length, chunk_bytes, shard_bytes)
+    return own.join(found.withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
+def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 19) -> DataFrame:
     """Per document: its bytes, the removed ones and their runs, and the digest of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,25 +351,25 @@ def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
                 digests.append(hashlib.sha256(b"".join(parts)).hexdigest())
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, id_col, text_col, [], length, chunk_bytes, shard_bytes).select("doc_id", "text", "spans").mapInArrow(run, RESULT)
+    own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    return with_spans(own, "text", length, chunk_bytes, shard_bytes).select("doc_id", "text", "spans").mapInArrow(run, RESULT)
 
 
-def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 19) -> DataFrame:
     """The documents with repeated bytes removed, all columns; characters that a cut leaves in part are dropped.
 
     A null text stays null, and a text of which nothing is left becomes empty: no row goes.
     """
     place = docs.columns.index(text_col)
-    joined = with_spans(docs, id_col, text_col, docs.columns, length, chunk_bytes, shard_bytes)
-    joined = joined.select("text", "spans", *[f"_c{i}" for i in range(len(docs.columns))])
-    result = joined.select(*[f"_c{i}" for i in range(len(docs.columns))]).schema
+    plain = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    joined = with_spans(plain, f"_c{place}", length, chunk_bytes, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", chunk_bytes):
+        for chunk in chunks(batches, f"_c{place}", chunk_bytes):
             new = []
-            for old, text, spans in zip(chunk.column(f"_c{place}").to_pylist(), chunk.column("text").to_pylist(), chunk.column("spans").to_pylist(), strict=True):
-                new.append(old if old is None or not spans else "".join(p.decode("utf-8", "ignore") for p in kept_parts(text.encode(), spans, length)[0]))
-            chunk = chunk.set_column(chunk.schema.get_field_index(f"_c{place}"), f"_c{place}", pa.array(new, pa.string()))
-            yield from chunk.drop_columns(["text", "spans"]).combine_chunks().to_batches()
+            for text, spans in zip(chunk.column(f"_c{place}").to_pylist(), chunk.column("spans").to_pylist(), strict=True):
+                new.append(text if text is None or not spans else "".join(p.decode("utf-8", "ignore") for p in kept_parts(text.encode(), spans, length)[0]))
+            chunk = chunk.set_column(place, f"_c{place}", pa.array(new, pa.string()))
+            yield from chunk.drop_columns(["spans"]).combine_chunks().to_batches()
 
-    return joined.mapInArrow(run, result).toDF(*docs.columns)
+    return joined.select(*plain.columns, "spans").mapInArrow(run, plain.schema).toDF(*docs.columns)
