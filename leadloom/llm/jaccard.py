@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, stored, whole_text
+from .common import LOWER, chunks, numbered, stored, whole_text
 from .components import labels
 
 GOLD, FMIX1, FMIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -120,7 +120,7 @@ def class_of(own: np.ndarray) -> int:
 
 
 def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
-    """Per document its class, size and sketch, whole and folded; and per chunk the signatures found twice or more, with counts."""
+    """Per row its id, class, size and sketch, whole and folded; and per chunk the signatures found twice or more, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", chunk_bytes):
@@ -141,7 +141,7 @@ def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([chunk.column("doc_id").combine_chunks(), none]),
+                    *(pa.concat_arrays([chunk.column(c).combine_chunks(), none]) for c in ("row", "doc_id")),
                     pa.concat_arrays([pa.array(sizes, pa.int64()), none]),
                     pa.concat_arrays([pa.array(classes, pa.int64()), none]),
                     pa.array([*sketches, *[None] * len(none)], pa.binary()),
@@ -149,10 +149,10 @@ def surveyed(docs: DataFrame, words: int, chunk_bytes: int) -> DataFrame:
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(found[common].view(np.int64))]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(n[common], pa.int64())]),
                 ],
-                ["doc_id", "n", "k", "sketch", "f0", "f1", "sig", "times"],
+                ["row", "doc_id", "n", "k", "sketch", "f0", "f1", "sig", "times"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k bigint, sketch binary, f0 bigint, f1 bigint, sig bigint, times bigint")
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, n bigint, k bigint, sketch binary, f0 bigint, f1 bigint, sig bigint, times bigint")
 
 
 def prefixes(docs: DataFrame, words: int, common: tuple[bytes, bytes], chunk_bytes: int) -> DataFrame:
@@ -187,20 +187,23 @@ def prefixes(docs: DataFrame, words: int, common: tuple[bytes, bytes], chunk_byt
 def shared_only(rows: DataFrame) -> DataFrame:
     """sig, k, n of the signatures that two classes have; those of common signatures pass as they are."""
     # A common signature is dealt over many tasks; the others have few rows each.
-    dealt = rows.repartition(F.col("sig"), F.col("salt"))
+    dealt = rows.repartition(F.col("sig"), F.col("salt")).sortWithinPartitions("sig", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([b.column(i).to_numpy() for i in range(4)], 1) for b in batches if b.num_rows]
-        if not held:
-            return
-        got = np.concatenate(held)
-        held.clear()
-        got = got[np.lexsort((got[:, 1], got[:, 0]))]
-        same = (got[1:, 0] == got[:-1, 0]) & (got[1:, 1] == got[:-1, 1])
-        got = got[np.concatenate([[True], ~same])]
-        near = got[1:, 0] == got[:-1, 0]
-        got = got[np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (got[:, 3] > 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(3)], ["sig", "k", "n"])
+        last, met = np.zeros((0, 4), np.int64), False  # the row before, and whether the one before that has its signature
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = np.concatenate([last, np.stack([batch.column(i).to_numpy() for i in range(4)], 1)])
+            same = (got[1:, 0] == got[:-1, 0]) & (got[1:, 1] == got[:-1, 1])
+            got = got[np.concatenate([[True], ~same])]
+            near = got[1:, 0] == got[:-1, 0]
+            before = np.concatenate([[met], near])
+            out = got[:-1][before[:-1] | near | (got[:-1, 3] > 0)]
+            last, met = got[-1:], bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(3)], ["sig", "k", "n"])
+        if met or (last[:, 3] > 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(last[:, i]) for i in range(3)], ["sig", "k", "n"])
 
     return dealt.mapInArrow(run, "sig bigint, k bigint, n bigint")
 
@@ -213,14 +216,13 @@ def with_lone(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """k, elements of the wanted classes (k, doc_id: one document of each), once for each row of that document."""
-    texts = docs.join(wanted.select(F.col("doc_id").alias("_of"), F.col("k")), F.col("doc_id").eqNullSafe(F.col("_of")))
+    """k, elements of the wanted classes (k, row: one row of each)."""
+    texts = docs.join(wanted, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column("k").to_pylist()
-            found = [(k, own.tobytes()) for k, own in zip(asked, shingle_sets(batch.column("text").to_pylist(), words), strict=True) if class_of(own) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["k", "elements"])
+            sets = [own.tobytes() for own in shingle_sets(batch.column("text").to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sets, pa.binary())], ["k", "elements"])
 
     return texts.select("k", "text").mapInArrow(run, "k bigint, elements binary")
 
@@ -289,15 +291,20 @@ def nearer(known: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id that links lead to)."""
+    own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
+    return joined(numbered(own, "row"), words, percent, pivots, chunk_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def joined(plain: DataFrame, words: int, percent: int, pivots: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """row, doc_id, n_shingles, component_id of the rows of plain: row (its number), doc_id, text."""
     if percent < 80:
         raise ValueError("the size bands hold for a similarity of 80 percent or more")
-    plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    survey = stored(surveyed(plain, words, chunk_bytes), "survey")
+    survey = stored(surveyed(plain.select("row", "doc_id", "text"), words, chunk_bytes), "survey")
     common = survey.where("sig IS NOT NULL").groupBy("sig").agg(F.sum("times").alias("times")).where("times > 7").orderBy(F.desc("times"), "sig").limit(COMMON)
     top = sorted((r["sig"] % 2**64, r["times"]) for r in common.collect())  # COMMON rows at most
     ordered = (np.array([s for s, _ in top], np.uint64).tobytes(), np.array([t for _, t in top], np.int64).tobytes())
-    of_docs = survey.where("n IS NOT NULL").select("doc_id", "n", "k", "sketch", "f0", "f1")
-    classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("f0").alias("f0"), F.max("f1").alias("f1")), "classes")
+    of_docs = survey.where("n IS NOT NULL").select("row", "doc_id", "n", "k", "sketch", "f0", "f1")
+    classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("f0").alias("f0"), F.max("f1").alias("f1")), "classes")
     members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared"), classes), "members")
     links: DataFrame | None = None
     sets: DataFrame | None = None
@@ -309,9 +316,9 @@ def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("k"), "k", "left_anti")
-        wanted = stored(wanted.join(classes.select("k", "doc_id"), "k"), "wanted")
+        wanted = stored(wanted.join(classes.select("k", "row"), "k"), "wanted")
         if not wanted.isEmpty():
-            more = stored(set_table(plain, wanted, words), "sets")
+            more = stored(set_table(plain.select("row", "text"), wanted, words), "sets")
             sets = more if sets is None else sets.union(more)
         if sets is not None and not pairs.isEmpty():
             near = stored(verified(pairs, sets, percent), "links")
@@ -327,7 +334,7 @@ def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         lowest = least.groupBy("label").agg(F.min("doc_id").alias("lowest"))
         least = least.join(lowest, "label").select("k", F.col("lowest").alias("doc_id"))
     named = least.select(F.col("k").alias("_k"), F.col("doc_id").alias("component"))
-    return of_docs.join(named, F.col("k") == F.col("_k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return of_docs.join(named, F.col("k") == F.col("_k"), "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,9 +344,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     none, are decided one by one. A row without shingles stays.
     """
     row = "_leadloom_row"
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    joined = join_near(numbered, words, percent, row, text_col).select(F.col("doc_id").alias("_r"), "component_id")
-    id_, text = numbered[id_col].cast("bigint"), F.xxhash64(whole_text(text_col))
+    own = numbered(docs, row)
+    plain = own.select(F.col(row).alias("row"), F.col(row).alias("doc_id"), whole_text(text_col).alias("text"))
+    found = joined(plain, words, percent).select(F.col("row").alias("_r"), "component_id")
+    id_, text = own[id_col].cast("bigint"), F.xxhash64(whole_text(text_col))
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), text.alias("h"), F.col(row).alias("r"))
-    first = numbered.select(F.col(row), order.alias("o")).join(joined, F.col(row) == F.col("_r")).groupBy("component_id").agg(F.min("o")["r"].alias("_kept"))
-    return numbered.join(first, F.col(row) == F.col("_kept"), "left_semi").drop(row)
+    first = own.select(F.col(row), order.alias("o")).join(found, F.col(row) == F.col("_r")).groupBy("component_id").agg(F.min("o")["r"].alias("_kept"))
+    return own.join(first, F.col(row) == F.col("_kept"), "left_semi").drop(row)
