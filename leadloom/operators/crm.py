@@ -50,27 +50,34 @@ def open_actions(actions: DataFrame) -> DataFrame:
 
 def next_action(actions: DataFrame) -> DataFrame:
     """The open action that is first by level, due date and id."""
-    level = F.when(F.col("priority").startswith("A1"), 1).when(F.col("priority").startswith("A2"), 2).otherwise(3)
+    first, second, *_ = DUE
+    level = F.when(F.col("priority") == first, 1).when(F.col("priority") == second, 2).otherwise(3)
     return actions.where("status = 'OPEN'").orderBy(level, "due_date", "id").limit(1)
 
 
-def started(leads: DataFrame, actions: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Starts the next action, if any: the three tables after it."""
-    now = F.broadcast(next_action(actions).select(F.col("id").alias("_id"), F.col("domain").alias("_domain"), F.col("action_type").alias("_type")))  # one row
+def started(leads: DataFrame, actions: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Starts the next action, if any: the three tables after it, and the action itself (domain, action, priority)."""
+    now = F.broadcast(next_action(actions).select(F.col("id").alias("_id"), F.col("domain").alias("_domain"), F.col("action_type").alias("_type"), F.col("priority").alias("_level")))  # one row
     mine = F.col("_id").isNotNull()
     acted = actions.join(now.select("_id"), F.col("id") == F.col("_id"), "left").withColumn("status", F.when(mine, "IN_PROGRESS").otherwise(F.col("status"))).withColumn("started_at", F.when(mine, as_of.cast("string")).otherwise(F.col("started_at"))).drop("_id")
     told = leads.join(now, F.col("domain") == F.col("_domain"), "left")
-    told = told.withColumns({"pipeline_stage": F.when(mine, "CONTACTED").otherwise(F.col("pipeline_stage")), "attempts": F.col("attempts") + mine.cast("int"), "next_action": F.when(mine, F.concat(F.lit("Follow up on "), "_type")).otherwise(F.col("next_action")), "follow_up_date": F.when(mine, F.date_add(as_of, 3).cast("string")).otherwise(F.col("follow_up_date"))}).drop("_id", "_domain", "_type")
+    told = told.withColumns({"pipeline_stage": F.when(mine, "CONTACTED").otherwise(F.col("pipeline_stage")), "attempts": F.col("attempts") + mine.cast("int"), "next_action": F.when(mine, F.col("_type")).otherwise(F.col("next_action")), "follow_up_date": F.when(mine, F.date_add(as_of, 3).cast("string")).otherwise(F.col("follow_up_date"))}).drop("_id", "_domain", "_type", "_level")
     last = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    event = now.join(F.broadcast(last), F.lit(True)).select((F.col("last") + 1).alias("id"), F.col("_domain").alias("domain"), F.lit("ACTION_STARTED").alias("event_type"), F.col("_type").alias("notes"), as_of.cast("string").alias("created_at"))
-    return told, acted, events.unionByName(event)
+    event = now.join(F.broadcast(last), F.lit(True)).select((F.col("last") + 1).alias("id"), F.col("_domain").alias("domain"), F.lit("ACTION_STARTED").alias("event_type"), F.concat("_type", F.lit(" started | "), "_level").alias("notes"), as_of.cast("string").alias("created_at"))
+    return told, acted, events.unionByName(event), now.select(F.col("_domain").alias("domain"), F.col("_type").alias("action"), F.col("_level").alias("priority"))
 
 
-def completed(actions: DataFrame, events: DataFrame, domain: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Completes every action of the domain that is in progress; one event is added in any case."""
+def completed(actions: DataFrame, events: DataFrame, domain: str, as_of: Column, result: str = "") -> tuple[DataFrame, DataFrame]:
+    """Completes every action of the domain that is in progress; one event, with the result as its note, is added in any case."""
     mine = (F.col("domain") == domain) & (F.col("status") == "IN_PROGRESS")
     acted = actions.withColumn("completed_at", F.when(mine, as_of.cast("string")).otherwise(F.col("completed_at"))).withColumn("status", F.when(mine, "COMPLETED").otherwise(F.col("status")))
-    return acted, added(events, domain, "ACTION_COMPLETED", "", as_of)
+    return acted, added(events, domain, "ACTION_COMPLETED", result, as_of)
+
+
+def records(found: DataFrame, as_of: Column) -> DataFrame:
+    """The leads as rows of the store, in the columns of LEADS: by the level that their canonical priority has."""
+    level = F.when(F.col("priority_level").isin(list(DUE)[:2]), F.col("level_follow_up")).otherwise(14)
+    return found.select("domain", F.col("level_stage").alias("pipeline_stage"), F.col("level_state").alias("crm_status"), F.col("canonical_priority").alias("priority_score"), "priority_level", F.col("best_contact_method").alias("contact_method"), F.col("any_email").alias("primary_email"), "primary_phone", F.lit(0).alias("attempts"), F.col("level_next_action").alias("next_action"), F.date_add(as_of, level).cast("string").alias("follow_up_date"), as_of.cast("string").alias("updated_at"))
 
 
 def added(events: DataFrame, domain: str, kind: str, notes: str, as_of: Column) -> DataFrame:

@@ -48,13 +48,18 @@ def feature_sets(sites: DataFrame) -> DataFrame:
 
 
 def keyword_flags(pages: DataFrame) -> DataFrame:
-    """domain and, per keyword group, which of its keywords the site's text has, as booleans kw_<group>_<i>."""
+    """domain and, per keyword group, which of its keywords the site's text has, as booleans kw_<group>_<i>.
+
+    Keywords of prospect types are looked for in the text with the domain after it.
+    """
     low = with_domain(pages).select("domain", "ordinal", F.lower("text").alias("low"), F.lower("domain").alias("name"))
-    # A page adds a space at least, so so many pages before are enough for a seam's characters.
-    before = Window.partitionBy("domain").orderBy("ordinal").rowsBetween(-SEAM, -1)
-    seam = low.withColumn("tail", F.expr(f"right(low, {SEAM})")).withColumn("tails", F.collect_list("tail").over(before))
-    seam = seam.where(F.size("tails") > 0).select("domain", F.concat(F.expr(f"right(array_join(tails, ' '), {SEAM})"), F.lit(" "), F.expr(f"left(low, {SEAM})")).alias("low"), "name")
-    both = low.select("domain", "low", "name").union(seam)
+    # A page adds a space at least, so so many pages before are enough for a seam's characters; the window has edges alone.
+    edges = low.select("domain", "ordinal", F.expr(f"left(low, {SEAM})").alias("head"), F.expr(f"right(low, {SEAM})").alias("tail"), "name")
+    order = Window.partitionBy("domain").orderBy("ordinal")
+    edges = edges.withColumn("tails", F.collect_list("tail").over(order.rowsBetween(-SEAM, -1))).withColumn("next", F.lead("ordinal").over(order))
+    seam = edges.where(F.size("tails") > 0).select("domain", F.concat(F.expr(f"right(array_join(tails, ' '), {SEAM})"), F.lit(" "), "head").alias("low"), "name")
+    last = edges.where("next IS NULL").select("domain", F.lit("").alias("low"), F.concat(F.expr(f"right(array_join(array_append(tails, tail), ' '), {SEAM})"), F.lit(" "), "name").alias("name"))
+    both = low.select("domain", "low", "name").union(seam).union(last)
     aggs = []
     for group, words in rules.KEYWORDS.items():
         for i, w in enumerate(words):
@@ -76,10 +81,30 @@ def found_in(pages: DataFrame, pattern: str, name: str) -> DataFrame:
     return hits.distinct()
 
 
+def found_phones(pages: DataFrame) -> DataFrame:
+    """domain, phone: every distinct match in the site's text, its pages in order with a space between.
+
+    A match lies in a run of the pattern's own characters. Runs within a page are matched where they stand; those at
+    its edges are joined with the neighbours' first, so only they are gathered.
+    """
+    run = r"^[+\d\s().-]*"
+    cut = with_domain(pages).select("domain", "ordinal", "text", F.regexp_extract("text", run, 0).alias("head"), F.reverse(F.regexp_extract(F.reverse("text"), run, 0)).alias("tail"))
+    cut = cut.withColumn("whole", F.length("head") == F.length("text"))
+    inner = F.expr("substring(text, length(head) + 1, length(text) - length(head) - length(tail))")
+    matches = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(rules.PHONE), F.lit(0)))).alias("phone")
+    within = cut.where("NOT whole").select("domain", matches(inner))
+    # A page of such characters alone carries the run on: runs are numbered by the pages that end one.
+    number = F.sum((~F.col("whole")).cast("int")).over(Window.partitionBy("domain").orderBy("ordinal"))
+    edges = cut.select("domain", "ordinal", "head", "tail", "whole").withColumn("n", number)
+    pieces = edges.select("domain", F.explode(F.when(F.col("whole"), F.array(F.struct(F.col("n").alias("n"), "ordinal", F.col("head").alias("piece")))).otherwise(F.array(F.struct((F.col("n") - 1).alias("n"), "ordinal", F.col("head").alias("piece")), F.struct(F.col("n").alias("n"), "ordinal", F.col("tail").alias("piece"))))).alias("p"))
+    joined = pieces.groupBy("domain", "p.n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p.ordinal", "p.piece"))), lambda x: x["piece"]), " ").alias("run"))
+    return within.union(joined.select("domain", matches(F.col("run")))).distinct()
+
+
 def contacts(pages: DataFrame) -> DataFrame:
     """domain, raw and clean lists, and the chosen address and number with their scores."""
     emails = found_in(pages, rules.EMAIL, "email").groupBy("domain").agg(F.array_sort(F.collect_list("email")).alias("raw_emails"))
-    phones = found_in(pages, rules.PHONE, "phone").groupBy("domain").agg(F.array_sort(F.collect_list("phone")).alias("raw_phones"))
+    phones = found_phones(pages).groupBy("domain").agg(F.array_sort(F.collect_list("phone")).alias("raw_phones"))
     none = F.array().cast("array<string>")
     both = emails.join(phones, "domain", "full").select("domain", F.coalesce("raw_emails", none).alias("raw_emails"), F.coalesce("raw_phones", none).alias("raw_phones"))
     clean = both.withColumn("emails_found", exprs.clean_emails(F.col("raw_emails"), F.col("domain"))).withColumn("phones_found", exprs.clean_phones(F.col("raw_phones")))

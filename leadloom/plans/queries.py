@@ -73,7 +73,7 @@ _PARTS = {
     "joined": "SELECT domain, lower(string_agg(text, ' ' ORDER BY ordinal)) AS low, lower(domain) AS name FROM corpus GROUP BY domain",
     "keywords": "SELECT domain, " + ", ".join(" + ".join(f"CASE WHEN contains(low, {_q(w)}) THEN 1 ELSE 0 END" for w in rules.KEYWORDS[g]) + f" AS n_{g}" for g in ("seminar", "community", "event", "education", "industry", "association")) + ", " + ", ".join(f"contains(low, {_q(w)}) AS kw_{w}" for w in rules.KEYWORDS["role"]) + ", " + ", ".join("(" + " OR ".join(f"contains(low || ' ' || name, {_q(w)})" for w in rules.KEYWORDS[g]) + f") AS is_{g}" for g in ("home", "society")) + " FROM joined",
     "raw_emails": f"SELECT DISTINCT domain, unnest(regexp_extract_all(text, {_q(rules.EMAIL)})) AS email FROM corpus",
-    "raw_phones": f"SELECT DISTINCT domain, unnest(regexp_extract_all(text, {_q(rules.PHONE)})) AS phone FROM corpus",
+    "raw_phones": f"SELECT DISTINCT domain, unnest(regexp_extract_all(string_agg(text, ' ' ORDER BY ordinal), {_q(rules.PHONE)})) AS phone FROM corpus GROUP BY domain",
     "good_emails": f"SELECT DISTINCT domain, e FROM (SELECT domain, lower(email) AS e FROM raw_emails) WHERE {_valid} AND NOT ({_bad})",
     "good_phones": f"SELECT DISTINCT domain, trim(p) AS p FROM (SELECT domain, phone AS p FROM raw_phones) WHERE {_phone_ok}",
     "best_email": f"SELECT domain, max(s).e AS any_email, max(s).score AS email_confidence FROM (SELECT domain, struct_pack(score := {_escore}, e := e) AS s FROM good_emails) WHERE s.score > 0 GROUP BY domain",
@@ -110,7 +110,7 @@ SHEET_GROUPS: dict[str, list[str]] = {
     "outreach_bundle": ["outreach_priority_level", "outreach_channel", "first_contact_strategy", "offer_angle", "estimated_sales_motion", "sales_message_angle"],
     "brief": ["why_now", "primary_pain", "recommended_first_message", "expected_objection", "response_strategy"],
     "assets": ["asset_subject", "email_subject", "custom_opening"],
-    "canonical_priority": ["canonical_quality", "canonical_priority", "priority_level", "best_contact_method", "crm_state", "crm_stage", "crm_next_action", "level_state", "level_stage", "level_follow_up"],
+    "canonical_priority": ["canonical_quality", "canonical_priority", "priority_level", "best_contact_method", "crm_state", "crm_stage", "crm_next_action", "level_state", "level_stage", "level_next_action", "level_follow_up"],
 }
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,23 +142,37 @@ def _crm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def _after_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
+    rows, *_ = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
     return rows.select("domain", "pipeline_stage", "attempts", "next_action", "follow_up_date")
 
 
 def _after_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, actions, events = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
+    _, actions, events, _ = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
     name = crm.next_action(_actions(spark, sf_dir)).first()
     done, _ = crm.completed(actions, events, name["domain"] if name else "", F.expr(AS_OF))
     return done.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _events_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of the site whose action was started and completed."""
+    name = crm.next_action(_actions(spark, sf_dir)).first()
+    domain = name["domain"] if name else ""
+    _, actions, events, _ = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
+    _, events = crm.completed(actions, events, domain, F.expr(AS_OF), "done")
+    return crm.history(events, domain)
+
+
+def _started_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, actions, _, _ = crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))
+    return actions.where("status <> 'OPEN'").select("id", "domain", "action_type", "priority", "status", "due_date", "started_at")
+
+
 def _phones_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AREAS))
     p = F.expr(f"CASE c_custkey % 3 WHEN 0 THEN '+1 ' WHEN 1 THEN '1-' ELSE '' END || CASE c_custkey % 12 {text} END || '-555-01' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0')")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", p.alias("phone"))
     p = F.col("phone")
-    return c.select("c_custkey", exprs.valid_phone(p).alias("valid"), exprs.normal_phone(p).alias("normal"), exprs.region_score(p).alias("region"), exprs.phone_score(p).alias("score"))
+    return c.select("c_custkey", exprs.valid_phone(p).alias("valid"), exprs.normal_phone(p).alias("normal"), exprs.region_score(p).alias("region"), exprs.phone_score(p).alias("score"), F.array_join(exprs.region_reasons(p), ", ").alias("reasons"))
 
 
 _CUSTOMERS = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+1 ' WHEN 1 THEN '1-' ELSE '' END || CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AREAS)) + " END || '-555-01' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS p FROM customer"
@@ -184,7 +198,7 @@ def queries() -> dict[str, Query]:
         "feature_evidence": _long_evidence,
         "signal_verify": on(leads.verified_signals),
         "raw_emails": on(lambda p: leads.found_in(p, rules.EMAIL, "email")),
-        "raw_phones": on(lambda p: leads.found_in(p, rules.PHONE, "phone")),
+        "raw_phones": on(leads.found_phones),
         "phone_rules": _phones_of_customers,
         "clean_emails": on(lambda p: leads.contacts(p).select("domain", F.explode("emails_found").alias("email"))),
         "clean_phones": on(lambda p: leads.contacts(p).select("domain", F.explode("phones_found").alias("phone"))),
@@ -203,6 +217,11 @@ def queries() -> dict[str, Query]:
         "crm_upsert": lambda spark, sf_dir: crm.upserted(_log(spark, sf_dir)).select("domain", "priority_level", "event_type", "attempts"),
         "crm_after_start": _after_start,
         "crm_after_complete": _after_complete,
+        "action_started": lambda spark, sf_dir: crm.started(*_crm(spark, sf_dir), F.expr(AS_OF))[3],
+        "actions_after_start": _started_rows,
+        "events_after": _events_after,
+        "open_queue": lambda spark, sf_dir: crm.open_actions(_actions(spark, sf_dir)).select("id", "domain", "action_type", "priority", "due_date"),
+        "crm_records": on(lambda p: crm.records(leads.leads(p), F.expr(AS_OF))),
         "event_history": lambda spark, sf_dir: _log(spark, sf_dir).groupBy("domain").agg(F.max("seq").alias("last_id"), F.count("*").alias("n")),
     }
     return found | {n: _sheet_query(c) for n, c in SHEET_GROUPS.items()}
@@ -231,8 +250,24 @@ def oracle_sql() -> dict[str, str]:
         "open_actions": f"SELECT domain, id, CAST(row_number() OVER (PARTITION BY domain ORDER BY due_date, id) AS INTEGER) AS place FROM ({_ACTIONS})",
         "next_action": _FIRST,
         "crm_upsert": f"SELECT domain, arg_max(priority_level, seq) AS priority_level, arg_max(event_type, seq) AS event_type, max(attempts) AS attempts FROM ({_LOG}) GROUP BY domain",
-        "crm_after_start": f"WITH f AS ({_FIRST}) SELECT d.domain, CASE WHEN f.domain IS NULL THEN 'NEW' ELSE 'CONTACTED' END AS pipeline_stage, CASE WHEN f.domain IS NULL THEN 0 ELSE 1 END AS attempts, CASE WHEN f.domain IS NULL THEN '' ELSE 'Follow up on ' || f.action_type END AS next_action, CASE WHEN f.domain IS NULL THEN '' ELSE CAST({AS_OF} + 3 AS VARCHAR) END AS follow_up_date FROM (SELECT DISTINCT domain FROM ({_LOG})) d LEFT JOIN f USING (domain)",
+        "crm_after_start": f"WITH f AS ({_FIRST}) SELECT d.domain, CASE WHEN f.domain IS NULL THEN 'NEW' ELSE 'CONTACTED' END AS pipeline_stage, CASE WHEN f.domain IS NULL THEN 0 ELSE 1 END AS attempts, CASE WHEN f.domain IS NULL THEN '' ELSE f.action_type END AS next_action, CASE WHEN f.domain IS NULL THEN '' ELSE CAST({AS_OF} + 3 AS VARCHAR) END AS follow_up_date FROM (SELECT DISTINCT domain FROM ({_LOG})) d LEFT JOIN f USING (domain)",
         "crm_after_complete": f"WITH f AS ({_FIRST}) SELECT CASE WHEN f.id IS NULL THEN 'OPEN' ELSE 'COMPLETED' END AS status, count(*) AS n FROM ({_ACTIONS}) a LEFT JOIN f ON a.id = f.id GROUP BY 1",
         "event_history": f"SELECT domain, max(seq) AS last_id, count(*) AS n FROM ({_LOG}) GROUP BY domain",
     }
+    reason = "CASE phone_region_score WHEN 0 THEN 'Invalid phone format' WHEN 100 THEN 'Valid NANP phone number, Alberta area code' WHEN 70 THEN 'Valid NANP phone number, Canadian area code' ELSE 'Valid NANP phone number, Non-local area code' END"
+    phones = _phone_ok.replace(" p,", " x,").replace("(p,", "(x,")
+    emails = f"regexp_full_match(x, {_q(rules.EMAIL)}) AND NOT (" + " OR ".join(f"contains(x, {_q(b)})" for b in rules.BAD_ANYWHERE) + ")"
+    listed = f", es AS (SELECT domain, list_filter(list_transform(list_sort(list(email)), lambda x: lower(x)), lambda x: {emails}) AS l FROM raw_emails GROUP BY domain), el AS (SELECT domain, list_concat(list_reverse(list_filter(l, lambda x: ends_with(x, '@' || domain))), list_filter(l, lambda x: NOT ends_with(x, '@' || domain))) AS l FROM es), e AS (SELECT domain, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS emails FROM el), pl AS (SELECT domain, list_transform(list_filter(list_sort(list(phone)), lambda x: {phones}), lambda x: trim(x)) AS l FROM raw_phones GROUP BY domain), f AS (SELECT domain, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS phones FROM pl)"
+    found |= {
+        "contact_csv": oracle(f"SELECT domain, lead_type, sales_stage, sales_readiness, outreach_priority, '' AS outreach_level, any_email AS primary_email, primary_phone, normalized_phone, email_confidence, phone_confidence, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, crm_state AS crm_status, recommended_pitch FROM leads"),
+        "campaign_csv": oracle(f"{listed} SELECT leads.domain AS company, 'https://' || leads.domain AS website, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, campaign_type, '' AS recommended_subject, '' AS first_email_angle, 0 AS seminar_fit, sales_stage, '' AS follow_up_priority, '' AS follow_up_days FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
+        "report_text": oracle(f"SELECT domain, domain || chr(10) || 'Pages: ' || pages || chr(10) || 'Conversion: ' || conversion || chr(10) || 'Opportunity: ' || opportunity || chr(10) || 'Value: ' || lead_value || chr(10) || 'Priority: ' || priority || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Pitch: ' || pitch AS report FROM leads"),
+        "lead_report_md": oracle(f"SELECT domain, '# ' || domain || chr(10) || 'Action: ' || executive_action || chr(10) || 'Score: ' || executive_priority_score || chr(10) || 'Temperature: ' || lead_temperature || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Why now: ' || why_now AS report FROM leads ORDER BY executive_priority_score DESC, first_ordinal LIMIT 1"),
+        "crm_records": oracle(f"SELECT domain, level_stage AS pipeline_stage, level_state AS crm_status, canonical_priority AS priority_score, priority_level, best_contact_method AS contact_method, any_email AS primary_email, primary_phone, 0 AS attempts, CASE WHEN canonical_raw >= 180 THEN 'Send ' || best_contact_method || ' outreach' WHEN canonical_raw >= 120 THEN 'Prepare ' || best_contact_method || ' sequence' ELSE 'Research prospect' END AS next_action, CAST({AS_OF} + CASE WHEN canonical_raw >= 180 THEN 2 WHEN canonical_raw >= 120 THEN 5 ELSE 14 END AS VARCHAR) AS follow_up_date, CAST({AS_OF} AS VARCHAR) AS updated_at FROM leads"),
+        "action_started": f"WITH f AS ({_FIRST}) SELECT f.domain, f.action_type AS action, a.priority FROM f JOIN ({_ACTIONS}) a USING (id)",
+        "actions_after_start": f"WITH f AS ({_FIRST}) SELECT a.id, a.domain, a.action_type, a.priority, 'IN_PROGRESS' AS status, a.due_date, CAST({AS_OF} AS VARCHAR) AS started_at FROM f JOIN ({_ACTIONS}) a ON a.id = f.id",
+        "events_after": f"WITH f AS ({_FIRST}) SELECT CAST(1 AS BIGINT) AS id, f.domain, 'ACTION_STARTED' AS event_type, f.action_type || ' started | ' || a.priority AS notes, CAST({AS_OF} AS VARCHAR) AS created_at FROM f JOIN ({_ACTIONS}) a ON a.id = f.id UNION ALL SELECT CAST(2 AS BIGINT), f.domain, 'ACTION_COMPLETED', 'done', CAST({AS_OF} AS VARCHAR) FROM f",
+        "open_queue": f"SELECT id, domain, action_type, priority, due_date FROM ({_ACTIONS}) ORDER BY due_date, id",
+    }
+    found["phone_rules"] = found["phone_rules"].replace(" AS score FROM", f" AS score, CASE {_region} WHEN 0 THEN 'Invalid phone format' WHEN 100 THEN 'Valid NANP phone number, Alberta area code' WHEN 70 THEN 'Valid NANP phone number, Canadian area code' ELSE 'Valid NANP phone number, Non-local area code' END AS reasons FROM")
     return found | {n: oracle(f"SELECT domain, {', '.join(c)} FROM leads") for n, c in SHEET_GROUPS.items()}

@@ -30,7 +30,8 @@ def listed(*items: tuple[str, str]) -> str:
     return "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in items) + ")"
 
 
-# The wording of messages is ours and is configuration; classes and thresholds are semantics.
+# Class names and the eight texts of revenue_reason. The wording of other messages (packages, services,
+# reasons, pitches, subjects, angles, hooks, summaries, BY_ACTION) is ours and is configuration.
 SHEET: list[tuple[str, str]] = [
     ("conversion", f"least({worth(rules.REVENUE, False)}, 15)"),
     ("opportunity", f"least({worth(rules.FEATURES, True)}, 15)"),
@@ -117,6 +118,7 @@ SHEET += [
     ("crm_next_action", "'Research prospect'"),
     ("level_state", case("priority_level LIKE 'A1%' => 'NEW'", "priority_level LIKE 'A2%' => 'NEW'", "'NURTURE'")),
     ("level_stage", case("priority_level LIKE 'A1%' => 'CONTACTED'", "'NEW'")),
+    ("level_next_action", case("priority_level LIKE 'A1%' => concat('Send ', best_contact_method, ' outreach')", "priority_level LIKE 'A2%' => concat('Prepare ', best_contact_method, ' sequence')", "'Research prospect'")),
     ("level_follow_up", case("priority_level LIKE 'A1%' => 2", "priority_level LIKE 'A2%' => 5", "14")),
 ]
 

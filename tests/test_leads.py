@@ -66,6 +66,26 @@ def test_keyword_over_a_seam(spark):
     assert got == {"s.example": 1, "t.example": 0}
 
 
+def test_prospect_keyword_over_text_and_domain(spark):
+    rows = [(1, "http://homes.example", "the old funeral"), (2, "http://t.example", "funeral"), (3, "http://t.example", "x")]
+    got = {r["domain"]: r["is_home"] for r in leads.keyword_counts(leads.keyword_flags(page_rows(spark, [(0, "http://home.example", "our funeral"), *rows]))).collect()}
+    assert got == {"home.example": True, "homes.example": True, "t.example": False}
+
+
+def test_phones_over_seams(spark):
+    """As on the joined text: over two pages, over a page of such characters alone, at the very edges."""
+    import re
+
+    random.seed(4)
+    pieces = ["403", "-555", " 0101", "x", "", "+1 (", ") ", "555-01", "a 403-555-0102 b", "9" * 12, " ", "\n"]
+    rows, want = [], set()
+    for site in range(60):
+        texts = ["".join(random.choice(pieces) for _ in range(random.randint(0, 4))) for _ in range(random.randint(1, 6))]
+        rows += [(10 * site + i, f"http://s{site}.example", t) for i, t in enumerate(texts)]
+        want |= {(f"s{site}.example", m) for m in re.findall(rules.PHONE, " ".join(texts))}
+    assert {tuple(r) for r in leads.found_phones(page_rows(spark, rows)).collect()} == want and len(want) > 20
+
+
 def test_empty_pages(spark):
     assert leads.ranked(leads.leads(page_rows(spark, []))).count() == 0
 
@@ -95,12 +115,15 @@ def test_queue_script(spark):
     requests = spark.createDataFrame([(1, "a", "EMAIL", "B1 - Nurture", ""), (2, "b", "CALL", "A1 - Immediate Outreach", ""), (3, "b", "CALL", "A1 - Immediate Outreach", "")], "seq bigint, domain string, action_type string, priority string, notes string")
     actions = crm.enqueued(requests, as_of)
     rows = crm.widened(spark.createDataFrame([("a", 0), ("b", 0)], "domain string, attempts int"), crm.LEADS)
-    told, acted, events = crm.started(rows, actions, crm.empty(spark, crm.EVENTS), as_of)
+    told, acted, events, action = crm.started(rows, actions, crm.empty(spark, crm.EVENTS), as_of)
     assert {r["domain"]: (r["pipeline_stage"], r["attempts"], r["follow_up_date"]) for r in told.collect()} == {"a": (None, 0, None), "b": ("CONTACTED", 1, "2024-06-04")}
     assert {r["id"]: r["status"] for r in acted.collect()} == {1: "OPEN", 2: "IN_PROGRESS", 3: "OPEN"}
-    done, events = crm.completed(acted, events, "b", as_of)
+    assert [tuple(r) for r in action.collect()] == [("b", "CALL", "A1 - Immediate Outreach")]
+    assert {r["domain"]: r["next_action"] for r in told.collect()} == {"a": None, "b": "CALL"}
+    done, events = crm.completed(acted, events, "b", as_of, "sent")
     assert {r["id"]: r["status"] for r in done.collect()} == {1: "OPEN", 2: "COMPLETED", 3: "OPEN"}
     assert [r["event_type"] for r in crm.history(events, "b").collect()] == ["ACTION_COMPLETED", "ACTION_STARTED"]
+    assert [r["notes"] for r in crm.history(events, "b").collect()] == ["sent", "CALL started | A1 - Immediate Outreach"]
     none = crm.started(rows, actions.where("id < 0"), crm.empty(spark, crm.EVENTS), as_of)
     assert none[0].where("attempts > 0").count() == 0 and none[2].count() == 0
 
