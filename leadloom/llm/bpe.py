@@ -54,14 +54,23 @@ class Merges:
 
     def alone(self, word: bytes) -> list[int]:
         """One word by itself, lowest rank and then leftmost first."""
-        ids = [int(self.first[b]) for b in word]
-        while len(ids) > 1:
-            best = min(range(len(ids) - 1), key=lambda i: (self.pairs.get(ids[i] << 20 | ids[i + 1], int(NEVER)), i))
-            made = self.pairs.get(ids[best] << 20 | ids[best + 1])
-            if made is None:
-                break
-            ids[best : best + 2] = [made]
-        return ids
+        ids, n = [int(self.first[b]) for b in word], len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = lambda i: self.pairs.get(ids[i] << 20 | ids[after[i]]) if after[i] < n else None
+        queue = [(r, i) for i in range(n) if (r := pair(i)) is not None]
+        heapq.heapify(queue)
+        while queue:
+            made, i = heapq.heappop(queue)
+            if ids[i] < 0 or pair(i) != made:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], after[i] = made, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (r := pair(j)) is not None:
+                    heapq.heappush(queue, (r, j))
+        return [x for x in ids if x >= 0]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and where each word's begin (one more entry than words)."""
