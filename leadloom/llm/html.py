@@ -128,7 +128,7 @@ class Walk:
         self.open: list[tuple[str, str, bool]] = []  # tag, path, whether aside
 
     def step(self, token: Token) -> None:
-        if token.kind == "open" and (token.name in CONTAINERS or token.name in SKIPPED):
+        if token.kind == "open" and contains(token.name):
             path = f"{self.open[-1][1] if self.open else ''}/{label(token)}"
             inside = any(tag in ("article", "main") for tag, _, _ in self.open)
             self.open.append((token.name, path, path not in self.kept and ((bool(self.open) and self.open[-1][2]) or aside(token, inside))))
@@ -225,7 +225,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([r for _, r in keys], pa.string()), *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(7))], ["host", "role", "pages", "n", "s1", "s2", "place", "held", "kinds"])
 
-    summed = plain.mapInArrow(run, "host string, role string, pages bigint, n bigint, s1 bigint, s2 bigint, place bigint, held bigint, kinds bigint")
+    # Stored, so that pages are read once for both sums below.
+    summed = stored(plain.mapInArrow(run, "host string, role string, pages bigint, n bigint, s1 bigint, s2 bigint, place bigint, held bigint, kinds bigint"), "roles")
     total = [F.sum(c).alias(c) for c in ("pages", "n", "s1", "s2", "place", "held")]
     total.append(F.bit_count(F.bit_or("kinds")).alias("kinds"))
     by_role = summed.where("role != ''").groupBy("host", "role").agg(*total).where("pages > 1 AND pages = n")
@@ -253,6 +254,53 @@ def named_aside(path: str) -> bool:
     return aside(Token("open", name, frozenset(words), ""), any(part.split(".")[0] in ("article", "main") for part in above))
 
 
+def contains(name: str) -> bool:
+    """Whether an element is a step of paths."""
+    return name in CONTAINERS or name in SKIPPED
+
+
+def valid(members: list[tuple]) -> bool:
+    """Whether a class's tokens are in order and nest: (place, role, ...) each. A container opens after those around it
+    and before their ends, it ends while it is the innermost that the class has an end of, and a text stands in its own.
+
+    Places are means over the pages of a class, each of which has each token once: what nests on every page nests so.
+    """
+    own = {m[1] for m in members}
+    stack: list[str] = []
+    ended: set[str] = set()
+
+    def leave() -> bool:
+        path = stack.pop()
+        return f"{path}>" not in own or path in ended
+
+    for _, role, *_ in sorted(members):
+        path = role[role.index("/") :] if role.startswith("#") and "/" in role else role[:-1]
+        above, _, last = path.rpartition("/")
+        if role.startswith("#") or not contains(last.split(".")[0]):
+            around = path if role.startswith("#") else above
+            if f"{around}<" in own and around not in stack:
+                return False
+        elif role.endswith("<"):
+            parts = path.split("/")
+            around = ("/".join(parts[:i]) for i in range(2, len(parts)))
+            if any(f"{a}<" in own and a not in stack for a in around):
+                return False
+            while stack and not path.startswith(stack[-1] + "/"):
+                if not leave():
+                    return False
+            stack.append(path)
+        else:
+            ended.add(path)
+            if f"{path}<" in own:
+                if path not in stack:
+                    return False
+                while stack[-1] != path:
+                    if not leave():
+                        return False
+                stack.pop()
+    return True
+
+
 def template(rows: list[tuple]) -> str:
     """The template of a host from its steady roles: (role, pages, s1, s2, place, held, kinds)."""
     classes: dict[tuple, list[tuple]] = {}
@@ -261,20 +309,16 @@ def template(rows: list[tuple]) -> str:
     slots: dict[str, int] = {}
     fixed: dict[str, int] = {}
     for members in classes.values():
-        opened: list[str] = []
-        for _, role, held, kinds in sorted(members):
+        if not valid(members):
+            continue
+        for _, role, held, kinds in members:
             if role.startswith("#"):
                 if kinds >= SUPPORT:
                     fixed[role] = held
                 continue
             if not role.endswith("<"):
                 continue
-            path = role[:-1]
-            # A class is valid where its tokens nest: what is open is a prefix of what opens.
-            while opened and not path.startswith(opened[-1] + "/"):
-                opened.pop()
-            opened.append(path)
-            slots[path] = held
+            slots[role[:-1]] = held
     slots = {p: held for p, held in slots.items() if "." in p or p.rsplit("/", 1)[-1] in CONTAINERS}
     # What varies: a slot's text less the fixed texts in it.
     vary = dict(slots)
@@ -367,7 +411,8 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = 8 << 20) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page."""
-    # Stored, the templates have a known size: Spark broadcasts them while they are small, and deals out pages by host beyond.
+    # Stored, the templates have a known size: Spark broadcasts them while they are small. Beyond, it deals out pages by
+    # host, and splits a hot host's, as nothing but the join stands in that stage.
     found = stored(templates(pages, id_col, url_col, html_col, chunk_bytes), "templates").select(F.col("host").alias("_host"), F.col("template").alias("_form"))
     plain = pages.select(pages[id_col].cast("bigint").alias("_id"), pages[url_col].cast("string").alias("_url"), host_of(F.col(url_col)).alias("_host"), whole_text(html_col).alias("_html"))
     joined = plain.join(found, "_host", "left").select("_id", "_url", "_html", "_form")
