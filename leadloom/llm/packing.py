@@ -42,8 +42,13 @@ from .tokens import Words, vocabulary
 END_ID = 0
 #: Room below this stays padding: it isn't worth cutting tails for.
 SMALL = 8
-#: When to stop the linear program: the share that a better pattern could gain, and a number of steps. Pouring fills what is left.
-GAP, STEPS = 2e-3, 400
+#: When to stop the linear program: the share of sequences that it is proven to be from the least number at most. Tails that are
+#: poured fill what is left.
+GAP = 6e-3
+#: Patterns that a pricing adds at most, and steps after which the inverse is made anew.
+COLUMNS, REFRESH = 32, 256
+#: The share of the best bound's prices in those that patterns are priced at.
+SMOOTH = 0.7
 
 
 @lru_cache(maxsize=2)
@@ -100,8 +105,9 @@ def tokenised(docs: DataFrame, file: str | None, size: int, chunk_bytes: int) ->
     return docs.mapInArrow(run, "doc_id bigint, tokens bigint, full array<bigint>, tail binary")
 
 
-def best_pattern(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the pattern of the greatest price that fits, as a count for each length."""
+def best_patterns(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, list[np.ndarray]]:
+    """Unbounded knapsack by dynamic programming: the greatest price that fits; and patterns worth clearly more than
+    one sequence, each the best of those with some length, as a count for each length; the best first."""
     best = np.zeros(size + 1)
     took = np.full(size + 1, -1)
     for room in range(1, size + 1):
@@ -113,44 +119,89 @@ def best_pattern(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[fl
                 best[room], took[room] = worth[i], i
                 continue
         best[room] = best[room - 1]
-    counts, room = np.zeros(len(lengths), np.int64), size
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            counts[took[room]] += 1
-            room -= int(lengths[took[room]])
-    return float(best[size]), counts
-
-
-def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[float, np.ndarray]]:
-    """How often to use which pattern, fractions allowed: the revised simplex method with generated columns."""
-    # At first, each length alone or with the one that completes a sequence.
-    basis = np.diag(size // lengths).astype(np.float64)
-    where = {int(k): i for i, k in enumerate(lengths)}
-    for k, i in where.items():
-        j = where.get(size - k)
-        if j is not None and j != i and demand[i] <= demand[j] and (demand[i] < demand[j] or k > size - k):
-            basis[:, i] = 0
-            basis[[i, j], i] = 1
-    inverse = np.linalg.inv(basis)
-    use = inverse @ demand
-    for _ in range(STEPS):
-        prices = inverse.sum(axis=0)  # every pattern costs one sequence
-        worth, pattern = best_pattern(np.maximum(prices, 0), lengths, size)
-        if worth <= 1 + GAP:
+    with_it = prices + best[size - lengths]
+    found, seen = [], set()
+    for first in np.argsort(-with_it, kind="stable").tolist():
+        if with_it[first] <= 1 + GAP / 4 or len(found) == COLUMNS:
             break
-        way = inverse @ pattern
-        ratio = np.where(way > 1e-9, use / np.where(way > 1e-9, way, 1), np.inf)
-        out = int(ratio.argmin())
-        step = ratio[out]
-        use = np.maximum(use - step * way, 0)
-        use[out] = step
-        basis[:, out] = pattern
-        pivot = inverse[out] / way[out]
-        inverse -= np.outer(way, pivot)
-        inverse[out] = pivot
-    return [(float(u), basis[:, j].round().astype(np.int64)) for j, u in enumerate(use)]
+        counts, room = np.zeros(len(lengths), np.int64), size - int(lengths[first])
+        counts[first] = 1
+        while room > 0:
+            if took[room] < 0:
+                room -= 1
+            else:
+                counts[took[room]] += 1
+                room -= int(lengths[took[room]])
+        if (key := counts.tobytes()) not in seen:
+            seen.add(key)
+            found.append(counts)
+    return float(best[size]), found
+
+
+def first_patterns(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis and how often each of its patterns is used: first fit decreasing over what is left, each pattern until
+    one of its lengths is used up. Later patterns lack that length, so the basis is triangular."""
+    left, over = demand.copy(), demand > 0
+    basis, use = np.diag(size // lengths).astype(np.float64), np.zeros(len(lengths))
+    while over.any():
+        room, pattern = size, np.zeros(len(lengths))
+        rest = np.flatnonzero(over)
+        while len(rest := rest[lengths[rest] <= room]):
+            i = int(rest[-1])
+            pattern[i] = room // int(lengths[i])
+            room %= int(lengths[i])
+            rest = rest[:-1]
+        some = np.flatnonzero(pattern)
+        ratio = left[some] / pattern[some]
+        out = int(some[ratio.argmin()])
+        basis[:, out], use[out] = pattern, ratio.min()
+        left = np.maximum(left - use[out] * pattern, 0)
+        over[out] = False
+    return basis, use
+
+
+def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """How often to use which pattern, fractions allowed, by the revised simplex method with generated columns; and
+    the lower bound on sequences that ends it: no plan is better than its number by more than the share GAP."""
+    basis, use = first_patterns(lengths, demand, size)
+    bound = float(demand @ lengths) / size  # no sequence holds more than size tokens
+    if use.sum() > bound * (1 + GAP):
+        # Uses a little above zero keep steps from having no length.
+        spread = 1e-6 * use.mean() * (1.5 + np.sin(np.arange(len(use))))
+        asked, use = demand + basis @ spread, use + spread
+        inverse, done = np.linalg.inv(basis), 0
+        center, weight = lengths / size, SMOOTH
+        while use.sum() > bound * (1 + GAP):
+            own = np.maximum(inverse.sum(axis=0), 0)  # every pattern costs one sequence
+            # Priced between the basis's prices and those of the best bound, which swing less.
+            prices = weight * center + (1 - weight) * own
+            worth, patterns = best_patterns(prices, lengths, size)
+            # Prices over the worth of the best pattern are fair to every pattern, so what they give is a lower bound.
+            if (fair := float(prices @ demand) / max(worth, 1.0)) > bound:
+                bound, center = fair, prices / max(worth, 1.0)
+            moved = False
+            for pattern in patterns:
+                way = inverse @ pattern
+                if way.sum() <= 1 + GAP / 8:  # after the other steps it gains nothing any more
+                    continue
+                ratio = np.where(way > 1e-7, use / np.where(way > 1e-7, way, 1), np.inf)
+                out = int(ratio.argmin())
+                step, moved = ratio[out], True
+                use = np.maximum(use - step * way, 0)
+                use[out] = step
+                basis[:, out] = pattern
+                pivot = inverse[out] / way[out]
+                inverse -= np.outer(way, pivot)
+                inverse[out] = pivot
+                done += 1
+                if done % REFRESH == 0:
+                    inverse = np.linalg.inv(basis)
+                    use = np.maximum(inverse @ asked, 0)
+            if not moved and weight == 0:
+                break  # no pattern gains by the basis's own prices
+            weight = SMOOTH if moved else 0.0
+        use = np.maximum(np.linalg.solve(basis, demand), 0)
+    return [(float(u), basis[:, j].round().astype(np.int64)) for j, u in enumerate(use)], bound
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
@@ -160,7 +211,7 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int, int]
         return []
     left = np.array([histogram[int(k)] for k in lengths], np.int64)
     found: list[tuple[int, dict[int, int]]] = []
-    for use, pattern in sorted(linear_program(lengths, left.astype(np.float64), size), key=lambda p: -p[0]):
+    for use, pattern in sorted(linear_program(lengths, left.astype(np.float64), size)[0], key=lambda p: -p[0]):
         some = pattern > 0
         times = min(int(use + 1e-6), int((left[some] // pattern[some]).min()) if some.any() else 0)
         if times:
