@@ -73,6 +73,8 @@ def test_bpe_odd_orders():
     words = [bytes(random.choice(b" aaabthein.\n0\xc3\xa9") for _ in range(random.randint(0, 30))) for _ in range(500)]
     ids, cuts = table.replay(words)
     assert all(ids[cuts[i] : cuts[i + 1]].tolist() == table.alone(w) for i, w in enumerate(words))
+    long_ = bytes(random.choice(b"thein ab.\xc3\xa9") for _ in range(200_000))
+    assert b"".join(map(table.bytes.__getitem__, table.alone(long_))) == long_
 
 
 def test_substrings(spark, rows):
@@ -271,15 +273,29 @@ def test_packing_plans():
         assert held == collections.Counter(histogram)
 
 
+def test_packing_reaches_the_bound():
+    """Full histograms: the plan is within the rounding of what the linear program proves to be least."""
+    random.seed(5)
+    ways = [lambda k: 1000, lambda k: random.randint(1, 5000), lambda k: int(3000 * math.exp(-k / 120)) + 1, lambda k: int(3000 * math.exp((k - 1024) / 90)) + 1, lambda k: 700 if k > 512 else 3, lambda k: random.randint(0, 2), lambda k: int(2000 * math.exp(-(((k - 345) / 8) ** 2)))]
+    for way in ways:
+        histogram = {k: n for k in range(1, 1024) if (n := way(k))}
+        lengths, demand = (np.array(x) for x in zip(*histogram.items(), strict=True))
+        found, bound = packing.linear_program(lengths, demand.astype(float), 1024)
+        assert bound >= demand @ lengths / 1024 - 1e-6 and sum(n for n, _ in found) <= bound * (1 + packing.GAP)
+        assert sum(n for n, _ in packing.plan(histogram, 1024)) <= bound * (1 + packing.GAP) + 8
+
+
 def test_top_k(spark):
     rows = [(i, [random.choice([-0.3, 0.1, 0.5, 1e-20, -1e-20]) for _ in range(6)]) for i in range(160)]
     rows += [(200 + i, [0.5] * 6) for i in range(30)] + [(300, None), (301, [0.1, None]), (302, [float("nan")]), (303, [float("inf")]), (304, []), (305, [0.7, 0.2]), (None, [0.1])]
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
-    got = topk.top_k(df, df.where("vec_id % 50 = 0"), block_rows=40, query_rows=3)
-    assert set(map(tuple, got.collect())) == set(topk.exhaustive(rows, list(range(0, 400, 50)), 5))
+    rows += [(50, rows[3][1]), (50, rows[50][1]), (77, rows[50][1])]
+    df = df.union(spark.createDataFrame([(i, v, 9) for i, v in rows[-3:]], df.schema))
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, query_rows=3)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(topk.exhaustive(rows, list(range(0, 400, 50)), 5))
     huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id bigint, embedding array<double>")
-    assert [tuple(r) for r in topk.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert [tuple(r) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+    assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_quality(spark):
@@ -403,6 +419,28 @@ def test_html_template_leads(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
 
 
+def test_html_classes_must_nest():
+    whole = [(1.0, "/body<"), (2.0, "/body/div.a<"), (3.0, "#1/body/div.a"), (4.0, "/body/div.a>"), (5.0, "/body/div.b<"), (9.0, "/body>")]
+    assert html.valid(whole) and html.valid([(2.5, "/body/div.b/div.c<"), (3.5, "/body/div.b/div.c>")])
+    out_of_order = [(5.0, "/body<"), (1.0, "/body/div.a<"), (2.0, "/body/div.b/div.c<")]
+    crossing = [(1.0, "/body/div.a<"), (2.0, "/body/div.b<"), (3.0, "/body/div.a>"), (4.0, "/body/div.b>")]
+    stray = [(1.0, "/body/div.a<"), (2.0, "/body/div.a>"), (3.0, "#1/body/div.a")]
+    for members in (out_of_order, crossing, stray, [(4.0, "/body/div.a<"), (3.0, "/body/div.a>")]):
+        assert not html.valid(members), members
+    rows = [(role, 9, 7, 7, place, 10, 9) for place, role in crossing] + [(role, 9, 8, 8, place, 30, 9) for place, role in whole[:1]]
+    assert "div" not in html.template(rows) and "/body" in html.template(rows)
+
+
+def test_html_long_and_broken(spark):
+    long_ = "<body><article>" + "".join(f"<p>w{i}" for i in range(20_000))
+    deep = "<div>" * 3000 + "deep text" + "</p></section>" * 50
+    rows = [(1, None, long_), (2, None, deep), (2, None, deep), (3, None, "<p>open <b>bold <div class='x>never closed"), (4, None, "a < b <> c & d &amp; <!-- x")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html.main_text(df).collect()]
+    texts = dict(got)
+    assert len(got) == 5 and texts[1] == "\n".join(f"w{i}" for i in range(20_000)) and texts[2] == "deep text" and texts[4].startswith("a < b <> c & d &")
+
+
 def test_licenses(spark):
     text = "Copyright (c) 2020 A. Person\n" + dict(licenses.KNOWN)["0BSD"].replace("software", "SOFTWARE")
     rows = [(1, text), (2, text.replace("PROFITS", "PROFIT")), (3, None), (4, "released under   the MIT licence"), (5, "(c) 2020"), (6, "a " * 5000)]
