@@ -6,7 +6,8 @@ matter are found first, without loss: every window of `length` bytes names its l
 whose anchor is found once is no repeat. A run of windows that name one anchor is a context. All
 contexts of an anchor that is found twice go to a shard by it; of contexts whose digests are alike
 two are enough to tell what repeats, and the others take over what is found for those. The shard
-builds a suffix array: keys of seven bytes, refined as by Larsson and Sadakane (only groups that are
+compares the bytes of such two: alike, they would lie side by side in the array with all of their
+windows shared, so one of them stands there for both. It builds a suffix array: keys of seven bytes, refined as by Larsson and Sadakane (only groups that are
 not yet told apart are sorted again, at twice the depth), with common prefixes by Kasai's method, run
 over all contexts in step. Anchors with many contexts are dealt over several shards, and these are
 merged: each shard names one window of every class, and binary search finds it among the others'.
@@ -214,26 +215,25 @@ def sharded(pieces: DataFrame, length: int, shard_bytes: int, buckets: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of(batches):
+            # Rows are sorted, so a context's twin is the row after it.
+            twin = [i > 0 and r["c"] == rows[i - 1]["c"] and r["h"] == rows[i - 1]["h"] and r["bytes"] == rows[i - 1]["bytes"] for i, r in enumerate(rows)]
+            doubled = [b for a, b in zip(twin, [*twin[1:], False], strict=True) if not a]
+            rows = [r for r, t in zip(rows, twin, strict=True) if not t]
             hit, group, starts, counts = repeats_of([r["bytes"] for r in rows], length)
             out: list[tuple] = []
             windows: list[tuple] = []
             named: set[tuple] = set()
-            done: set[tuple] = set()
-            for row, at, n in zip(rows, starts.tolist(), counts.tolist(), strict=True):
-                own = hit[at : at + n]
-                # A context's twin has the same windows.
-                if (twin := (row["h"], row["c"])) in done:
-                    continue
-                done.add(twin)
+            for row, two, at, n in zip(rows, doubled, starts.tolist(), counts.tolist(), strict=True):
+                own, key = hit[at : at + n] | two, (row["h"], row["c"])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
-                out += [(*twin, row["n"], a, b - 1, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                out += [(*key, row["n"], a, b - 1, None, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 if row["salt"]:
                     for j in range(n):
                         g = (row["h"], row["salt"], int(group[at + j]))
                         if g not in named:
                             named.add(g)
                             digest = xxhash.xxh3_128_intdigest(row["bytes"][j : j + length])
-                            windows.append((*twin, j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, not own[j]))
+                            windows.append((*key, j, (digest >> 64) - 2**63, (digest & 2**64 - 1) - 2**63, not own[j]))
             if windows:
                 packed = np.array(windows, WINDOW)
                 bucket = packed["w1"] % buckets
@@ -336,7 +336,7 @@ def with_spans(docs: DataFrame, text_col: str, length: int, chunk_bytes: int, sh
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 19) -> DataFrame:
+def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """Per document: its bytes, the removed ones and their runs, and the digest of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +355,7 @@ def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     return with_spans(own, "text", length, chunk_bytes, shard_bytes).select("doc_id", "text", "spans").mapInArrow(run, RESULT)
 
 
-def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 19) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """The documents with repeated bytes removed, all columns; characters that a cut leaves in part are dropped.
 
     A null text stays null, and a text of which nothing is left becomes empty: no row goes.
