@@ -5,10 +5,12 @@ import collections
 import hashlib
 import html as escapes
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -442,8 +444,33 @@ def test_html_long_and_broken(spark):
 
 
 def test_licenses(spark):
-    text = "Copyright (c) 2020 A. Person\n" + dict(licenses.KNOWN)["0BSD"].replace("software", "SOFTWARE")
-    rows = [(1, text), (2, text.replace("PROFITS", "PROFIT")), (3, None), (4, "released under   the MIT licence"), (5, "(c) 2020"), (6, "a " * 5000)]
-    got = {r["doc_id"]: r["license"] for r in licenses.scan(frame(spark, rows)).collect()}
-    assert got == {1: "0BSD", 2: None, 3: None, 4: "MIT-notice", 5: None, 6: None}
+    known = dict(licenses.KNOWN)
+    text = "Copyright (c) 2020 A. Person\n" + known["0BSD"].replace("software", "SOFTWARE")
+    bsd = "BSD 3-Clause License\n\n© 2021 B. Person\nAll rights reserved.\n" + licenses._bsd([licenses._BSD_SOURCE, licenses._BSD_BINARY, licenses._BSD_NAMES], True).replace('"', "”").replace("; ", " — ")
+    rows = [(1, text), (2, text.replace("PROFITS", "PROFIT")), (3, None), (4, known["Unlicense"].replace("recognize", "recognise") + "\nMore."), (5, "(c) 2020"), (6, "a " * 5000)]
+    rows += [(7, bsd), (8, known["Zlib"].replace("acknowledgment", "acknowledgement")), (9, "See the LICENSE. " + known["MIT"]), (10, known["Unlicense"].replace("recognize", "recognise").replace("https", "http")), (10, None), (None, known["BSL-1.0"])]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {(1, "0BSD"), (2, None), (3, None), (4, None), (5, None), (6, None), (7, "BSD-3-Clause"), (8, "Zlib"), (9, None), (10, "Unlicense"), (10, None), (None, "BSL-1.0")}
+    own = spark.createDataFrame([("own", "Do what you  LIKE, per cent for percent")], "name string, text string")
+    assert [r["license"] for r in licenses.scan(frame(spark, [(1, "do what you like: percent for per cent")]), own).collect()] == ["own"]
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_licenses_as_published(spark, tmp_path):
+    """Whole long licences, where the system has them, by Spark and by the SQL."""
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    have = [(f, n) for f, n in files.items() if os.path.exists(f"{folder}/{f}")]
+    if not have:
+        pytest.skip("no licence texts here")
+    texts = [open(f"{folder}/{f}", encoding="utf-8").read() for f, _ in have]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "Copyright 2022 C. Person\n" + t.upper().replace("\n", "\r\n")) for i, t in enumerate(texts)] + [(200 + i, t.replace(" not ", " ", 1)) for i, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    names = [n for _, n in have]
+    assert [got[i] for i in range(len(have))] == names == [got[100 + i] for i in range(len(have))]
+    assert not any(got[200 + i] for i in range(len(have)))
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert {r[0]: r[2] for r in con.execute(licenses.scan_sql()).fetchall()} == got
