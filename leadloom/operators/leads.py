@@ -16,6 +16,8 @@ from leadloom.plans import sheet
 
 #: No keyword is longer than this and one more.
 SEAM = 32
+#: Ordinals of one site that go through one window; whatever is carried from one such bucket to the next is a string.
+WIDTH = 1 << 16
 
 
 def with_domain(pages: DataFrame) -> DataFrame:
@@ -47,18 +49,38 @@ def feature_sets(sites: DataFrame) -> DataFrame:
     return sites.withColumn("found", F.array_sort(found)).withColumn("missing", F.array_sort(F.array_except(names, "found")))
 
 
-def keyword_flags(pages: DataFrame) -> DataFrame:
+def around(pages: DataFrame, before: int, after: int, end: str, width: int = WIDTH) -> DataFrame:
+    """Replaces low by what stands around it in its site's text, where end follows each page but the last: before, so
+    many characters at most, and after, beginning with end. Both are empty where there is no such page.
+
+    Pages are cut to their edges first. Buckets of a site's ordinals have a window each, and hand on their own edges.
+    """
+    last = lambda c: F.expr(f"right({c}, {before})")
+    first = lambda c: F.expr(f"left({c}, {after})")
+    cut = pages.withColumns({"_bucket": F.floor(F.col("ordinal") / width), "_end": F.lit(end)}).withColumns({"_tail": last("concat(low, _end)"), "_head": first("concat(_end, low)")}).drop("low", "_end")
+    # A page has one character at least, the end, so that so many neighbours are enough.
+    def gathered(rows: DataFrame, own: list[str]) -> DataFrame:
+        order = Window.partitionBy(*own[:-1]).orderBy(own[-1])
+        lists = rows.withColumns({"_before": F.collect_list("_tail").over(order.rowsBetween(-before, -1)), "_after": F.collect_list("_head").over(order.rowsBetween(1, after))})
+        return lists.withColumns({"_before": last("array_join(_before, '')"), "_after": first("array_join(_after, '')")})
+
+    within = gathered(cut, ["domain", "_bucket", "ordinal"])
+    edges = within.groupBy("domain", "_bucket").agg(F.max_by(last("concat(_before, _tail)"), "ordinal").alias("_tail"), F.min_by(first("concat(_head, _after)"), "ordinal").alias("_head"))
+    carried = gathered(edges, ["domain", "_bucket"]).select("domain", "_bucket", F.col("_before").alias("_b"), F.col("_after").alias("_a"))
+    both = within.join(carried, ["domain", "_bucket"])
+    return both.withColumns({"before": last("concat(_b, _before)"), "after": first("concat(_after, _a)")}).select(*[c for c in cut.columns if c[0] != "_"], "before", "after")
+
+
+def keyword_flags(pages: DataFrame, width: int = WIDTH) -> DataFrame:
     """domain and, per keyword group, which of its keywords the site's text has, as booleans kw_<group>_<i>.
 
     Keywords of prospect types are looked for in the text with the domain after it.
     """
     low = with_domain(pages).select("domain", "ordinal", F.lower("text").alias("low"), F.lower("domain").alias("name"))
-    # A page adds a space at least, so so many pages before are enough for a seam's characters; the window has edges alone.
-    edges = low.select("domain", "ordinal", F.expr(f"left(low, {SEAM})").alias("head"), F.expr(f"right(low, {SEAM})").alias("tail"), "name")
-    order = Window.partitionBy("domain").orderBy("ordinal")
-    edges = edges.withColumn("tails", F.collect_list("tail").over(order.rowsBetween(-SEAM, -1))).withColumn("next", F.lead("ordinal").over(order))
-    seam = edges.where(F.size("tails") > 0).select("domain", F.concat(F.expr(f"right(array_join(tails, ' '), {SEAM})"), F.lit(" "), "head").alias("low"), "name")
-    last = edges.where("next IS NULL").select("domain", F.lit("").alias("low"), F.concat(F.expr(f"right(array_join(array_append(tails, tail), ' '), {SEAM})"), F.lit(" "), "name").alias("name"))
+    edges = low.select("domain", "ordinal", "low", F.expr(f"left(low, {SEAM})").alias("head"), F.expr(f"right(low, {SEAM})").alias("tail"), "name")
+    edges = around(edges, SEAM + 1, 1, " ", width)
+    seam = edges.where("before <> ''").select("domain", F.concat("before", "head").alias("low"), "name")
+    last = edges.where("after = ''").select("domain", F.lit("").alias("low"), F.concat(F.expr(f"right(concat(before, tail), {SEAM})"), F.lit(" "), "name").alias("name"))
     both = low.select("domain", "low", "name").union(seam).union(last)
     aggs = []
     for group, words in rules.KEYWORDS.items():
@@ -138,19 +160,19 @@ def leads(pages: DataFrame) -> DataFrame:
     return scored(signals(pages))
 
 
-def ranked(found: DataFrame) -> DataFrame:
+def ranked(found: DataFrame, width: int = WIDTH) -> DataFrame:
     """Adds outreach_rank: by outreach priority, ties in order of first sight.
 
-    Sites are dealt out by range of priority and counted; a row's rank is its range's offset and
-    its place within: no task holds them all.
+    Sites are dealt out by priority and range of first ordinal, width of them at most in a range, and counted; a row's
+    rank is its range's offset and its place within: no task holds all, nor all of one priority.
     """
-    order = [F.desc("outreach_priority"), F.asc("first_ordinal")]
-    dealt = found.select("domain", "outreach_priority", "first_ordinal")
-    ranges = dealt.groupBy("outreach_priority").agg(F.count("*").alias("n"))
-    # Priorities are tenths up to a bound plus pages over ten: few values, each a range.
-    above = ranges.select(F.col("outreach_priority").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy(F.desc("outreach_priority")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    within = F.row_number().over(Window.partitionBy("outreach_priority").orderBy(*order[1:]))
-    places = dealt.join(above, F.col("outreach_priority") == F.col("_p")).select(F.col("domain").alias("_d"), (F.col("above") + within).cast("int").alias("outreach_rank"))
+    span = F.floor(F.col("first_ordinal") / width).alias("span")
+    dealt = found.select("domain", F.col("outreach_priority").alias("level"), "first_ordinal", span)
+    ranges = dealt.groupBy("level", "span").agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.desc("level"), "span").rowsBetween(Window.unboundedPreceding, -1)
+    above = ranges.select("level", "span", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("above"))
+    within = F.row_number().over(Window.partitionBy("level", "span").orderBy("first_ordinal"))
+    places = dealt.join(above, ["level", "span"]).select(F.col("domain").alias("_d"), (F.col("above") + within).cast("int").alias("outreach_rank"))
     return found.join(places, F.col("domain") == F.col("_d")).drop("_d")
 
 
@@ -201,21 +223,17 @@ def top_lead_markdown(found: DataFrame) -> DataFrame:
     return best.select("domain", F.concat_ws("\n", F.concat(F.lit("# "), "domain"), F.concat(F.lit("Action: "), "executive_action"), F.concat(F.lit("Score: "), F.col("executive_priority_score").cast("string")), F.concat(F.lit("Temperature: "), "lead_temperature"), F.concat(F.lit("Missing: "), F.array_join("missing", ", ")), F.concat(F.lit("Why now: "), "why_now")).alias("report"))
 
 
-def verified_signals(pages: DataFrame) -> DataFrame:
+def verified_signals(pages: DataFrame, width: int = WIDTH) -> DataFrame:
     """domain, feature, place, snippet: the second detector's first two keywords per feature, each with its first
-    occurrence in the site's lower-case text (pages in order, a line each) and what stands around it."""
+    occurrence in the site's lower-case text (pages in order, a line each) and what stands around it. A site without
+    any has one row, with an empty feature and place 0."""
     low = with_domain(pages).select("domain", "ordinal", F.lower("text").alias("low"))
-    own = Window.partitionBy("domain").orderBy("ordinal")
-    before = F.collect_list(F.expr("right(low, 80)")).over(own.rowsBetween(-80, -1))
-    after = F.collect_list(F.expr("left(low, 150)")).over(own.rowsBetween(1, 150))
-    framed = low.select("domain", "ordinal", "low", before.alias("before"), after.alias("after"))
-    framed = framed.select("domain", "ordinal", "low", F.when(F.size("before") > 0, F.concat(F.expr("right(array_join(before, '\n'), 79)"), F.lit("\n"))).otherwise("").alias("lead"), F.when(F.size("after") > 0, F.concat(F.lit("\n"), F.array_join("after", "\n"))).otherwise("").alias("rest"))
     words = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("place"), F.lit(w).alias("word")) for f, ws in rules.SIGNALS.items() for i, w in enumerate(ws)])
-    hits = framed.select("domain", "ordinal", "low", "lead", "rest", F.explode(F.filter(words, lambda w: F.col("low").contains(w["word"]))).alias("w"))
-    at = F.expr("locate(w.word, low)") + F.length("lead")
-    whole = F.concat("lead", "low", "rest")
-    start = F.greatest(at - 80, F.lit(1))
-    snippet = F.translate(F.substring(whole, start, at + 150 - start), "\n", " ")
-    first = hits.select("domain", "ordinal", "w.feature", "w.place", snippet.alias("snippet")).groupBy("domain", "feature", "place").agg(F.min(F.struct("ordinal", "snippet"))["snippet"].alias("snippet"))
+    hits = low.select("domain", "ordinal", "low", F.explode(F.filter(words, lambda w: F.col("low").contains(w["word"]))).alias("w")).withColumn("at", F.expr("locate(w.word, low)"))
+    own = F.struct("ordinal", "at", F.expr("substring(low, greatest(at - 80, 1), least(at - 1, 80))").alias("left"), F.expr("substring(low, at, 150)").alias("right"))
+    first = hits.groupBy("domain", "w.feature", "w.place").agg(F.min(own).alias("hit"))
     two = F.row_number().over(Window.partitionBy("domain", "feature").orderBy("place"))
-    return first.withColumn("place", two).where("place <= 2").select("domain", "feature", "place", "snippet")
+    first = first.withColumn("place", two).where("place <= 2").select("domain", "feature", "place", "hit.*")
+    whole = first.join(around(low, 80, 150, "\n", width), ["domain", "ordinal"]).select("domain", "feature", "place", F.translate(F.expr("concat(right(before, greatest(81 - at, 0)), left, left(concat(right, after), 150))"), "\n", " ").alias("snippet"))
+    none = low.select("domain").distinct().join(first, "domain", "left_anti").select("domain", F.lit("").alias("feature"), F.lit(0).alias("place"), F.lit("No conversion signals detected").alias("snippet"))
+    return whole.union(none)

@@ -184,9 +184,22 @@ def _long_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("domain", F.explode(rows).alias("e")).where("e.url IS NOT NULL").select("domain", "e.feature", "e.url", "e.snippet")
 
 
+def _canonical_whole(pages: DataFrame) -> DataFrame:
+    """All fields of the seven groups, side by side."""
+    groups = leads.canonical(leads.leads(pages), F.expr(AS_OF)).select("company.*", "website.*", "contacts.*", "scoring.*", "opportunity.*", "outreach.*", "crm.*")
+    return groups.withColumns({c: F.array_join(c, ", ") for c in ("found", "missing", "emails_found", "phones_found", "phone_reason")})
+
+
+def _profile(pages: DataFrame) -> DataFrame:
+    """The fields of the personalization profile, the outreach package and the outreach assets, side by side."""
+    nested = leads.lead_result(leads.leads(pages))
+    profile, package, assets = "personalization_profile", "outreach_package", "outreach_assets"
+    return nested.select("domain", f"{profile}.website_observations", f"{profile}.metrics.*", f"{profile}.custom_opening", f"{profile}.sales_message_angle", *[f"{package}.{g}.*" for g in ("email", "phone", "follow_up", "crm")], F.col(f"{assets}.email_subject").alias("asset_subject"), *[f"{assets}.{c}" for c in ("offer_angle", "first_contact_strategy")])
+
+
 def _signals_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT domain, {_q(f)} AS feature, {i} AS place, strpos(low, {_q(w)}) AS pos, low FROM lines" for f, ws in rules.SIGNALS.items() for i, w in enumerate(ws))
-    return oracle(f", lines AS (SELECT domain, lower(string_agg(text, chr(10) ORDER BY ordinal)) AS low FROM corpus GROUP BY domain), hits AS ({rows}) SELECT domain, feature, CAST(row_number() OVER (PARTITION BY domain, feature ORDER BY place) AS INTEGER) AS place, replace(substr(low, greatest(pos - 80, 1), pos + 150 - greatest(pos - 80, 1)), chr(10), ' ') AS snippet FROM hits WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY domain, feature ORDER BY place) <= 2")
+    return oracle(f", lines AS (SELECT domain, lower(string_agg(text, chr(10) ORDER BY ordinal)) AS low FROM corpus GROUP BY domain), hits AS ({rows}) SELECT domain, feature, CAST(row_number() OVER (PARTITION BY domain, feature ORDER BY place) AS INTEGER) AS place, replace(substr(low, greatest(pos - 80, 1), pos + 150 - greatest(pos - 80, 1)), chr(10), ' ') AS snippet FROM hits WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY domain, feature ORDER BY place) <= 2 UNION ALL SELECT domain, '', 0, 'No conversion signals detected' FROM hits GROUP BY domain HAVING max(pos) = 0")
 
 
 def queries() -> dict[str, Query]:
@@ -211,6 +224,8 @@ def queries() -> dict[str, Query]:
         "report_text": on(lambda p: leads.report_text(leads.leads(p))),
         "lead_report_md": on(lambda p: leads.top_lead_markdown(leads.leads(p))),
         "canonical": on(lambda p: leads.canonical(leads.leads(p), F.expr(AS_OF)).select("company.domain", "outreach.priority_score", "crm.follow_up_date", "crm.level_follow_up_date")),
+        "canonical_whole": on(_canonical_whole),
+        "lead_profile": on(_profile),
         "action_due": lambda spark, sf_dir: _actions(spark, sf_dir).select("id", "domain", "priority", "due_date"),
         "open_actions": lambda spark, sf_dir: crm.queue_places(_actions(spark, sf_dir)),
         "next_action": lambda spark, sf_dir: crm.next_action(_actions(spark, sf_dir)).select("id", "domain", "action_type"),
@@ -261,6 +276,8 @@ def oracle_sql() -> dict[str, str]:
     found |= {
         "contact_csv": oracle(f"SELECT domain, lead_type, sales_stage, sales_readiness, outreach_priority, '' AS outreach_level, any_email AS primary_email, primary_phone, normalized_phone, email_confidence, phone_confidence, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, crm_state AS crm_status, recommended_pitch FROM leads"),
         "campaign_csv": oracle(f"{listed} SELECT leads.domain AS company, 'https://' || leads.domain AS website, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, campaign_type, '' AS recommended_subject, '' AS first_email_angle, 0 AS seminar_fit, sales_stage, '' AS follow_up_priority, '' AS follow_up_days FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
+        "canonical_whole": oracle(f"{listed} SELECT leads.domain AS domain, lead_type, prospect_type, pages, replace({have('')}, ',', ', ') AS found, replace({have('NOT ')}, ',', ', ') AS missing, coalesce(emails, '') AS emails_found, coalesce(phones, '') AS phones_found, any_email AS primary_email, email_confidence, primary_phone, phone_confidence, normalized_phone, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, conversion, opportunity, lead_value, priority, sales_readiness, sales_stage, executive_priority_score, revenue_opportunity_score, revenue_tier, revenue_reason, digital_opportunity_score, partnership_opportunity_score, campaign_type, outreach_priority, outreach_channel, recommended_pitch, canonical_priority AS priority_score, priority_level, best_contact_method, crm_state AS crm_status, sales_lane, crm_stage AS pipeline_stage, crm_next_action AS next_action, CAST({AS_OF} + 14 AS VARCHAR) AS follow_up_date, 0 AS attempt_count, sales_readiness AS engagement_score, CAST({AS_OF} + CAST(level_follow_up AS INTEGER) AS VARCHAR) AS level_follow_up_date FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
+        "lead_profile": oracle("SELECT domain, website_observations, pages, opportunity, revenue_tier, executive_priority_score, custom_opening, sales_message_angle, email_subject, opening_hook, email_personalization, recommended_message, first_email_angle, call_script_angle, target_contact_role, primary_phone, follow_up_days, follow_up_priority, crm_status, sales_lane, lead_temperature, priority_score, asset_subject, offer_angle, first_contact_strategy FROM leads"),
         "report_text": oracle(f"SELECT domain, domain || chr(10) || 'Pages: ' || pages || chr(10) || 'Conversion: ' || conversion || chr(10) || 'Opportunity: ' || opportunity || chr(10) || 'Value: ' || lead_value || chr(10) || 'Priority: ' || priority || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Pitch: ' || pitch AS report FROM leads"),
         "lead_report_md": oracle(f"SELECT domain, '# ' || domain || chr(10) || 'Action: ' || executive_action || chr(10) || 'Score: ' || executive_priority_score || chr(10) || 'Temperature: ' || lead_temperature || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Why now: ' || why_now AS report FROM leads ORDER BY executive_priority_score DESC, first_ordinal LIMIT 1"),
         "crm_records": oracle(f"SELECT domain, level_stage AS pipeline_stage, level_state AS crm_status, canonical_priority AS priority_score, priority_level, best_contact_method AS contact_method, any_email AS primary_email, primary_phone, 0 AS attempts, CASE WHEN canonical_raw >= 180 THEN 'Send ' || best_contact_method || ' outreach' WHEN canonical_raw >= 120 THEN 'Prepare ' || best_contact_method || ' sequence' ELSE 'Research prospect' END AS next_action, CAST({AS_OF} + CASE WHEN canonical_raw >= 180 THEN 2 WHEN canonical_raw >= 120 THEN 5 ELSE 14 END AS VARCHAR) AS follow_up_date, CAST({AS_OF} AS VARCHAR) AS updated_at FROM leads"),

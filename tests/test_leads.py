@@ -66,6 +66,32 @@ def test_keyword_over_a_seam(spark):
     assert got == {"s.example": 1, "t.example": 0}
 
 
+def test_surroundings_over_buckets(spark):
+    """What stands around a page, ranks and signals, with buckets of two and of many ordinals, as on the joined text."""
+    random.seed(5)
+    pieces = ["", "a", "bc", "contact us", " the price ", "x" * 60, "plan\nahead", "burial"]
+    sites = {f"s{i}.example": ["".join(random.choice(pieces) for _ in range(random.randint(0, 3))) for _ in range(random.randint(1, 9))] for i in range(30)}
+    rows = [(40 * i + 3 * j, f"http://{d}", t) for i, (d, texts) in enumerate(sites.items()) for j, t in enumerate(texts)]
+    pages = page_rows(spark, rows)
+    low = leads.with_domain(pages).selectExpr("domain", "ordinal", "text AS low")
+    for width in (2, 1000):
+        got = {(r["domain"], r["ordinal"]): (r["before"], r["after"]) for r in leads.around(low, 7, 5, "|", width).collect()}
+        for i, (d, texts) in enumerate(sites.items()):
+            for j in range(len(texts)):
+                assert got[d, 40 * i + 3 * j] == ("".join(t + "|" for t in texts[:j])[-7:], "".join("|" + t for t in texts[j + 1 :])[:5])
+        want = set()
+        for d, texts in sites.items():
+            whole = "\n".join(texts)
+            for f, words in rules.SIGNALS.items():
+                found = [whole[max(0, whole.find(w) - 80) : whole.find(w) + 150].replace("\n", " ") for w in words if w in whole]
+                want |= {(d, f, i + 1, t) for i, t in enumerate(found[:2])}
+        want |= {(d, "", 0, "No conversion signals detected") for d in sites if d not in {w[0] for w in want}}
+        assert {tuple(r) for r in leads.verified_signals(pages, width).collect()} == want and any(not w[1] for w in want)
+        levels = low.groupBy("domain").agg(F.min("ordinal").alias("first_ordinal")).withColumn("outreach_priority", F.col("first_ordinal") % 3 / 10)
+        order = [r["domain"] for r in leads.ranked(levels, width).orderBy("outreach_rank").collect()]
+        assert order == [r["domain"] for r in levels.orderBy(F.desc("outreach_priority"), "first_ordinal").collect()]
+
+
 def test_prospect_keyword_over_text_and_domain(spark):
     rows = [(1, "http://homes.example", "the old funeral"), (2, "http://t.example", "funeral"), (3, "http://t.example", "x")]
     got = {r["domain"]: r["is_home"] for r in leads.keyword_counts(leads.keyword_flags(page_rows(spark, [(0, "http://home.example", "our funeral"), *rows]))).collect()}
