@@ -151,8 +151,8 @@ def signals(pages: DataFrame) -> DataFrame:
 
 def scored(sites: DataFrame) -> DataFrame:
     """Adds the columns of the score sheet."""
-    for name, text in sheet.spark_sheet():
-        sites = sites.withColumn(name, F.expr(text))
+    for level in sheet.levels(sheet.spark_sheet()):
+        sites = sites.withColumns({name: F.expr(text) for name, text in level})
     return sites
 
 

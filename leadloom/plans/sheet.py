@@ -136,3 +136,15 @@ def spark_sheet() -> list[tuple[str, str]]:
 
 def duckdb_sheet() -> list[tuple[str, str]]:
     return [(n, _filled(e, "CAST(printf('%.Nf', X) AS DOUBLE)")) for n, e in SHEET]
+
+
+def levels(lines: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """The lines in groups, each of which names columns of the groups before it alone: one step of a plan each."""
+    at: dict[str, int] = {}
+    found: list[list[tuple[str, str]]] = []
+    for name, text in lines:
+        at[name] = max((at[w] + 1 for w in re.findall(r"\w+", text) if w in at), default=0)
+        if at[name] == len(found):
+            found.append([])
+        found[at[name]].append((name, text))
+    return found
