@@ -1,7 +1,7 @@
 """Quality rules: fixed counts with limits, and a calibrated classifier over hashed n-grams.
 
 The classifier is a logistic regression over the relative frequencies of hashed words, word pairs
-and byte n-grams. It learns from a bounded sample of labelled rows (`train_rows`, by hash order),
+and character n-grams. It learns from a bounded sample of labelled rows (`train_rows`, by hash order),
 is calibrated by Platt's method on a held-out fifth of them, and scores every whole text in Arrow
 batches against a fixed threshold. Only the weights (`2 ** bits` floats) go through the driver.
 
@@ -26,7 +26,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Odd multipliers that mix hashes (the golden ratio's bits and well-known finalisers).
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-MIX32 = np.uint32(0x85EBCA6B)
+MIX32, STEP32 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 LOSS_STEPS = 100
 
 
@@ -46,20 +46,20 @@ def bucket(values: np.ndarray, bits: int) -> np.ndarray:
     return ((values ^ values >> np.uint64(29)) * MIX[1] >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def features(texts: list[bytes], bits: int, chars: int) -> tuple[list[np.ndarray], Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers per text; the words; buckets of words and word pairs, of byte n-grams; and where each text's begin."""
+def features(texts: list[str], bits: int, chars: int) -> tuple[list[np.ndarray], Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers per text; the words; buckets of words and word pairs, of character n-grams; and where each text's begin."""
     words = Hashes()
-    ids = [np.fromiter(map(words.__getitem__, own := t.split()), np.int64, len(own)) for t in texts]
+    ids = [np.fromiter(map(words.__getitem__, own := t.encode().split()), np.int64, len(own)) for t in texts]
     hashed = np.array(words.hashes, np.uint64)
     parts, word_cuts = [], [0]
     for own in ids:
         h = hashed[own]
         parts += [bucket(h, bits), bucket(h[:-1] * MIX[0] + h[1:], bits)] if len(h) else []
         word_cuts.append(word_cuts[-1] + max(0, 2 * len(h) - 1))
-    data = np.frombuffer(b"".join(texts) + bytes(chars), np.uint8)
+    data = np.frombuffer(("".join(texts) + "\0" * chars).encode("utf-32-le"), np.uint32)
     code = np.zeros(len(data) - chars, np.uint32)
     for j in range(chars):
-        code = (code << np.uint32(8)) | data[j : len(data) - chars + j]
+        code = code * STEP32 + data[j : len(data) - chars + j]
     code = (code ^ code >> np.uint32(15)) * MIX32
     code = (code ^ code >> np.uint32(13)) * MIX32 >> np.uint32(32 - bits)
     cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -77,7 +77,7 @@ def margins(weights: np.ndarray, words: np.ndarray, word_cuts: np.ndarray, grams
     return mean_of(weights[words], word_cuts[:-1], word_cuts[1:]) + mean_of(weights[grams], cuts[:-1], ends)
 
 
-def trained(texts: list[bytes], good: np.ndarray, held: np.ndarray, bits: int, chars: int) -> np.ndarray:
+def trained(texts: list[str], good: np.ndarray, held: np.ndarray, bits: int, chars: int) -> np.ndarray:
     """Weights, intercept, and Platt's slope and offset."""
     rows, cols, values = [], [], []
     for i, text in enumerate(texts):
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, bits: int =
         held = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 == 0 for i, _, _ in got])
         if len(set(good[~held].tolist())) < 2:
             held[:] = False
-        model = trained([t.encode() for _, _, t in got], good, held, bits, chars)
+        model = trained([t for _, _, t in got], good, held, bits, chars)
         yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
 
     found = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
@@ -169,7 +169,7 @@ def judged(model: bytes | None, docs: DataFrame, bits: int, chars: int, threshol
         for chunk in chunks(batches, "_text", chunk_bytes):
             texts = [t for b in chunk.column("_text").chunks for t in b.to_pylist()]
             data = [t.encode() for t in texts]
-            ids, _, words, word_cuts, grams, cuts = features(data, bits, chars)
+            ids, _, words, word_cuts, grams, cuts = features(texts, bits, chars)
             if learned is not None:
                 z = margins(learned, words, word_cuts, grams, cuts, chars) + learned[-3]
                 chance = 1 / (1 + np.exp(-np.clip(learned[-2] * z + learned[-1], -30, 30)))

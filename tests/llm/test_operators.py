@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html as escapes
+import itertools
 import math
 import os
 import random
@@ -474,3 +475,44 @@ def test_licenses_as_published(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     assert {r[0]: r[2] for r in con.execute(licenses.scan_sql()).fetchall()} == got
+
+
+def test_quality_counts_characters():
+    """N-grams are of characters, within a text, whatever bytes these take."""
+    texts, chars, bits = ["añbñ añbñ", "ab", "", "日本語の文日本語の"], 4, 17
+    _, _, _, _, grams, cuts = quality.features(texts, bits, chars)
+    assert cuts.tolist() == [0, 9, 11, 11, 20]
+    own = [grams[a : max(a, b - chars + 1)].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
+    for text, got in zip(texts, own, strict=True):
+        pieces = [text[i : i + chars] for i in range(len(text) - chars + 1)]
+        assert len(got) == len(pieces) and len(set(zip(pieces, got, strict=True))) == len(set(pieces)) == len(set(got))
+    assert quality.features(["xx日本語の"], bits, chars)[4][2] == own[3][0]
+
+
+def test_quality_on_held_out_labels(spark):
+    """Of the labelled rows that the sample leaves out, at least nine in ten get their label."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    labels = read("labels")
+    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    docs = read("documents").join(labels.where(apart).select("doc_id"), "doc_id")
+    model = quality.fit(read("documents"), labels.where(~apart))
+    found = quality.judged(model, docs, 17, 4, 0.5, "doc_id", "text", [], 4 << 20).withColumn("good", F.expr("probability >= 0.5"))
+    right, n = found.join(labels, "doc_id").agg(F.avg((F.col("good") == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
+    print(f"{right:.4f} of {n} held-out labels")
+    assert n > 300 and right >= 0.9
+
+
+@pytest.mark.parametrize(("text", "edges", "within"), [("a1 b2 c3 d4", 3, 1e-3), ("a1 x b2 x a1 x c3", 1, 1e-3), ("a1 b2 a1 c3", 4, 0.05)])
+def test_pii_marginals_against_enumeration(text, edges, within):
+    """Message passing is exact on trees and near it on a small loop."""
+    rng, field, n_labels = np.random.default_rng(5), pii.Field([text]), pii.N_LABELS
+    assert len(field.chain) + len(field.skip) == edges
+    model = rng.normal(0, 0.4, pii.N_FEATURES * n_labels + 2 * n_labels**2)
+    own = field.evidence(model[: pii.N_FEATURES * n_labels].reshape(-1, n_labels))
+    chain, skip = model[pii.N_FEATURES * n_labels :].reshape(2, n_labels, n_labels)
+    want = np.zeros_like(own)
+    for labels in itertools.product(range(n_labels), repeat=len(own)):
+        energy = sum(own[i, x] for i, x in enumerate(labels)) + sum(w[labels[a], labels[b]] for e, w in ((field.chain, chain), (field.skip, skip)) for a, b in e)
+        want[np.arange(len(own)), labels] += np.exp(energy)
+    want /= want.sum(axis=1, keepdims=True)
+    assert np.abs(pii.marginals(field, model) - want).max() < within
