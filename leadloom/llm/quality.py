@@ -2,12 +2,13 @@
 
 The classifier is a logistic regression over the relative frequencies of hashed words, word pairs
 and character n-grams. It learns from a bounded sample of labelled rows (`train_rows`, by hash order),
-is calibrated by Platt's method on a held-out fifth of them, and scores every whole text in Arrow
-batches against a fixed threshold. Only the weights (`2 ** bits` floats) go through the driver.
+is calibrated by Platt's method on a held-out fifth of each kind (on all of them where that is fewer
+than ten), and scores every whole text in Arrow batches against a fixed threshold. Only the weights
+(`2 ** bits` floats) go through the driver.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows and
 null ids are scored like any others; labels that are null or of no document are ignored; without
-labels of both kinds the classifier has no say. Other columns are ignored.
+labels of both kinds, or where the margin does not tell them apart, the classifier has no say. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SYMBOLS = b"#*$%&|<>"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 MIX32, STEP32 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 LOSS_STEPS = 100
+NEWTON_STEPS = 100
+#: Labels of a kind set aside, below which calibration takes the rows that the weights come from.
+LEAST_HELD = 10
 
 
 class Hashes(dict):
@@ -77,61 +81,107 @@ def margins(weights: np.ndarray, words: np.ndarray, word_cuts: np.ndarray, grams
     return mean_of(weights[words], word_cuts[:-1], word_cuts[1:]) + mean_of(weights[grams], cuts[:-1], ends)
 
 
-def trained(texts: list[str], good: np.ndarray, held: np.ndarray, bits: int, chars: int) -> np.ndarray:
-    """Weights, intercept, and Platt's slope and offset."""
-    rows, cols, values = [], [], []
-    for i, text in enumerate(texts):
-        _, _, words, _, grams, _ = features([text], bits, chars)
-        for of in (words, grams[: max(0, len(text) - chars + 1)]):
-            if len(of):
-                c, n = np.unique(of, return_counts=True)
-                rows.append(np.full(len(c), i, np.int32))
-                cols.append(c.astype(np.int32))
-                values.append((n / len(of)).astype(np.float32))
-    row, col, value = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((rows, np.int32), (cols, np.int32), (values, np.float32)))
+def sparse(text: str, bits: int, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and relative frequencies of a text, those of words and pairs apart from those of n-grams: at most
+    2 ** (bits + 1) entries, however long it is."""
+    _, _, words, _, grams, _ = features([text], bits, chars)
+    cols, values = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for of in (words, grams[: max(0, len(text) - chars + 1)]):
+        if len(of):
+            c, n = np.unique(of, return_counts=True)
+            cols.append(c.astype(np.int32))
+            values.append((n / len(of)).astype(np.float32))
+    return np.concatenate(cols), np.concatenate(values)
+
+
+def set_aside(good: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A fifth of each kind, the first by order, for calibration; none where a kind has fewer than LEAST_HELD then."""
+    held = np.zeros(len(good), bool)
+    for kind in (good, ~good):
+        rows = np.flatnonzero(kind)
+        held[rows[np.argsort(order[rows], kind="stable")][: len(rows) // 5]] = True
+    return held if min((good & held).sum(), (~good & held).sum()) >= LEAST_HELD else np.zeros(len(good), bool)
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float, float]:
+    """Platt's slope and offset: Newton's steps, halved until the loss falls, on margins brought to unit spread. A
+    slope below zero would turn verdicts round; it is held at zero, where the margin has no say.
+
+    even: both kinds weigh the same, as in the loss that the weights come from; for rows that these come from."""
+    middle, spread = float(np.median(z)), max(float(z.std()), 1e-9)
+    x = np.stack([np.clip((z - middle) / spread, -30, 30), np.ones(len(z))])
+    kinds = np.array([(~y).sum(), y.sum()])
+    target = np.where(y, (kinds[1] + 1) / (kinds[1] + 2), 1 / (kinds[0] + 2))  # Platt's smoothed targets
+    share = np.ones(len(z))
+    if even:
+        target, share = np.where(y, 1 - 1 / (kinds.min() + 2), 1 / (kinds.min() + 2)), len(y) / 2 / kinds[y.astype(int)]
+    start = np.array([1.0, 0.0])
+    loss = lambda w: float((share * (np.logaddexp(0, m := w @ x) - target * m)).sum() + 5e-4 * ((w - start) ** 2).sum())
+    now, least = start, loss(start)
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(now @ x, -500, 500)))
+        slope = x @ (share * (p - target)) + 1e-3 * (now - start)
+        step = np.linalg.solve((x * (share * p * (1 - p))) @ x.T + 1e-3 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-6 and loss(now - size * step) > least - 1e-4 * size * float(slope @ step):
+            size /= 2
+        if size <= 1e-6 or least - loss(now - size * step) < 1e-10:
+            break
+        now = now - size * step
+        least = loss(now)
+    if now[0] <= 0:
+        return 0.0, 0.0
+    return float(now[0] / spread), float(now[1] - now[0] * middle / spread)
+
+
+def trained(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
+    """Weights, intercept, and Platt's slope and offset, from texts by sparse(); order tells which are set aside."""
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
+    col, value = np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows])
+    held = set_aside(good, order)
     fit = ~held
     share = np.where(good, 0.5 / max(1, (good & fit).sum()), 0.5 / max(1, (~good & fit).sum())) * fit
     weights, intercept = np.zeros(1 << bits, np.float32), 0.0
     seen, seen0 = np.full(1 << bits, 1e-8, np.float32), 1e-8
     for _ in range(LOSS_STEPS):  # Adagrad on the balanced logistic loss
-        z = np.bincount(row, weights[col] * value, len(texts)) + intercept
+        z = np.bincount(row, weights[col] * value, len(rows)) + intercept
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
         step = (np.bincount(col, error.astype(np.float32)[row] * value, 1 << bits) + 1e-7 * weights).astype(np.float32)
         seen += step * step
         seen0 += error.sum() ** 2
         weights -= 2.0 * step / np.sqrt(seen)
         intercept -= 0.2 * error.sum() / np.sqrt(seen0)
-    z = np.bincount(row, weights[col] * value, len(texts)) + intercept
-    use = held if len(set(good[held].tolist())) == 2 else fit
-    slope, offset, y = 1.0, 0.0, good[use]
-    target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))  # Platt's smoothed targets
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * z[use] + offset, -30, 30)))
-        g, h = p - target, p * (1 - p) + 1e-9
-        x = np.stack([z[use], np.ones(use.sum())])
-        slope, offset = np.array([slope, offset]) - np.linalg.solve((x * h) @ x.T + 1e-3 * np.eye(2), x @ g + 1e-3 * np.array([slope - 1, offset]))
-    return np.concatenate([weights, [intercept, slope, offset]])
+    z = np.bincount(row, weights[col] * value, len(rows)) + intercept
+    use = held if held.any() else fit
+    return np.concatenate([weights, [intercept, *calibrated(z[use], good[use], not held.any())]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, bits: int = 17, chars: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes | None:
-    """The model as bytes; None without labels of both kinds. The sample has train_rows labelled rows, the first by hash of id."""
+    """The model as bytes; None without labels of both kinds. The sample has train_rows labelled rows, the first by hash of id.
+
+    Texts become sparse frequencies where they are; only those, of bounded size a text, meet in the task that learns.
+    """
     sample = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("good")).where("doc_id IS NOT NULL AND good IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(train_rows)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     # Rows that repeat an id could make the sample grow again; each label is used with its first text.
     rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text"))
 
+    def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sparse(t, bits, chars) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), *(pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1))], ["doc_id", "good", "cols", "shares"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, g, t) for b in batches for i, g, t in zip(*(b.column(n).to_pylist() for n in ("doc_id", "good", "text")), strict=True))
-        good = np.array([g == 1 for _, g, _ in got], bool)
+        got = sorted((x for b in batches for x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "good", "cols", "shares")), strict=True)), key=lambda x: x[:2])
+        good = np.array([g == 1 for _, g, _, _ in got], bool)
         if len(set(good.tolist())) < 2:
             return
-        held = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 == 0 for i, _, _ in got])
-        if len(set(good[~held].tolist())) < 2:
-            held[:] = False
-        model = trained([t for _, _, t in got], good, held, bits, chars)
+        order = np.array([xxhash.xxh3_64_intdigest(str(i)) for i, _, _, _ in got], np.uint64)
+        model = trained([(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for _, _, c, v in got], good, order, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
 
-    found = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
+    own = rows.mapInArrow(featurised, "doc_id bigint, good int, cols binary, shares binary")
+    found = own.repartition(1).mapInArrow(learn, "model binary").collect()
     return bytes(found[0]["model"]) if found else None
 
 
