@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, licenses, lm_scoring, packing, pii, quality, substrings, topk
+from . import bpe, filter_audit, html, jaccard, licenses, lm_scoring, packing, pii, quality, simhash, substrings, topk, wand
 from .common import read_table
 
 
@@ -54,13 +54,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_simhash(read_table(spark, sf_dir, "documents"))
+
+
+def op13_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm, op2_licenses, op3_substrings, op4_packing, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html)
+    found = (op1_lm, op2_licenses, op3_substrings, op4_packing, op5_topk, op6_quality, op7_bpe, op8_pii, op9_jaccard, op10_html, op11_audit, op12_simhash, op13_wand)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL that gives whole results in reasonable time: the digest lookup and the exact search. The others train a
+    """SQL that gives whole results in reasonable time: the digest lookup, both exact searches and the audit. The others train a
     model, tokenise or compare all pairs; tests/llm holds them against brute force."""
     top = """
 WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -69,4 +81,4 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q
   FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5"""
-    return {"op2_licenses": licenses.scan_sql(), "op5_topk": top}
+    return {"op2_licenses": licenses.scan_sql(), "op5_topk": top, "op11_audit": filter_audit.audit_sql(), "op13_wand": wand.search_sql()}
