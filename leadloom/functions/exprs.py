@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,31 @@ def feature_score(text: Column, feature: str) -> Column:
     return score.cast("int")
 
 
+def all_patterns() -> list[str]:
+    return [p for own in rules.PATTERNS.values() for p in own] + [p for p, _ in rules.FLOORS.values()]
+
+
+#: A group, a class, an escape, any character, or a plain one, each with what says how often.
+_ATOM = re.compile(r"(?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\\.|.)[?*+]?")
+
+
+def required(pattern: str) -> list[tuple[str, str]]:
+    """For each alternative of the pattern its longest run of plain characters, which a match must have, and the
+    alternative, or '' where it is that run and nothing else."""
+    found, atoms = [], [*_ATOM.findall(pattern), "|"]
+    while atoms:
+        own, atoms = atoms[: atoms.index("|")], atoms[atoms.index("|") + 1 :]
+        runs = [""]
+        for atom in own:
+            if len(atom) == 1 and atom != ".":
+                runs[-1] += atom
+            else:
+                runs.append("")
+        literal = max(runs, key=len)
+        found.append((literal, "" if literal == "".join(own) else "".join(own)))
+    return found
+
+
 def valid_email(email: Column) -> Column:
     return F.coalesce(email.rlike(f"^{rules.EMAIL}$"), F.lit(False))
 

@@ -1,9 +1,8 @@
 """Sites from pages: features, keywords, contacts, scores and ranks.
 
-Nothing gathers a site's text. A page is reduced to small columns first; sites are aggregates of
-those, with partial sums before the shuffle, so that a site with a third of all pages is no large
-group. Keyword fits count what the site's joined text has: a keyword over two pages' seam is found
-in the last and first characters of neighbouring pages.
+Nothing gathers a site's text. One pass makes a state of each page (leadloom.operators.states), and a
+site is the merge of its pages' states, in buckets first, so that a site with a third of all pages is
+no large group. What lies over the seam of pages is found as in the site's joined text.
 """
 
 from __future__ import annotations
@@ -12,125 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import exprs, rules
+from leadloom.operators import states
+from leadloom.operators.states import with_domain
 from leadloom.plans import sheet
 
-#: No keyword is longer than this and one more.
-SEAM = 32
-#: Ordinals of one site that go through one window; whatever is carried from one such bucket to the next is a string.
+#: First ordinals of sites, of one priority, that are ranked in one window.
 WIDTH = 1 << 16
-
-
-def with_domain(pages: DataFrame) -> DataFrame:
-    """ordinal, url, text, domain of the pages whose url names a site; nulls count as empty."""
-    kept = pages.select("ordinal", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("text", F.lit("")).alias("text"))
-    return kept.withColumn("domain", exprs.clean_domain(F.col("url"))).where("domain != ''")
+#: Whole priorities whose sites count as one band when ranks are added up.
+BAND = 16
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """with_domain() and score_<feature> of each page."""
-    normal = with_domain(pages).withColumn("normal", exprs.normal_space(F.col("text")))
-    return normal.withColumns({f"score_{f}": exprs.feature_score(F.col("normal"), f) for f in rules.FEATURES}).drop("normal")
+    """ordinal, url, text, domain and score_<feature> of each page."""
+    return states.page_scores(pages).select("ordinal", "url", "text", "domain", *[f"score_{f}" for f in rules.FEATURES])
 
 
-def site_features(scored: DataFrame) -> DataFrame:
-    """domain, pages, first_ordinal, best_<feature>, has_<feature>, evidence_<feature> (the first page that shows it)."""
-    aggs = [F.count("*").cast("int").alias("pages"), F.min("ordinal").alias("first_ordinal")]
-    for f in rules.FEATURES:
-        shown = F.col(f"score_{f}") >= rules.SHOWN
-        aggs += [F.max(f"score_{f}").alias(f"best_{f}"), F.min(F.when(shown, F.struct("ordinal", "url", F.substring("text", 1, 300).alias("snippet")))).alias(f"evidence_{f}")]
-    sites = scored.groupBy("domain").agg(*aggs)
-    return sites.withColumns({f"has_{f}": F.col(f"best_{f}") >= rules.SHOWN for f in rules.FEATURES})
+def sites(pages: DataFrame) -> DataFrame:
+    """What each site tells by itself (states.finished)."""
+    return states.finished(states.site_states(pages))
 
 
-def feature_sets(sites: DataFrame) -> DataFrame:
+def feature_sets(found: DataFrame) -> DataFrame:
     """Adds the sorted arrays found and missing."""
     names = F.array(*[F.lit(f) for f in rules.FEATURES])
-    found = F.array_compact(F.array(*[F.when(F.col(f"has_{f}"), F.lit(f)) for f in rules.FEATURES]))
-    return sites.withColumn("found", F.array_sort(found)).withColumn("missing", F.array_sort(F.array_except(names, "found")))
-
+    own = F.array_compact(F.array(*[F.when(F.col(f"has_{f}"), F.lit(f)) for f in rules.FEATURES]))
+    return found.withColumn("found", F.array_sort(own)).withColumn("missing", F.array_sort(F.array_except(names, "found")))
 
-def around(pages: DataFrame, before: int, after: int, end: str, width: int = WIDTH) -> DataFrame:
-    """Replaces low by what stands around it in its site's text, where end follows each page but the last: before, so
-    many characters at most, and after, beginning with end. Both are empty where there is no such page.
 
-    Pages are cut to their edges first. Buckets of a site's ordinals have a window each, and hand on their own edges.
-    """
-    last = lambda c: F.expr(f"right({c}, {before})")
-    first = lambda c: F.expr(f"left({c}, {after})")
-    cut = pages.withColumns({"_bucket": F.floor(F.col("ordinal") / width), "_end": F.lit(end)}).withColumns({"_tail": last("concat(low, _end)"), "_head": first("concat(_end, low)")}).drop("low", "_end")
-    # A page has one character at least, the end, so that so many neighbours are enough.
-    def gathered(rows: DataFrame, own: list[str]) -> DataFrame:
-        order = Window.partitionBy(*own[:-1]).orderBy(own[-1])
-        lists = rows.withColumns({"_before": F.collect_list("_tail").over(order.rowsBetween(-before, -1)), "_after": F.collect_list("_head").over(order.rowsBetween(1, after))})
-        return lists.withColumns({"_before": last("array_join(_before, '')"), "_after": first("array_join(_after, '')")})
-
-    within = gathered(cut, ["domain", "_bucket", "ordinal"])
-    edges = within.groupBy("domain", "_bucket").agg(F.max_by(last("concat(_before, _tail)"), "ordinal").alias("_tail"), F.min_by(first("concat(_head, _after)"), "ordinal").alias("_head"))
-    carried = gathered(edges, ["domain", "_bucket"]).select("domain", "_bucket", F.col("_before").alias("_b"), F.col("_after").alias("_a"))
-    both = within.join(carried, ["domain", "_bucket"])
-    return both.withColumns({"before": last("concat(_b, _before)"), "after": first("concat(_after, _a)")}).select(*[c for c in cut.columns if c[0] != "_"], "before", "after")
-
-
-def keyword_flags(pages: DataFrame, width: int = WIDTH) -> DataFrame:
-    """domain and, per keyword group, which of its keywords the site's text has, as booleans kw_<group>_<i>.
-
-    Keywords of prospect types are looked for in the text with the domain after it.
-    """
-    low = with_domain(pages).select("domain", "ordinal", F.lower("text").alias("low"), F.lower("domain").alias("name"))
-    edges = low.select("domain", "ordinal", "low", F.expr(f"left(low, {SEAM})").alias("head"), F.expr(f"right(low, {SEAM})").alias("tail"), "name")
-    edges = around(edges, SEAM + 1, 1, " ", width)
-    seam = edges.where("before <> ''").select("domain", F.concat("before", "head").alias("low"), "name")
-    last = edges.where("after = ''").select("domain", F.lit("").alias("low"), F.concat(F.expr(f"right(concat(before, tail), {SEAM})"), F.lit(" "), "name").alias("name"))
-    both = low.select("domain", "low", "name").union(seam).union(last)
-    aggs = []
-    for group, words in rules.KEYWORDS.items():
-        for i, w in enumerate(words):
-            has = F.col("low").contains(w)
-            aggs.append(F.bool_or(has | F.col("name").contains(w) if group in ("home", "society") else has).alias(f"kw_{group}_{i}"))
-    return both.groupBy("domain").agg(*aggs)
-
-
-def keyword_counts(flags: DataFrame) -> DataFrame:
-    count = lambda g: sum((F.col(f"kw_{g}_{i}").cast("int") for i in range(len(rules.KEYWORDS[g]))), F.lit(0))
-    own = [count(g).alias(f"n_{g}") for g in ("seminar", "community", "event", "education", "industry", "association")]
-    roles = [F.col(f"kw_role_{i}").alias(f"kw_{w}") for i, w in enumerate(rules.KEYWORDS["role"])]
-    return flags.select("domain", *own, *roles, (count("home") > 0).alias("is_home"), (count("society") > 0).alias("is_society"))
-
-
-def found_in(pages: DataFrame, pattern: str, name: str) -> DataFrame:
-    """domain, <name>: every distinct match on the site's pages."""
-    hits = with_domain(pages).select("domain", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias(name))
-    return hits.distinct()
-
-
-def found_phones(pages: DataFrame) -> DataFrame:
-    """domain, phone: every distinct match in the site's text, its pages in order with a space between.
-
-    A match lies in a run of the pattern's own characters. Runs within a page are matched where they stand; those at
-    its edges are joined with the neighbours' first, so only they are gathered.
-    """
-    run = r"^[+\d\s().-]*"
-    cut = with_domain(pages).select("domain", "ordinal", "text", F.regexp_extract("text", run, 0).alias("head"), F.reverse(F.regexp_extract(F.reverse("text"), run, 0)).alias("tail"))
-    cut = cut.withColumn("whole", F.length("head") == F.length("text"))
-    inner = F.expr("substring(text, length(head) + 1, length(text) - length(head) - length(tail))")
-    matches = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(rules.PHONE), F.lit(0)))).alias("phone")
-    within = cut.where("NOT whole").select("domain", matches(inner))
-    # A page of such characters alone carries the run on: runs are numbered by the pages that end one.
-    number = F.sum((~F.col("whole")).cast("int")).over(Window.partitionBy("domain").orderBy("ordinal"))
-    edges = cut.select("domain", "ordinal", "head", "tail", "whole").withColumn("n", number)
-    pieces = edges.select("domain", F.explode(F.when(F.col("whole"), F.array(F.struct(F.col("n").alias("n"), "ordinal", F.col("head").alias("piece")))).otherwise(F.array(F.struct((F.col("n") - 1).alias("n"), "ordinal", F.col("head").alias("piece")), F.struct(F.col("n").alias("n"), "ordinal", F.col("tail").alias("piece"))))).alias("p"))
-    joined = pieces.groupBy("domain", "p.n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p.ordinal", "p.piece"))), lambda x: x["piece"]), " ").alias("run"))
-    return within.union(joined.select("domain", matches(F.col("run")))).distinct()
-
-
-def contacts(pages: DataFrame) -> DataFrame:
-    """domain, raw and clean lists, and the chosen address and number with their scores."""
-    emails = found_in(pages, rules.EMAIL, "email").groupBy("domain").agg(F.array_sort(F.collect_list("email")).alias("raw_emails"))
-    phones = found_phones(pages).groupBy("domain").agg(F.array_sort(F.collect_list("phone")).alias("raw_phones"))
-    none = F.array().cast("array<string>")
-    both = emails.join(phones, "domain", "full").select("domain", F.coalesce("raw_emails", none).alias("raw_emails"), F.coalesce("raw_phones", none).alias("raw_phones"))
-    clean = both.withColumn("emails_found", exprs.clean_emails(F.col("raw_emails"), F.col("domain"))).withColumn("phones_found", exprs.clean_phones(F.col("raw_phones")))
-    return chosen(clean)
+def contacts(found: DataFrame) -> DataFrame:
+    """Adds the clean lists of addresses and numbers, and the chosen ones with their scores."""
+    return chosen(found.withColumn("emails_found", exprs.clean_emails(F.col("raw_emails"), F.col("domain"))).withColumn("phones_found", exprs.clean_phones(F.col("raw_phones"))))
 
 
 def chosen(clean: DataFrame) -> DataFrame:
@@ -138,41 +48,43 @@ def chosen(clean: DataFrame) -> DataFrame:
     return picked.withColumns({"any_email": F.col("e.email"), "email_confidence": F.col("e.score"), "primary_phone": F.col("p.phone"), "phone_confidence": F.col("p.score")}).withColumns({"normalized_phone": exprs.normal_phone(F.col("primary_phone")), "phone_region_score": exprs.region_score(F.col("primary_phone")), "phone_reason": exprs.region_reasons(F.col("primary_phone"))}).drop("e", "p")
 
 
-def signals(pages: DataFrame) -> DataFrame:
-    """One row per site with everything that the score sheet reads."""
-    sites = feature_sets(site_features(page_features(pages)))
-    own = contacts(pages)
-    joined = sites.join(keyword_counts(keyword_flags(pages)), "domain").join(own, "domain", "left")
-    none = F.array().cast("array<string>")
-    filled = {c: F.coalesce(c, none) for c in ("raw_emails", "raw_phones", "emails_found", "phones_found")} | {c: F.coalesce(c, F.lit("")) for c in ("any_email", "primary_phone", "normalized_phone")} | {c: F.coalesce(c, F.lit(0)) for c in ("email_confidence", "phone_confidence", "phone_region_score")}
-    filled["phone_reason"] = F.coalesce("phone_reason", F.array(F.lit("Invalid phone format")))
-    return joined.withColumns(filled).withColumns({"n_emails_raw": F.size("raw_emails"), "n_phones_raw": F.size("raw_phones"), "n_emails": F.size("emails_found"), "n_phones": F.size("phones_found")})
+def signals(found: DataFrame) -> DataFrame:
+    """One row per site, as sites() tells it, with everything that the score sheet reads."""
+    own = contacts(feature_sets(found))
+    return own.withColumns({"n_emails_raw": F.size("raw_emails"), "n_phones_raw": F.size("raw_phones"), "n_emails": F.size("emails_found"), "n_phones": F.size("phones_found")})
 
 
-def scored(sites: DataFrame) -> DataFrame:
+def scored(found: DataFrame) -> DataFrame:
     """Adds the columns of the score sheet."""
     for level in sheet.levels(sheet.spark_sheet()):
-        sites = sites.withColumns({name: F.expr(text) for name, text in level})
-    return sites
+        found = found.withColumns({name: F.expr(text) for name, text in level})
+    return found
 
 
 def leads(pages: DataFrame) -> DataFrame:
-    return scored(signals(pages))
+    return scored(signals(sites(pages)))
 
 
 def ranked(found: DataFrame, width: int = WIDTH) -> DataFrame:
     """Adds outreach_rank: by outreach priority, ties in order of first sight.
 
-    Sites are dealt out by priority and range of first ordinal, width of them at most in a range, and counted; a row's
-    rank is its range's offset and its place within: no task holds all, nor all of one priority.
+    Sites are dealt out by priority and range of first ordinal, width of them at most in a range, and counted. Counts
+    add up in three levels, bands of priorities, priorities in a band and ranges of a priority, so that the one window
+    that has no key sees the bands alone; a row's rank is what lies above and its place within its range.
     """
-    span = F.floor(F.col("first_ordinal") / width).alias("span")
-    dealt = found.select("domain", F.col("outreach_priority").alias("level"), "first_ordinal", span)
-    ranges = dealt.groupBy("level", "span").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("level"), "span").rowsBetween(Window.unboundedPreceding, -1)
-    above = ranges.select("level", "span", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("above"))
+    span, band = F.floor(F.col("first_ordinal") / width).alias("span"), F.floor(F.col("outreach_priority") / BAND).alias("band")
+    dealt = found.select("domain", band, F.col("outreach_priority").alias("level"), "first_ordinal", span)
+    spans = dealt.groupBy("band", "level", "span").agg(F.count("*").alias("n"))
+    levels = spans.groupBy("band", "level").agg(F.sum("n").alias("n"))
+    bands = levels.groupBy("band").agg(F.sum("n").alias("n"))
+
+    def above(rows: DataFrame, keys: list[str], order: Column, name: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+
+    offsets = above(spans, ["band", "level"], F.col("span").asc(), "_spans").join(above(levels, ["band"], F.desc("level"), "_levels"), ["band", "level"]).join(above(bands, [], F.desc("band"), "_bands"), "band")
     within = F.row_number().over(Window.partitionBy("level", "span").orderBy("first_ordinal"))
-    places = dealt.join(above, ["level", "span"]).select(F.col("domain").alias("_d"), (F.col("above") + within).cast("int").alias("outreach_rank"))
+    places = dealt.join(offsets.select("level", "span", (F.col("_spans") + F.col("_levels") + F.col("_bands")).alias("above")), ["level", "span"]).select(F.col("domain").alias("_d"), (F.col("above") + within).cast("int").alias("outreach_rank"))
     return found.join(places, F.col("domain") == F.col("_d")).drop("_d")
 
 
@@ -223,17 +135,52 @@ def top_lead_markdown(found: DataFrame) -> DataFrame:
     return best.select("domain", F.concat_ws("\n", F.concat(F.lit("# "), "domain"), F.concat(F.lit("Action: "), "executive_action"), F.concat(F.lit("Score: "), F.col("executive_priority_score").cast("string")), F.concat(F.lit("Temperature: "), "lead_temperature"), F.concat(F.lit("Missing: "), F.array_join("missing", ", ")), F.concat(F.lit("Why now: "), "why_now")).alias("report"))
 
 
-def verified_signals(pages: DataFrame, width: int = WIDTH) -> DataFrame:
+def beside(low: DataFrame, asked: DataFrame, before: int, after: int) -> DataFrame:
+    """domain, ordinal, before, after: what stands around the asked pages (domain, ordinal, need_before, need_after: in
+    characters) in their sites' text, where a line feed follows each page but the last; as much as is asked for.
+
+    A page meets the asked pages of its site as one list; it can be next only to the first of them on either side, so
+    the next page is a maximum (minimum) by asked page, summed up where pages are read. Where that one is short, so
+    many pages as there can be need for go through a window, which Spark cuts to that number before it deals them out.
+    """
+    wanted = asked.groupBy("domain", "ordinal").agg(F.max("need_before").alias("b"), F.max("need_after").alias("a"))
+    lists = wanted.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("ordinal", "b", "a"))).alias("asked"))  # some for each signal of a site
+    edges = low.select("domain", F.col("ordinal").alias("o"), F.expr(f"right(concat(low, '\n'), {before})").alias("tail"), F.expr(f"left(concat('\n', low), {after})").alias("head"))
+
+    def side(need: str, edge: str, beyond: str, pick: str, descending: bool, most: int) -> DataFrame:
+        """domain, ordinal, text, short: up to need characters beside each asked page."""
+        met = edges.join(lists, "domain").select("domain", "o", edge, F.expr(f"{pick}(filter(asked, x -> x.ordinal {beyond} o AND x.{need} > 0))").alias("x")).where("x IS NOT NULL")
+        best = (F.max if descending else F.min)(F.struct("o", edge))
+        next_ = met.groupBy("domain", F.col("x.ordinal").alias("ordinal"), F.col(f"x.{need}").alias("need")).agg(best.alias("n")).select("domain", "ordinal", "need", F.col(f"n.{edge}").alias("text"))
+        short = next_.where(f"length(text) < least(need, {most})").select("domain", "ordinal", "need")
+        further = edges.join(short, "domain").where(f"o {'<' if descending else '>'} ordinal")
+        order = Window.partitionBy("domain", "ordinal").orderBy(F.desc("o") if descending else F.asc("o"))
+        few = further.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)  # a page has one character at least, its line's end
+        ordered = F.array_sort(F.collect_list(F.struct("o", edge)))
+        more = few.groupBy("domain", "ordinal").agg(F.array_join(F.transform(ordered, lambda x: x[edge]), "").alias("more"))
+        return next_.join(more, ["domain", "ordinal"], "left").select("domain", "ordinal", F.coalesce("more", "text").alias(edge))
+
+    back = side("b", "tail", ">", "array_min", True, before)
+    forth = side("a", "head", "<", "array_max", False, after)
+    return wanted.join(back, ["domain", "ordinal"], "left").join(forth, ["domain", "ordinal"], "left").select("domain", "ordinal", F.expr(f"right(coalesce(tail, ''), {before})").alias("before"), F.expr(f"left(coalesce(head, ''), {after})").alias("after"))
+
+
+def verified_signals(pages: DataFrame) -> DataFrame:
     """domain, feature, place, snippet: the second detector's first two keywords per feature, each with its first
     occurrence in the site's lower-case text (pages in order, a line each) and what stands around it. A site without
     any has one row, with an empty feature and place 0."""
     low = with_domain(pages).select("domain", "ordinal", F.lower("text").alias("low"))
     words = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("place"), F.lit(w).alias("word")) for f, ws in rules.SIGNALS.items() for i, w in enumerate(ws)])
-    hits = low.select("domain", "ordinal", "low", F.explode(F.filter(words, lambda w: F.col("low").contains(w["word"]))).alias("w")).withColumn("at", F.expr("locate(w.word, low)"))
+    none = F.array(F.struct(F.lit("").alias("feature"), F.lit(0).alias("place"), F.lit("").alias("word")))
+    found = low.withColumn("found", F.filter(words, lambda w: F.col("low").contains(w["word"])))
+    hits = found.select("domain", "ordinal", "low", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(none)).alias("w")).withColumn("at", F.expr("locate(w.word, low)"))
     own = F.struct("ordinal", "at", F.expr("substring(low, greatest(at - 80, 1), least(at - 1, 80))").alias("left"), F.expr("substring(low, at, 150)").alias("right"))
-    first = hits.groupBy("domain", "w.feature", "w.place").agg(F.min(own).alias("hit"))
+    first = hits.groupBy("domain", "w.feature", "w.place").agg(F.min(F.when(F.col("w.feature") != "", own)).alias("hit"))
+    site = Window.partitionBy("domain")
     two = F.row_number().over(Window.partitionBy("domain", "feature").orderBy("place"))
-    first = first.withColumn("place", two).where("place <= 2").select("domain", "feature", "place", "hit.*")
-    whole = first.join(around(low, 80, 150, "\n", width), ["domain", "ordinal"]).select("domain", "feature", "place", F.translate(F.expr("concat(right(before, greatest(81 - at, 0)), left, left(concat(right, after), 150))"), "\n", " ").alias("snippet"))
-    none = low.select("domain").distinct().join(first, "domain", "left_anti").select("domain", F.lit("").alias("feature"), F.lit(0).alias("place"), F.lit("No conversion signals detected").alias("snippet"))
-    return whole.union(none)
+    first = first.withColumns({"place": two, "some": F.max("feature").over(site) != ""}).where("place <= 2").select("domain", "feature", "place", "some", "hit.*")
+    asked = first.where("feature <> ''").select("domain", "ordinal", F.expr("greatest(81 - at, 0)").alias("need_before"), F.expr("150 - length(right)").alias("need_after"))
+    near = beside(low, asked.where("need_before > 0 OR need_after > 0"), 80, 150)
+    text = F.expr("concat(right(coalesce(before, ''), greatest(81 - at, 0)), left, left(concat(right, coalesce(after, '')), 150))")
+    whole = first.where("feature <> ''").join(near, ["domain", "ordinal"], "left").select("domain", "feature", "place", F.translate(text, "\n", " ").alias("snippet"))
+    return whole.union(first.where("NOT some").select("domain", "feature", F.lit(0).alias("place"), F.lit("No conversion signals detected").alias("snippet")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import exprs, rules
-from leadloom.operators import crm, leads
+from leadloom.operators import crm, leads, states
 from leadloom.plans import sheet
 from leadloom.sources.pages import driver_pages
 
@@ -179,7 +179,7 @@ _CUSTOMERS = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+1 ' WHEN 1 THEN
 
 
 def _long_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = leads.site_features(leads.page_features(corpus(spark, sf_dir)))
+    sites = leads.sites(corpus(spark, sf_dir))
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"evidence_{f}.url").alias("url"), F.col(f"evidence_{f}.snippet").alias("snippet")) for f in rules.FEATURES])
     return sites.select("domain", F.explode(rows).alias("e")).where("e.url IS NOT NULL").select("domain", "e.feature", "e.url", "e.snippet")
 
@@ -205,18 +205,18 @@ def _signals_sql() -> str:
 def queries() -> dict[str, Query]:
     on = lambda f: lambda spark, sf_dir: f(corpus(spark, sf_dir))
     found: dict[str, Query] = {
-        "domain_pages": lambda spark, sf_dir: leads.with_domain(driver_pages(spark, sf_dir)).groupBy("domain").agg(F.count("*").alias("pages"), F.min("ordinal").alias("first_ordinal")),
+        "domain_pages": lambda spark, sf_dir: states.with_domain(driver_pages(spark, sf_dir)).groupBy("domain").agg(F.count("*").alias("pages"), F.min("ordinal").alias("first_ordinal")),
         "page_feature_scores": on(lambda p: leads.page_features(p).select("ordinal", "domain", *[f"score_{f}" for f in rules.FEATURES])),
-        "domain_features": on(lambda p: leads.feature_sets(leads.site_features(leads.page_features(p))).select("domain", "pages", F.array_join("found", ",").alias("found"), F.array_join("missing", ",").alias("missing"))),
+        "domain_features": on(lambda p: leads.feature_sets(leads.sites(p)).select("domain", "pages", F.array_join("found", ",").alias("found"), F.array_join("missing", ",").alias("missing"))),
         "feature_evidence": _long_evidence,
         "signal_verify": on(leads.verified_signals),
-        "raw_emails": on(lambda p: leads.found_in(p, rules.EMAIL, "email")),
-        "raw_phones": on(leads.found_phones),
+        "raw_emails": on(lambda p: leads.sites(p).select("domain", F.explode("raw_emails").alias("email"))),
+        "raw_phones": on(lambda p: leads.sites(p).select("domain", F.explode("raw_phones").alias("phone"))),
         "phone_rules": _phones_of_customers,
-        "clean_emails": on(lambda p: leads.contacts(p).select("domain", F.explode("emails_found").alias("email"))),
-        "clean_phones": on(lambda p: leads.contacts(p).select("domain", F.explode("phones_found").alias("phone"))),
-        "best_email": on(lambda p: leads.contacts(p).where("email_confidence > 0").select("domain", "any_email", "email_confidence")),
-        "best_phone": on(lambda p: leads.contacts(p).where("phone_confidence > 0").select("domain", "primary_phone", "phone_confidence", "normalized_phone", "phone_region_score")),
+        "clean_emails": on(lambda p: leads.contacts(leads.sites(p)).select("domain", F.explode("emails_found").alias("email"))),
+        "clean_phones": on(lambda p: leads.contacts(leads.sites(p)).select("domain", F.explode("phones_found").alias("phone"))),
+        "best_email": on(lambda p: leads.contacts(leads.sites(p)).where("email_confidence > 0").select("domain", "any_email", "email_confidence")),
+        "best_phone": on(lambda p: leads.contacts(leads.sites(p)).where("phone_confidence > 0").select("domain", "primary_phone", "phone_confidence", "normalized_phone", "phone_region_score")),
         "lead_rank": on(lambda p: leads.ranked(leads.leads(p)).select("outreach_rank", "domain", "outreach_priority", "outreach_level", F.array_join("missing", ",").alias("missing"))),
         "top_lead": on(lambda p: leads.leads(p).orderBy(F.desc("executive_priority_score"), "first_ordinal").limit(1).select("domain", "executive_priority_score")),
         "contact_csv": on(lambda p: leads.contact_rows(leads.leads(p))),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leadloom.functions import exprs, rules
-from leadloom.operators import crm, leads, sinks
+from leadloom.operators import crm, leads, sinks, states
 from leadloom.plans import queries as plans
 from leadloom.sources import pages as sources
 
@@ -54,7 +54,7 @@ def page_rows(spark, rows):
 
 def test_threshold_is_per_page_and_evidence_is_first(spark):
     rows = [(2, "http://s.example/b", "newsletter here"), (1, "http://s.example/a", "Please subscribe"), (3, "http://t.example", "download"), (4, "http://t.example", "download"), (5, None, "newsletter"), (6, "http://u.example", None)]
-    sites = {r["domain"]: r for r in leads.site_features(leads.page_features(page_rows(spark, rows))).collect()}
+    sites = {r["domain"]: r for r in leads.sites(page_rows(spark, rows)).collect()}
     assert sites["s.example"]["has_lead_capture"] and sites["s.example"]["evidence_lead_capture"]["url"].endswith("/a")
     assert not sites["t.example"]["has_lead_capture"] and sites["t.example"]["best_lead_capture"] == 2
     assert set(sites) == {"s.example", "t.example", "u.example"}
@@ -62,7 +62,7 @@ def test_threshold_is_per_page_and_evidence_is_first(spark):
 
 def test_keyword_over_a_seam(spark):
     rows = [(1, "http://s.example", "we give grief"), (2, "http://s.example", "support to all"), (3, "http://t.example", "grief\nsupport")]
-    got = {r["domain"]: r["n_community"] for r in leads.keyword_counts(leads.keyword_flags(page_rows(spark, rows))).collect()}
+    got = {r["domain"]: r["n_community"] for r in leads.sites(page_rows(spark, rows)).collect()}
     assert got == {"s.example": 1, "t.example": 0}
 
 
@@ -73,12 +73,16 @@ def test_surroundings_over_buckets(spark):
     sites = {f"s{i}.example": ["".join(random.choice(pieces) for _ in range(random.randint(0, 3))) for _ in range(random.randint(1, 9))] for i in range(30)}
     rows = [(40 * i + 3 * j, f"http://{d}", t) for i, (d, texts) in enumerate(sites.items()) for j, t in enumerate(texts)]
     pages = page_rows(spark, rows)
-    low = leads.with_domain(pages).selectExpr("domain", "ordinal", "text AS low")
+    low = states.with_domain(pages).selectExpr("domain", "ordinal", "text AS low")
+    asked = low.selectExpr("domain", "ordinal", "int(ordinal % 9) AS need_before", "int(ordinal % 6) AS need_after")
+    got = {(r["domain"], r["ordinal"]): (r["before"], r["after"]) for r in leads.beside(low, asked, 8, 5).collect()}
+    for i, (d, texts) in enumerate(sites.items()):
+        for j in range(len(texts)):
+            n = 40 * i + 3 * j
+            before, after = "".join(t + "\n" for t in texts[:j]), "".join("\n" + t for t in texts[j + 1 :])
+            assert got[d, n][0].endswith(before[max(0, len(before) - n % 9) :]) and got[d, n][1].startswith(after[: n % 6])
+            assert before.endswith(got[d, n][0]) and after.startswith(got[d, n][1])
     for width in (2, 1000):
-        got = {(r["domain"], r["ordinal"]): (r["before"], r["after"]) for r in leads.around(low, 7, 5, "|", width).collect()}
-        for i, (d, texts) in enumerate(sites.items()):
-            for j in range(len(texts)):
-                assert got[d, 40 * i + 3 * j] == ("".join(t + "|" for t in texts[:j])[-7:], "".join("|" + t for t in texts[j + 1 :])[:5])
         want = set()
         for d, texts in sites.items():
             whole = "\n".join(texts)
@@ -86,15 +90,15 @@ def test_surroundings_over_buckets(spark):
                 found = [whole[max(0, whole.find(w) - 80) : whole.find(w) + 150].replace("\n", " ") for w in words if w in whole]
                 want |= {(d, f, i + 1, t) for i, t in enumerate(found[:2])}
         want |= {(d, "", 0, "No conversion signals detected") for d in sites if d not in {w[0] for w in want}}
-        assert {tuple(r) for r in leads.verified_signals(pages, width).collect()} == want and any(not w[1] for w in want)
-        levels = low.groupBy("domain").agg(F.min("ordinal").alias("first_ordinal")).withColumn("outreach_priority", F.col("first_ordinal") % 3 / 10)
+        assert {tuple(r) for r in leads.verified_signals(pages).collect()} == want and any(not w[1] for w in want)
+        levels = low.groupBy("domain").agg(F.min("ordinal").alias("first_ordinal")).withColumn("outreach_priority", F.col("first_ordinal") % 3 / 10 + F.col("first_ordinal") % 5 * 13)
         order = [r["domain"] for r in leads.ranked(levels, width).orderBy("outreach_rank").collect()]
         assert order == [r["domain"] for r in levels.orderBy(F.desc("outreach_priority"), "first_ordinal").collect()]
 
 
 def test_prospect_keyword_over_text_and_domain(spark):
     rows = [(1, "http://homes.example", "the old funeral"), (2, "http://t.example", "funeral"), (3, "http://t.example", "x")]
-    got = {r["domain"]: r["is_home"] for r in leads.keyword_counts(leads.keyword_flags(page_rows(spark, [(0, "http://home.example", "our funeral"), *rows]))).collect()}
+    got = {r["domain"]: r["is_home"] for r in leads.sites(page_rows(spark, [(0, "http://home.example", "our funeral"), *rows])).collect()}
     assert got == {"home.example": True, "homes.example": True, "t.example": False}
 
 
@@ -109,7 +113,7 @@ def test_phones_over_seams(spark):
         texts = ["".join(random.choice(pieces) for _ in range(random.randint(0, 4))) for _ in range(random.randint(1, 6))]
         rows += [(10 * site + i, f"http://s{site}.example", t) for i, t in enumerate(texts)]
         want |= {(f"s{site}.example", m) for m in re.findall(rules.PHONE, " ".join(texts))}
-    assert {tuple(r) for r in leads.found_phones(page_rows(spark, rows)).collect()} == want and len(want) > 20
+    assert {(r["domain"], p) for r in leads.sites(page_rows(spark, rows)).collect() for p in r["raw_phones"]} == want and len(want) > 20
 
 
 def test_empty_pages(spark):
