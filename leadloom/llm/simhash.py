@@ -49,8 +49,8 @@ SLICE = 1 << 15
 HOT = 1 << 16
 #: Homes times members of an anchor below which all links are put out.
 SMALL = 1 << 10
-#: Bytes of replicas that a task is meant to get.
-TASK_BYTES = 24 << 20
+#: Bytes of replicas that a task is meant to get, and fingerprints that one is meant to replicate.
+TASK_BYTES, TASK_ROWS = 24 << 20, 1 << 15
 REPLICA = np.dtype([("anchor", "<i4"), ("code", "<u8")])
 
 
@@ -231,7 +231,7 @@ def links(replica: DataFrame, parts: int) -> DataFrame:
                 a, b = a.view(np.int64), b.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return replica.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
+    return replica.repartitionById(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_simhash(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, task_bytes: int = TASK_BYTES, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -241,7 +241,8 @@ def near_simhash(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     classes = stored(rows.groupBy("code").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "codes")
     n, total = classes.agg(F.count("*"), F.sum("n")).first()
     parts = max(1, -(-n * 302 * REPLICA.itemsize // task_bytes))
-    found = labels(links(dealt(classes, parts, hot_anchors(classes, hot)), parts))
+    spread = classes.select("code").repartition(max(1, -(-n // TASK_ROWS)), "code")
+    found = labels(links(dealt(spread, parts, hot_anchors(classes, hot)), parts))
     joined = classes.join(found.select(F.col("node").alias("code"), "label"), "code", "left").withColumn("label", F.coalesce("label", "code"))
     least = joined.groupBy("label").agg(F.min("lowest").alias("component_id"))
     named = stored(joined.join(least, "label").select("code", "n", "component_id"), "components")
