@@ -36,7 +36,7 @@ ORDER = ["first", "seam", "run"]
 
 def bits(words: list[str]) -> list[int]:
     """The masks of the words."""
-    places = [WORDS.index(w) for w in words]
+    places = {WORDS.index(w) for w in words}
     return [sum(1 << p % BITS for p in places if p // BITS == i) for i in range(len(MASKS))]
 
 
