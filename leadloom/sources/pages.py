@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.sources import json_array as array
+
 PAGES = "ordinal bigint, url string, text string"
 
 
-def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of files that hold one JSON array each; the place in the array is the ordinal. Missing fields are empty."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<url:string,markdown:string>>")).alias("ordinal", "page"))
-    return rows.select(F.col("ordinal").cast("bigint"), F.coalesce("page.url", F.lit("")).alias("url"), F.coalesce("page.markdown", F.lit("")).alias("text"))
+def json_array(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
+    """Pages of files that hold one JSON array each, read by ranges of bytes; the place in the array is the ordinal.
+    Missing fields are empty. as_one: the files of the folder are one array's parts, in order of their names."""
+    rows = array.read(spark, path, "url string, markdown string", as_one)
+    return rows.select("ordinal", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("markdown", F.lit("")).alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,8 +24,8 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Saved lead results, by an explicit schema."""
-    return spark.read.schema(schema).json(path)
+    """Saved lead results, by an explicit schema, in the array that sinks.write_json_array leaves; ordinal is the place."""
+    return array.read(spark, path, schema, True)
 
 
 def driver_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

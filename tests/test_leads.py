@@ -126,11 +126,11 @@ def test_lead_forms_and_sinks(spark, tmp_path):
     assert {"evidence", "executive_brief", "outreach_assets", "personalization_profile", "outreach_package"} <= set(nested.columns)
     assert len(leads.canonical(found, F.expr(plans.AS_OF)).columns) == 7
     assert len(leads.contact_rows(found).columns) == 16 and len(leads.campaign_rows(found).columns) == 11
-    sinks.write_json(nested, f"{tmp_path}/j")
+    sinks.write_json_array(nested, f"{tmp_path}/j")
     sinks.write_csv(leads.campaign_rows(found), f"{tmp_path}/c")
     sinks.write_text(leads.report_text(found), f"{tmp_path}/t")
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/c")
-    assert back.count() == found.count() == spark.read.json(f"{tmp_path}/j").count()
+    assert back.count() == found.count() == sources.results(spark, f"{tmp_path}/j", "domain string").count()
     for r in found.select("conversion", "lead_value", "sales_readiness", "executive_priority_score").collect():
         assert 0 <= r[0] <= 15 and 0 <= r[1] <= 30 and 0 <= r[2] <= 75 and 0 <= r[3] <= 100
 
