@@ -6,15 +6,18 @@ with a phrase and a contact line added, by the same expressions on either side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import exprs, rules
-from leadloom.operators import crm, leads, states
+from leadloom.operators import crm, leads, sinks, states
+from leadloom.operators.store import Store
 from leadloom.plans import sheet
-from leadloom.sources.pages import driver_pages
+from leadloom.sources import files
+from leadloom.sources.pages import driver_pages, results
 
 PHRASES = [
     "contact us or request a call back", "book an appointment for a consultation", "plain words only", "online arrangement and planning tool",
@@ -167,6 +170,31 @@ def _started_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.where("status <> 'OPEN'").select("id", "domain", "action_type", "priority", "status", "due_date", "started_at")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store after two sessions: leads of even events, all actions, a start; then leads of odd events, a compaction, a completion."""
+    path, as_of = f"{files.shared_dir(spark)}/leadloom/store-{uuid.uuid4().hex}", F.expr(AS_OF)
+    rows = _log(spark, sf_dir).select("seq", "domain", "priority_level", F.col("event_type").alias("contact_method"), F.lit("NEW").alias("pipeline_stage"), F.lit("").alias("next_action"), F.lit("").alias("follow_up_date"))
+    first = Store(spark, path)
+    first.upsert("even", rows.where("seq % 2 = 0"))
+    first.enqueue("queue", _log(spark, sf_dir).select("seq", "domain", F.col("event_type").alias("action_type"), F.col("priority_level").alias("priority"), F.lit("").alias("notes")), as_of)
+    first.start_next("start", as_of)
+    second = Store(spark, path)
+    second.upsert("odd", rows.where("seq % 2 = 1"))
+    second.upsert("odd", rows.where("seq % 2 = 0"))  # known: no effect
+    second.compact()
+    acted = second.table("actions").where("status = 'IN_PROGRESS'").first()
+    second.complete("complete", acted["domain"] if acted else "", as_of, "done")
+    return second
+
+
+def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leads written as one array in order of rank, and read back: ordinal is the place in the array."""
+    path = f"{files.shared_dir(spark)}/leadloom/results-{uuid.uuid4().hex}"
+    sinks.write_json_array(leads.lead_result(leads.ranked(leads.leads(corpus(spark, sf_dir)))), path)
+    back = results(spark, path, "outreach_rank int, domain string, pages int, outreach_priority double, missing array<string>, outreach_package struct<crm:struct<sales_lane:string>>")
+    return back.select("ordinal", "outreach_rank", "domain", "pages", "outreach_priority", F.array_join("missing", ",").alias("missing"), "outreach_package.crm.sales_lane")
+
+
 def _phones_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AREAS))
     p = F.expr(f"CASE c_custkey % 3 WHEN 0 THEN '+1 ' WHEN 1 THEN '1-' ELSE '' END || CASE c_custkey % 12 {text} END || '-555-01' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0')")
@@ -237,6 +265,10 @@ def queries() -> dict[str, Query]:
         "events_after": _events_after,
         "open_queue": lambda spark, sf_dir: crm.open_actions(_actions(spark, sf_dir)).select("id", "domain", "action_type", "priority", "due_date"),
         "crm_records": on(lambda p: crm.records(leads.leads(p), F.expr(AS_OF))),
+        "store_leads": lambda spark, sf_dir: _store(spark, sf_dir).table("leads").select("domain", "pipeline_stage", "priority_level", "contact_method", "attempts", "next_action", "follow_up_date"),
+        "store_actions": lambda spark, sf_dir: _store(spark, sf_dir).table("actions").select("id", "domain", "action_type", "priority", "status", "due_date", "completed_at"),
+        "store_events": lambda spark, sf_dir: _store(spark, sf_dir).table("events"),
+        "results_array": _stored_results,
         "event_history": lambda spark, sf_dir: _log(spark, sf_dir).groupBy("domain").agg(F.max("seq").alias("last_id"), F.count("*").alias("n")),
     }
     return found | {n: _sheet_query(c) for n, c in SHEET_GROUPS.items()}
@@ -286,5 +318,12 @@ def oracle_sql() -> dict[str, str]:
         "events_after": f"WITH f AS ({_FIRST}) SELECT CAST(1 AS BIGINT) AS id, f.domain, 'ACTION_STARTED' AS event_type, f.action_type || ' started | ' || a.priority AS notes, CAST({AS_OF} AS VARCHAR) AS created_at FROM f JOIN ({_ACTIONS}) a ON a.id = f.id UNION ALL SELECT CAST(2 AS BIGINT), f.domain, 'ACTION_COMPLETED', 'done', CAST({AS_OF} AS VARCHAR) FROM f",
         "open_queue": f"SELECT id, domain, action_type, priority, due_date FROM ({_ACTIONS}) ORDER BY due_date, id",
     }
+    late = "seq + CASE WHEN seq % 2 = 1 THEN 1000000000000 ELSE 0 END"
+    found |= {
+        "store_leads": f"WITH f AS ({_FIRST}), l AS (SELECT domain, arg_max(priority_level, {late}) AS priority_level, arg_max(event_type, {late}) AS contact_method, bool_or(seq % 2 = 0) AS early, bool_or(seq % 2 = 1) AS late FROM ({_LOG}) GROUP BY domain), m AS (SELECT l.*, f.action_type, f.domain IS NOT NULL AND early AS mine FROM l LEFT JOIN f USING (domain)) SELECT domain, CASE WHEN mine AND NOT late THEN 'CONTACTED' ELSE 'NEW' END AS pipeline_stage, priority_level, contact_method, CASE WHEN mine THEN 1 ELSE 0 END AS attempts, CASE WHEN mine AND NOT late THEN action_type ELSE '' END AS next_action, CASE WHEN mine AND NOT late THEN CAST({AS_OF} + 3 AS VARCHAR) ELSE '' END AS follow_up_date FROM m",
+        "store_actions": f"WITH f AS ({_FIRST}) SELECT a.id, a.domain, a.action_type, a.priority, CASE WHEN f.id IS NULL THEN 'OPEN' ELSE 'COMPLETED' END AS status, a.due_date, CASE WHEN f.id IS NULL THEN NULL ELSE CAST({AS_OF} AS VARCHAR) END AS completed_at FROM ({_ACTIONS}) a LEFT JOIN f ON a.id = f.id",
+        "store_events": found["events_after"],
+        "results_array": oracle(f"SELECT row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) - 1 AS ordinal, CAST(row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) AS INTEGER) AS outreach_rank, domain, pages, outreach_priority, {have('NOT ')} AS missing, sales_lane FROM leads"),
+    }
     found["phone_rules"] = found["phone_rules"].replace(" AS score FROM", f" AS score, CASE {_region} WHEN 0 THEN 'Invalid phone format' WHEN 100 THEN 'Valid NANP phone number, Alberta area code' WHEN 70 THEN 'Valid NANP phone number, Canadian area code' ELSE 'Valid NANP phone number, Non-local area code' END AS reasons FROM")
     return found | {n: oracle(f"SELECT domain, {', '.join(c)} FROM leads") for n, c in SHEET_GROUPS.items()}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.operators import leads, states
+from leadloom.sources import files
 
 
 def slot_of(domain: str, slots: int) -> Column:
@@ -28,12 +29,6 @@ def written(rows: DataFrame, path: str, *by: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def removed(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def versions(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
     """The batch that last wrote each slot's states, as of the batch: one entry per slot at most."""
     if batch < 0:
@@ -75,7 +70,7 @@ def updated(spark: SparkSession, new: DataFrame, number: int, path: str, slots:
     now = before | {s: number for s in touched_slots}
     written(spark.createDataFrame(sorted(now.items()), "slot int, version bigint").coalesce(1), f"{path}/versions/{mine}")
     gone = set(versions(spark, path, number - 2).items()) - set(before.items())
-    removed(spark, [f"{path}/states/batch={v}/slot={s}" for s, v in gone])
+    files.removed(spark, [f"{path}/states/batch={v}/slot={s}" for s, v in gone])
     return touched.drop("slot")
 
 
