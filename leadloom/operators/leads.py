@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import exprs, rules
 from leadloom.operators import states
 from leadloom.operators.states import with_domain
-from leadloom.plans import sheet
+from leadloom.plans import messages, sheet
 
 #: First ordinals of sites, of one priority, that are ranked in one window.
 WIDTH = 1 << 16
@@ -54,15 +54,16 @@ def signals(found: DataFrame) -> DataFrame:
     return own.withColumns({"n_emails_raw": F.size("raw_emails"), "n_phones_raw": F.size("raw_phones"), "n_emails": F.size("emails_found"), "n_phones": F.size("phones_found")})
 
 
-def scored(found: DataFrame) -> DataFrame:
-    """Adds the columns of the score sheet."""
-    for level in sheet.levels(sheet.spark_sheet()):
+def scored(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Adds the columns of the score sheet; texts is a table of messages (messages.table) in place of the default."""
+    lines = sheet.spark_sheet(messages.own_texts(texts)) if texts is not None else sheet.spark_sheet()
+    for level in sheet.levels(lines):
         found = found.withColumns({name: F.expr(text) for name, text in level})
     return found
 
 
-def leads(pages: DataFrame) -> DataFrame:
-    return scored(signals(sites(pages)))
+def leads(pages: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    return scored(signals(sites(pages)), texts)
 
 
 def ranked(found: DataFrame, width: int = WIDTH) -> DataFrame:
