@@ -89,26 +89,39 @@ def ranked(found: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.join(places, F.col("domain") == F.col("_d")).drop("_d")
 
 
-def lead_result(found: DataFrame) -> DataFrame:
-    """The nested form: flat columns with evidence, brief, assets, profile and package as structs."""
+def nested(found: DataFrame) -> dict[str, Column]:
+    """The structs of a lead: evidence by feature, brief, assets, profile and package."""
     evidence = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"evidence_{f}").isNotNull(), F.struct(F.lit(f), F.struct(F.col(f"evidence_{f}.url"), F.col(f"evidence_{f}.snippet")))) for f in rules.FEATURES])))
+    named = lambda **c: F.struct(*[F.col(x).alias(n) for n, x in c.items()])
     brief = F.struct("why_now", "primary_pain", "recommended_first_message", "expected_objection", "response_strategy")
-    assets = F.struct(F.col("asset_subject").alias("email_subject"), "offer_angle", "first_contact_strategy", "sales_message_angle", "custom_opening", "call_script_angle")
-    profile = F.struct("website_observations", F.struct("pages", "opportunity", "revenue_tier", "executive_priority_score").alias("metrics"), "custom_opening", "sales_message_angle")
-    package = F.struct(F.struct("email_subject", "opening_hook", "email_personalization", "recommended_message", "first_email_angle").alias("email"), F.struct("call_script_angle", "target_contact_role", "primary_phone").alias("phone"), F.struct("follow_up_days", "follow_up_priority").alias("follow_up"), F.struct("crm_status", "sales_lane", "lead_temperature", "priority_score").alias("crm"))
-    nested = {"evidence": evidence, "executive_brief": brief, "outreach_assets": assets, "personalization_profile": profile, "outreach_package": package}
-    return found.withColumns(nested).drop(*[f"evidence_{f}" for f in rules.FEATURES])
+    assets = named(email_subject="asset_subject", opening_line="opening_line", first_email_body="first_email_body", phone_opener="phone_opener", follow_up_day_3="follow_up_day_3", follow_up_day_7="follow_up_day_7")
+    context = named(pages_indexed="pages", digital_gap_score="opportunity", revenue_tier="revenue_tier", executive_priority_score="executive_priority_score")
+    profile = F.struct(F.split("website_observations", "; ").alias("website_observations"), context.alias("business_context"), F.col("custom_opening"), F.col("sales_message_angle").alias("recommended_angle"))
+    package = F.struct(
+        named(subject="asset_subject", opening="opening_line", body="first_email_body", angle="email_angle", cta="offer_angle").alias("email"),
+        named(opening="phone_opener", strategy="first_contact_strategy", message_angle="sales_message_angle").alias("phone"),
+        named(day_3="follow_up_day_3", day_7="follow_up_day_7").alias("follow_up"),
+        named(executive_action="executive_action", sales_motion="estimated_sales_motion", campaign_sequence="campaign_sequence", next_action="recommended_first_touch").alias("crm"),
+    )
+    return {"evidence": evidence, "executive_brief": brief, "outreach_assets": assets, "personalization_profile": profile, "outreach_package": package}
 
 
-def canonical(found: DataFrame, as_of: Column) -> DataFrame:
-    """The canonical lead: seven groups. The queue's state as the reference has it, and by level."""
+def lead_result(found: DataFrame) -> DataFrame:
+    """The nested form: flat columns with evidence, brief, assets, profile and package as structs, scores as shown."""
+    shown = {"digital_opportunity_score": F.col("digital_shown"), "partnership_opportunity_score": F.col("partnership_shown")}
+    return found.withColumns(nested(found) | shown).drop("digital_shown", "partnership_shown", *[f"evidence_{f}" for f in rules.FEATURES])
+
+
+def canonical(found: DataFrame, as_of: Column, campaign: str = "") -> DataFrame:
+    """The canonical lead: seven groups, of the campaign of that name. The queue's state as the reference has it, and by level."""
+    own = nested(found)
     return found.select(
         F.struct("domain", "lead_type", "prospect_type").alias("company"),
-        F.struct("pages", "found", "missing").alias("website"),
+        F.struct(F.col("pages"), F.col("found"), F.col("missing"), own["evidence"].alias("evidence")).alias("website"),
         F.struct("emails_found", "phones_found", F.col("any_email").alias("primary_email"), "email_confidence", "primary_phone", "phone_confidence", "normalized_phone", "phone_region_score", "phone_reason", F.col("canonical_quality").alias("contact_quality_score")).alias("contacts"),
         F.struct("conversion", "opportunity", "lead_value", "priority", "sales_readiness", "sales_stage", "executive_priority_score").alias("scoring"),
-        F.struct("revenue_opportunity_score", "revenue_tier", "revenue_reason", "digital_opportunity_score", "partnership_opportunity_score").alias("opportunity"),
-        F.struct("campaign_type", "outreach_priority", "outreach_channel", "recommended_pitch", F.col("canonical_priority").alias("priority_score"), "priority_level", "best_contact_method").alias("outreach"),
+        F.struct("revenue_opportunity_score", "revenue_tier", "revenue_reason", F.col("digital_shown").alias("digital_opportunity_score"), F.col("partnership_shown").alias("partnership_opportunity_score")).alias("opportunity"),
+        F.struct(F.lit(campaign).alias("campaign"), "campaign_type", "outreach_priority", "outreach_channel", "recommended_pitch", own["outreach_package"].alias("outreach_package"), own["personalization_profile"].alias("personalization_profile"), F.col("canonical_priority").alias("priority_score"), "priority_level", "best_contact_method").alias("outreach"),
         F.struct(F.col("crm_state").alias("crm_status"), "sales_lane", F.col("crm_stage").alias("pipeline_stage"), F.col("crm_next_action").alias("next_action"), F.date_add(as_of, 14).cast("string").alias("follow_up_date"), F.lit(0).alias("attempt_count"), F.col("sales_readiness").alias("engagement_score"), F.date_add(as_of, F.col("level_follow_up")).cast("string").alias("level_follow_up_date")).alias("crm"),
     )
 
@@ -130,10 +143,29 @@ def report_text(found: DataFrame) -> DataFrame:
     return found.select("domain", F.concat_ws("\n", "domain", line("Pages", "pages"), line("Conversion", "conversion"), line("Opportunity", "opportunity"), line("Value", "lead_value"), line("Priority", "priority"), F.concat(F.lit("Missing: "), F.array_join("missing", ", ")), line("Pitch", "pitch")).alias("report"))
 
 
+def report_markdown(found: DataFrame) -> DataFrame:
+    """domain, report: a lead's report in Markdown, section by section."""
+    text = lambda name, col: F.concat(F.lit(name), F.col(col).cast("string"))
+    items = lambda names: F.transform(names, lambda x: F.concat(F.lit("- "), x))
+    lines = lambda *of: F.array(*[F.lit(x) if isinstance(x, str) else x for x in of])
+    brief = [line for c in ("why_now", "primary_pain", "recommended_first_message", "expected_objection", "response_strategy") for line in (f"### {c}", F.col(c), "")]
+    parts = F.concat(
+        lines("# Conversion Opportunity Report", "", "## Business", F.col("domain"), ""),
+        lines("## Executive Classification", "", text("- Action: ", "executive_action"), text("- Priority: ", "priority"), text("- Temperature: ", "lead_temperature"), text("- CRM Status: ", "crm_status"), ""),
+        lines("## Scores", "", text("- Executive Priority: ", "executive_priority_score"), text("- Opportunity Score: ", "opportunity"), text("- Lead Value: ", "lead_value"), text("- Revenue Opportunity: ", "revenue_opportunity_score"), ""),
+        lines("## Website Findings", ""), items(F.split("website_observations", "; ")),
+        lines("", "## Missing Opportunities", ""), items(F.col("missing")),
+        lines("", "## Contact Information", "", text("Email: ", "primary_email"), text("Phone: ", "primary_phone"), text("Recommended Contact: ", "target_contact_role"), ""),
+        lines("## Executive Brief", "", *brief),
+        lines("## Outreach Package", "", "Subject:", F.col("asset_subject"), "", "Opening:", F.col("opening_line"), "", "Body:", F.col("first_email_body"), ""),
+        lines("## Phone Script", "", F.col("phone_opener")),
+    )
+    return found.select("domain", F.array_join(parts, "\n").alias("report"))
+
+
 def top_lead_markdown(found: DataFrame) -> DataFrame:
     """One row: the report of the lead with the highest executive score, first seen first."""
-    best = found.orderBy(F.desc("executive_priority_score"), "first_ordinal").limit(1)
-    return best.select("domain", F.concat_ws("\n", F.concat(F.lit("# "), "domain"), F.concat(F.lit("Action: "), "executive_action"), F.concat(F.lit("Score: "), F.col("executive_priority_score").cast("string")), F.concat(F.lit("Temperature: "), "lead_temperature"), F.concat(F.lit("Missing: "), F.array_join("missing", ", ")), F.concat(F.lit("Why now: "), "why_now")).alias("report"))
+    return report_markdown(found.orderBy(F.desc("executive_priority_score"), "first_ordinal").limit(1))
 
 
 def beside(low: DataFrame, asked: DataFrame, before: int, after: int) -> DataFrame:

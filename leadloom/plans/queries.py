@@ -105,14 +105,14 @@ SHEET_GROUPS: dict[str, list[str]] = {
     "contact_role": ["target_contact_role"],
     "campaign": ["campaign_type", "recommended_subject", "first_email_angle", "follow_up_days", "follow_up_priority", "campaign_priority", "recommended_message", "priority_score", "campaign_sequence", "decision_maker_reason", "opening_hook", "email_personalization", "call_script_angle"],
     "revenue": ["revenue_opportunity_score", "revenue_tier", "revenue_reason"],
-    "opportunity_scores": ["digital_opportunity_score", "partnership_opportunity_score", "sales_priority_score"],
+    "opportunity_scores": ["digital_opportunity_score", "partnership_opportunity_score", "digital_shown", "partnership_shown", "sales_priority_score"],
     "executive": ["executive_priority_score", "executive_action", "executive_summary"],
     "sales_lane": ["sales_lane", "recommended_pitch"],
     "crm_status": ["crm_status", "contact_quality_score", "primary_email"],
     "temperature": ["outreach_readiness_score", "lead_temperature", "outreach_strategy", "best_contact_channel", "recommended_first_touch"],
     "outreach_bundle": ["outreach_priority_level", "outreach_channel", "first_contact_strategy", "offer_angle", "estimated_sales_motion", "sales_message_angle"],
     "brief": ["why_now", "primary_pain", "recommended_first_message", "expected_objection", "response_strategy"],
-    "assets": ["asset_subject", "email_subject", "custom_opening"],
+    "assets": ["asset_subject", "opening_line", "first_email_body", "phone_opener", "follow_up_day_3", "follow_up_day_7", "email_subject", "custom_opening"],
     "canonical_priority": ["canonical_quality", "canonical_priority", "priority_level", "best_contact_method", "crm_state", "crm_stage", "crm_next_action", "level_state", "level_stage", "level_next_action", "level_follow_up"],
 }
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,8 +191,8 @@ def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leads written as one array in order of rank, and read back: ordinal is the place in the array."""
     path = f"{files.shared_dir(spark)}/leadloom/results-{uuid.uuid4().hex}"
     sinks.write_json_array(leads.lead_result(leads.ranked(leads.leads(corpus(spark, sf_dir)))), path)
-    back = results(spark, path, "outreach_rank int, domain string, pages int, outreach_priority double, missing array<string>, outreach_package struct<crm:struct<sales_lane:string>>")
-    return back.select("ordinal", "outreach_rank", "domain", "pages", "outreach_priority", F.array_join("missing", ",").alias("missing"), "outreach_package.crm.sales_lane")
+    back = results(spark, path, "outreach_rank int, domain string, pages int, outreach_priority double, missing array<string>, outreach_package struct<crm:struct<executive_action:string>>")
+    return back.select("ordinal", "outreach_rank", "domain", "pages", "outreach_priority", F.array_join("missing", ",").alias("missing"), "outreach_package.crm.executive_action")
 
 
 def _phones_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,16 +213,18 @@ def _long_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_whole(pages: DataFrame) -> DataFrame:
-    """All fields of the seven groups, side by side."""
+    """All fields of the seven groups, side by side; the nested ones by how many there are and by one of their fields."""
     groups = leads.canonical(leads.leads(pages), F.expr(AS_OF)).select("company.*", "website.*", "contacts.*", "scoring.*", "opportunity.*", "outreach.*", "crm.*")
-    return groups.withColumns({c: F.array_join(c, ", ") for c in ("found", "missing", "emails_found", "phones_found", "phone_reason")})
+    told = {"n_evidence": F.size(F.map_keys("evidence")), "cta": F.col("outreach_package.email.cta"), "gap": F.col("personalization_profile.business_context.digital_gap_score")}
+    return groups.withColumns(told | {c: F.array_join(c, ", ") for c in ("found", "missing", "emails_found", "phones_found", "phone_reason")}).drop("evidence", "outreach_package", "personalization_profile")
 
 
 def _profile(pages: DataFrame) -> DataFrame:
     """The fields of the personalization profile, the outreach package and the outreach assets, side by side."""
-    nested = leads.lead_result(leads.leads(pages))
-    profile, package, assets = "personalization_profile", "outreach_package", "outreach_assets"
-    return nested.select("domain", f"{profile}.website_observations", f"{profile}.metrics.*", f"{profile}.custom_opening", f"{profile}.sales_message_angle", *[f"{package}.{g}.*" for g in ("email", "phone", "follow_up", "crm")], F.col(f"{assets}.email_subject").alias("asset_subject"), *[f"{assets}.{c}" for c in ("offer_angle", "first_contact_strategy")])
+    found = leads.lead_result(leads.leads(pages))
+    profile, package = "personalization_profile", "outreach_package"
+    own = {"email": ("subject", "opening", "body", "angle", "cta"), "phone": ("opening", "strategy", "message_angle"), "follow_up": ("day_3", "day_7"), "crm": ("executive_action", "sales_motion", "campaign_sequence", "next_action")}
+    return found.select("domain", F.array_join(f"{profile}.website_observations", "; ").alias("observations"), f"{profile}.business_context.*", f"{profile}.custom_opening", f"{profile}.recommended_angle", *[F.col(f"{package}.{g}.{c}").alias(f"{g}_{c}" + "_" * (f"{g}_{c}" in ("email_subject", "follow_up_day_3", "follow_up_day_7"))) for g, names in own.items() for c in names], "outreach_assets.*", *[f"executive_brief.{c}" for c in ("why_now", "response_strategy")], "digital_opportunity_score", "partnership_opportunity_score")
 
 
 def _signals_sql() -> str:
@@ -308,10 +310,10 @@ def oracle_sql() -> dict[str, str]:
     found |= {
         "contact_csv": oracle(f"SELECT domain, lead_type, sales_stage, sales_readiness, outreach_priority, '' AS outreach_level, any_email AS primary_email, primary_phone, normalized_phone, email_confidence, phone_confidence, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, crm_state AS crm_status, recommended_pitch FROM leads"),
         "campaign_csv": oracle(f"{listed} SELECT leads.domain AS company, 'https://' || leads.domain AS website, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, campaign_type, '' AS recommended_subject, '' AS first_email_angle, 0 AS seminar_fit, sales_stage, '' AS follow_up_priority, '' AS follow_up_days FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
-        "canonical_whole": oracle(f"{listed} SELECT leads.domain AS domain, lead_type, prospect_type, pages, replace({have('')}, ',', ', ') AS found, replace({have('NOT ')}, ',', ', ') AS missing, coalesce(emails, '') AS emails_found, coalesce(phones, '') AS phones_found, any_email AS primary_email, email_confidence, primary_phone, phone_confidence, normalized_phone, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, conversion, opportunity, lead_value, priority, sales_readiness, sales_stage, executive_priority_score, revenue_opportunity_score, revenue_tier, revenue_reason, digital_opportunity_score, partnership_opportunity_score, campaign_type, outreach_priority, outreach_channel, recommended_pitch, canonical_priority AS priority_score, priority_level, best_contact_method, crm_state AS crm_status, sales_lane, crm_stage AS pipeline_stage, crm_next_action AS next_action, CAST({AS_OF} + 14 AS VARCHAR) AS follow_up_date, 0 AS attempt_count, sales_readiness AS engagement_score, CAST({AS_OF} + CAST(level_follow_up AS INTEGER) AS VARCHAR) AS level_follow_up_date FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
-        "lead_profile": oracle("SELECT domain, website_observations, pages, opportunity, revenue_tier, executive_priority_score, custom_opening, sales_message_angle, email_subject, opening_hook, email_personalization, recommended_message, first_email_angle, call_script_angle, target_contact_role, primary_phone, follow_up_days, follow_up_priority, crm_status, sales_lane, lead_temperature, priority_score, asset_subject, offer_angle, first_contact_strategy FROM leads"),
+        "canonical_whole": oracle(f"{listed} SELECT leads.domain AS domain, '' AS campaign, CAST(len(string_split({have('')}, ',')) - CASE WHEN {have('')} = '' THEN 1 ELSE 0 END AS INTEGER) AS n_evidence, offer_angle AS cta, opportunity AS gap, lead_type, prospect_type, pages, replace({have('')}, ',', ', ') AS found, replace({have('NOT ')}, ',', ', ') AS missing, coalesce(emails, '') AS emails_found, coalesce(phones, '') AS phones_found, any_email AS primary_email, email_confidence, primary_phone, phone_confidence, normalized_phone, phone_region_score, {reason} AS phone_reason, canonical_quality AS contact_quality_score, conversion, opportunity, lead_value, priority, sales_readiness, sales_stage, executive_priority_score, revenue_opportunity_score, revenue_tier, revenue_reason, digital_shown AS digital_opportunity_score, partnership_shown AS partnership_opportunity_score, campaign_type, outreach_priority, outreach_channel, recommended_pitch, canonical_priority AS priority_score, priority_level, best_contact_method, crm_state AS crm_status, sales_lane, crm_stage AS pipeline_stage, crm_next_action AS next_action, CAST({AS_OF} + 14 AS VARCHAR) AS follow_up_date, 0 AS attempt_count, sales_readiness AS engagement_score, CAST({AS_OF} + CAST(level_follow_up AS INTEGER) AS VARCHAR) AS level_follow_up_date FROM leads LEFT JOIN e USING (domain) LEFT JOIN f USING (domain)"),
+        "lead_profile": oracle("SELECT domain, website_observations AS observations, pages AS pages_indexed, opportunity AS digital_gap_score, revenue_tier, executive_priority_score, custom_opening, sales_message_angle AS recommended_angle, asset_subject AS email_subject_, opening_line AS email_opening, first_email_body AS email_body, email_angle, offer_angle AS email_cta, phone_opener AS phone_opening, first_contact_strategy AS phone_strategy, sales_message_angle AS phone_message_angle, follow_up_day_3 AS follow_up_day_3_, follow_up_day_7 AS follow_up_day_7_, executive_action AS crm_executive_action, estimated_sales_motion AS crm_sales_motion, campaign_sequence AS crm_campaign_sequence, recommended_first_touch AS crm_next_action, asset_subject AS email_subject, opening_line, first_email_body, phone_opener, follow_up_day_3, follow_up_day_7, why_now, response_strategy, digital_shown AS digital_opportunity_score, partnership_shown AS partnership_opportunity_score FROM leads"),
         "report_text": oracle(f"SELECT domain, domain || chr(10) || 'Pages: ' || pages || chr(10) || 'Conversion: ' || conversion || chr(10) || 'Opportunity: ' || opportunity || chr(10) || 'Value: ' || lead_value || chr(10) || 'Priority: ' || priority || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Pitch: ' || pitch AS report FROM leads"),
-        "lead_report_md": oracle(f"SELECT domain, '# ' || domain || chr(10) || 'Action: ' || executive_action || chr(10) || 'Score: ' || executive_priority_score || chr(10) || 'Temperature: ' || lead_temperature || chr(10) || 'Missing: ' || replace({have('NOT ')}, ',', ', ') || chr(10) || 'Why now: ' || why_now AS report FROM leads ORDER BY executive_priority_score DESC, first_ordinal LIMIT 1"),
+        "lead_report_md": oracle("SELECT domain, array_to_string(list_concat(['# Conversion Opportunity Report', '', '## Business', domain, '', '## Executive Classification', '', '- Action: ' || executive_action, '- Priority: ' || priority, '- Temperature: ' || lead_temperature, '- CRM Status: ' || crm_status, '', '## Scores', '', '- Executive Priority: ' || executive_priority_score, '- Opportunity Score: ' || opportunity, '- Lead Value: ' || lead_value, '- Revenue Opportunity: ' || revenue_opportunity_score, '', '## Website Findings', ''], list_transform(string_split(website_observations, '; '), lambda x: '- ' || x), ['', '## Missing Opportunities', ''], " + f"list_transform(list_filter(string_split({have('NOT ')}, ','), lambda x: x <> ''), lambda x: '- ' || x)" + ", ['', '## Contact Information', '', 'Email: ' || primary_email, 'Phone: ' || primary_phone, 'Recommended Contact: ' || target_contact_role, '', '## Executive Brief', '', " + ", ".join(f"'### {c}', {c}, ''" for c in ("why_now", "primary_pain", "recommended_first_message", "expected_objection", "response_strategy")) + ", '## Outreach Package', '', 'Subject:', asset_subject, '', 'Opening:', opening_line, '', 'Body:', first_email_body, '', '## Phone Script', '', phone_opener]), chr(10)) AS report FROM leads ORDER BY executive_priority_score DESC, first_ordinal LIMIT 1"),
         "crm_records": oracle(f"SELECT domain, level_stage AS pipeline_stage, level_state AS crm_status, canonical_priority AS priority_score, priority_level, best_contact_method AS contact_method, any_email AS primary_email, primary_phone, 0 AS attempts, CASE WHEN canonical_raw >= 180 THEN 'Send ' || best_contact_method || ' outreach' WHEN canonical_raw >= 120 THEN 'Prepare ' || best_contact_method || ' sequence' ELSE 'Research prospect' END AS next_action, CAST({AS_OF} + CASE WHEN canonical_raw >= 180 THEN 2 WHEN canonical_raw >= 120 THEN 5 ELSE 14 END AS VARCHAR) AS follow_up_date, CAST({AS_OF} AS VARCHAR) AS updated_at FROM leads"),
         "action_started": f"WITH f AS ({_FIRST}) SELECT f.domain, f.action_type AS action, a.priority FROM f JOIN ({_ACTIONS}) a USING (id)",
         "actions_after_start": f"WITH f AS ({_FIRST}) SELECT a.id, a.domain, a.action_type, a.priority, 'IN_PROGRESS' AS status, a.due_date, CAST({AS_OF} AS VARCHAR) AS started_at FROM f JOIN ({_ACTIONS}) a ON a.id = f.id",
@@ -323,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "store_leads": f"WITH f AS ({_FIRST}), l AS (SELECT domain, arg_max(priority_level, {late}) AS priority_level, arg_max(event_type, {late}) AS contact_method, bool_or(seq % 2 = 0) AS early, bool_or(seq % 2 = 1) AS late FROM ({_LOG}) GROUP BY domain), m AS (SELECT l.*, f.action_type, f.domain IS NOT NULL AND early AS mine FROM l LEFT JOIN f USING (domain)) SELECT domain, CASE WHEN mine AND NOT late THEN 'CONTACTED' ELSE 'NEW' END AS pipeline_stage, priority_level, contact_method, CASE WHEN mine THEN 1 ELSE 0 END AS attempts, CASE WHEN mine AND NOT late THEN action_type ELSE '' END AS next_action, CASE WHEN mine AND NOT late THEN CAST({AS_OF} + 3 AS VARCHAR) ELSE '' END AS follow_up_date FROM m",
         "store_actions": f"WITH f AS ({_FIRST}) SELECT a.id, a.domain, a.action_type, a.priority, CASE WHEN f.id IS NULL THEN 'OPEN' ELSE 'COMPLETED' END AS status, a.due_date, CASE WHEN f.id IS NULL THEN NULL ELSE CAST({AS_OF} AS VARCHAR) END AS completed_at FROM ({_ACTIONS}) a LEFT JOIN f ON a.id = f.id",
         "store_events": found["events_after"],
-        "results_array": oracle(f"SELECT row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) - 1 AS ordinal, CAST(row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) AS INTEGER) AS outreach_rank, domain, pages, outreach_priority, {have('NOT ')} AS missing, sales_lane FROM leads"),
+        "results_array": oracle(f"SELECT row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) - 1 AS ordinal, CAST(row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) AS INTEGER) AS outreach_rank, domain, pages, outreach_priority, {have('NOT ')} AS missing, executive_action FROM leads"),
     }
     found["phone_rules"] = found["phone_rules"].replace(" AS score FROM", f" AS score, CASE {_region} WHEN 0 THEN 'Invalid phone format' WHEN 100 THEN 'Valid NANP phone number, Alberta area code' WHEN 70 THEN 'Valid NANP phone number, Canadian area code' ELSE 'Valid NANP phone number, Non-local area code' END AS reasons FROM")
     return found | {n: oracle(f"SELECT domain, {', '.join(c)} FROM leads") for n, c in SHEET_GROUPS.items()}

@@ -59,7 +59,7 @@ SHEET: list[tuple[str, str]] = [
     ("sales_stage", case("sales_readiness >= 90 => 'Hot Prospect'", "sales_readiness >= 70 => 'Sales Qualified Lead'", "sales_readiness >= 50 => 'Nurture Candidate'", "'Research Required'")),
     ("pain_points", said(("NOT has_appointment_booking", "booking"), ("NOT has_lead_capture", "capture"), ("NOT has_online_planner", "planner"), ("NOT has_chat", "chat"))),
     ("pitch", said(("NOT has_online_planner", "planner"), ("NOT has_chat", "chat"), ("NOT has_pricing", "pricing"), ("NOT has_lead_capture", "capture"), ("NOT has_appointment_booking", "booking"))),
-    ("website_observations", "coalesce(nullif(" + said(("NOT has_appointment_booking", "booking"), ("NOT has_online_planner", "planner"), ("NOT has_lead_capture", "capture"), ("NOT has_chat", "chat"), ("NOT has_pricing", "pricing")) + ", ''), {say:none})"),
+    ("website_observations", "coalesce(nullif(" + said(("NOT has_online_planner", "planner"), ("NOT has_appointment_booking", "booking"), ("NOT has_chat", "chat"), ("NOT has_lead_capture", "capture"), ("NOT has_contact_form", "form")) + ", ''), {say:none})"),
     ("email_angle", case("lead_type LIKE 'Digital%' => {say:digital}", "lead_type LIKE 'Conv%' => {say:conversion}", "{say:other}")),
     ("seminar_fit", "least(20 * n_seminar + CASE WHEN kw_association THEN 20 ELSE 0 END, 100)"),
     ("community_fit", "least(15 * n_community + 10 * n_event, 100)"),
@@ -88,6 +88,9 @@ SHEET: list[tuple[str, str]] = [
     ("revenue_tier", case("revenue_opportunity_score >= 75 => 'Tier 1'", "revenue_opportunity_score >= 50 => 'Tier 2'", "'Tier 3'")),
     ("digital_opportunity_score", "least(opportunity / {d:15.0} * {d:60.0} + (15 - conversion) / {d:15.0} * {d:40.0}, {d:100.0})"),
     ("partnership_opportunity_score", "least(community_fit * {d:0.35} + seminar_fit * {d:0.35} + education_fit * {d:0.2} + contact_quality_score * {d:0.1}, {d:100.0})"),
+    # As results show them; what builds on them takes them as they are.
+    ("digital_shown", "{round:1:digital_opportunity_score}"),
+    ("partnership_shown", "{round:1:partnership_opportunity_score}"),
     ("sales_priority_score", "{round:1:digital_opportunity_score * {d:0.55} + partnership_opportunity_score * {d:0.45}}"),
     ("base_lane", case("digital_opportunity_score >= 70 AND partnership_opportunity_score >= 70 => 'Digital + Partnership'", "partnership_opportunity_score >= 70 => 'Partnership'", "digital_opportunity_score >= 70 => 'Digital'", "'Nurture'")),
     ("executive_priority_score", "{round:1:least(sales_priority_score * " + case("revenue_tier = 'Tier 1' => {d:1.25}", "revenue_tier = 'Tier 2' => {d:1.1}", "{d:1.0}") + " * ({d:0.7} + contact_quality_score / {d:100.0} * {d:0.3}), {d:100.0})}"),
@@ -111,7 +114,6 @@ SHEET: list[tuple[str, str]] = [
 
 SHEET += [(field, case(*[f"executive_action = '{name}' => {{say:{kind}}}" for kind, name in messages.ACTIONS.items() if kind != "monitor"], "{say:monitor}")) for field in messages.BY_ACTION]
 SHEET += [
-    ("asset_subject", "{say:all}"),
     ("email_subject", "{say:all}"),
     # The reference's follow-up takes a number for a level, so every lead is in the last branch.
     ("crm_state", "'NURTURE'"),
