@@ -170,7 +170,8 @@ def top_lead_markdown(found: DataFrame) -> DataFrame:
 
 def beside(low: DataFrame, asked: DataFrame, before: int, after: int) -> DataFrame:
     """domain, ordinal, before, after: what stands around the asked pages (domain, ordinal, need_before, need_after: in
-    characters) in their sites' text, where a line feed follows each page but the last; as much as is asked for.
+    characters) in their sites' text, where a line feed follows each page but the last; as much as is asked for. Asked
+    pages that have nothing around them may be left out.
 
     A page meets the asked pages of its site as one list; it can be next only to the first of them on either side, so
     the next page is a maximum (minimum) by asked page, summed up where pages are read. Where that one is short, so
@@ -180,22 +181,18 @@ def beside(low: DataFrame, asked: DataFrame, before: int, after: int) -> DataFra
     lists = wanted.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("ordinal", "b", "a"))).alias("asked"))  # some for each signal of a site
     edges = low.select("domain", F.col("ordinal").alias("o"), F.expr(f"right(concat(low, '\n'), {before})").alias("tail"), F.expr(f"left(concat('\n', low), {after})").alias("head"))
 
-    def side(need: str, edge: str, beyond: str, pick: str, descending: bool, most: int) -> DataFrame:
-        """domain, ordinal, text, short: up to need characters beside each asked page."""
-        met = edges.join(lists, "domain").select("domain", "o", edge, F.expr(f"{pick}(filter(asked, x -> x.ordinal {beyond} o AND x.{need} > 0))").alias("x")).where("x IS NOT NULL")
-        best = (F.max if descending else F.min)(F.struct("o", edge))
-        next_ = met.groupBy("domain", F.col("x.ordinal").alias("ordinal"), F.col(f"x.{need}").alias("need")).agg(best.alias("n")).select("domain", "ordinal", "need", F.col(f"n.{edge}").alias("text"))
-        short = next_.where(f"length(text) < least(need, {most})").select("domain", "ordinal", "need")
-        further = edges.join(short, "domain").where(f"o {'<' if descending else '>'} ordinal")
-        order = Window.partitionBy("domain", "ordinal").orderBy(F.desc("o") if descending else F.asc("o"))
-        few = further.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)  # a page has one character at least, its line's end
-        ordered = F.array_sort(F.collect_list(F.struct("o", edge)))
-        more = few.groupBy("domain", "ordinal").agg(F.array_join(F.transform(ordered, lambda x: x[edge]), "").alias("more"))
-        return next_.join(more, ["domain", "ordinal"], "left").select("domain", "ordinal", F.coalesce("more", "text").alias(edge))
-
-    back = side("b", "tail", ">", "array_min", True, before)
-    forth = side("a", "head", "<", "array_max", False, after)
-    return wanted.join(back, ["domain", "ordinal"], "left").join(forth, ["domain", "ordinal"], "left").select("domain", "ordinal", F.expr(f"right(coalesce(tail, ''), {before})").alias("before"), F.expr(f"left(coalesce(head, ''), {after})").alias("after"))
+    met = edges.join(lists, "domain").select("domain", "o", "tail", "head", F.expr("array_min(filter(asked, x -> x.ordinal > o AND x.b > 0))").alias("x"), F.expr("array_max(filter(asked, x -> x.ordinal < o AND x.a > 0))").alias("y"))
+    sides = F.expr("filter(array(struct(true AS back, x.ordinal AS ordinal, x.b AS need, tail AS edge), struct(false AS back, y.ordinal AS ordinal, y.a AS need, head AS edge)), z -> z.ordinal IS NOT NULL)")
+    key = ["domain", "ordinal", "back"]
+    near = F.when(F.col("back"), -F.col("o")).otherwise(F.col("o"))  # least next to the asked page, on either side
+    next_ = met.select("domain", "o", F.explode(sides).alias("s")).select("domain", "o", "s.*").groupBy(*key, "need").agg(F.min(F.struct(near.alias("o"), "edge"))["edge"].alias("text"))
+    short = next_.where("length(text) < need").select(*key, "need")
+    further = edges.join(short, "domain").where("CASE WHEN back THEN o < ordinal ELSE o > ordinal END").select(*key, "need", "o", F.expr("CASE WHEN back THEN tail ELSE head END").alias("edge"))
+    few = further.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(near))).where(F.col("i") <= max(before, after))  # a page has one character at least, its line's end
+    ordered = F.array_sort(F.collect_list(F.struct("o", "edge")))
+    more = few.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda x: x["edge"]), "").alias("more"))
+    both = next_.join(more, key, "left").groupBy("domain", "ordinal").agg(*[F.coalesce(F.max(F.when(F.col("back") == side, F.coalesce("more", "text"))), F.lit("")).alias(name) for side, name in ((True, "_b"), (False, "_a"))])
+    return both.select("domain", "ordinal", F.expr(f"right(_b, {before})").alias("before"), F.expr(f"left(_a, {after})").alias("after"))
 
 
 def verified_signals(pages: DataFrame) -> DataFrame:

@@ -46,38 +46,36 @@ def with_domain(pages: DataFrame) -> DataFrame:
     return kept.withColumn("domain", exprs.clean_domain(F.col("url"))).where("domain != ''")
 
 
+# The expressions below have hundreds of parts, and are built as SQL text, which is parsed at once.
+
+
 def words_in(text: str, mask: int) -> Column:
     """The mask of the words that the text, a column in lower case, has."""
     own = WORDS[mask * BITS : (mask + 1) * BITS]
-    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(1 << i).cast("bigint").alias("bit")) for i, w in enumerate(own)])
-    return F.aggregate(F.filter(table, lambda w: F.col(text).contains(w["word"])), F.lit(0).cast("bigint"), lambda m, w: m.bitwiseOR(w["bit"]))
+    table = ", ".join(f"named_struct('word', {quoted(w)}, 'bit', {1 << i}L)" for i, w in enumerate(own))
+    return F.expr(f"aggregate(filter(array({table}), w -> contains({text}, w.word)), 0L, (m, w) -> m | w.bit)")
+
+
+def quoted(text: str) -> str:
+    return "r'" + text + "'"  # neither words nor patterns have quotation marks
 
 
-def has(words: list[str]) -> Column:
+def has(words: list[str]) -> str:
     """Whether the masks have one of the words."""
-    found = F.lit(False)
-    for name, mask in zip(MASKS, bits(words), strict=True):
-        if mask:
-            found = found | (F.col(name).bitwiseAND(F.lit(mask)) != 0)
-    return found
+    return "(" + " OR ".join(f"({name} & {mask}L) != 0" for name, mask in zip(MASKS, bits(words), strict=True) if mask) + ")"
 
 
-def shows(pattern: str) -> Column:
+def shows(pattern: str) -> str:
     """Whether the page matches, by its masks, and by its normal text where a literal alone does not tell."""
-    found = F.lit(False)
-    for literal, rest in exprs.required(pattern):
-        found = found | (has([literal]) & F.col("normal").rlike(rest) if rest else has([literal]))
-    return found
+    return " OR ".join(f"{has([literal])} AND normal RLIKE {quoted(rest)}" if rest else has([literal]) for literal, rest in exprs.required(pattern))
 
 
 def score(feature: str) -> Column:
-    total = F.lit(0)
-    for pattern, weight in rules.PATTERNS[feature].items():
-        total = total + F.when(shows(pattern), weight).otherwise(0)
+    total = " + ".join(f"CASE WHEN {shows(p)} THEN {weight} ELSE 0 END" for p, weight in rules.PATTERNS[feature].items())
     if feature in rules.FLOORS:
         pattern, floor = rules.FLOORS[feature]
-        total = F.greatest(total, F.when(shows(pattern), floor).otherwise(0))
-    return total.cast("int")
+        total = f"greatest({total}, CASE WHEN {shows(pattern)} THEN {floor} ELSE 0 END)"
+    return F.expr(total).cast("int")
 
 
 def page_scores(pages: DataFrame) -> DataFrame:
@@ -85,7 +83,7 @@ def page_scores(pages: DataFrame) -> DataFrame:
     low = with_domain(pages).withColumn("low", F.lower("text"))
     found = low.withColumns({name: words_in("low", i) for i, name in enumerate(MASKS)})
     tried = [literal for p in exprs.all_patterns() for literal, rest in exprs.required(p) if rest]
-    normal = found.withColumn("normal", F.when(has(tried), F.regexp_replace("low", r"(?U)\s+", " ")))
+    normal = found.withColumn("normal", F.when(F.expr(has(tried)), F.regexp_replace("low", r"(?U)\s+", " ")))
     return normal.withColumns({f"score_{f}": score(f) for f in rules.FEATURES}).drop("normal")
 
 
@@ -152,7 +150,7 @@ def site_states(pages: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def count(words: list[str]) -> Column:
-    return sum((F.bit_count(F.col(m).bitwiseAND(F.lit(mask))) for m, mask in zip(MASKS, bits(words), strict=True) if mask), F.lit(0))
+    return F.expr(" + ".join(f"bit_count({name} & {mask}L)" for name, mask in zip(MASKS, bits(words), strict=True) if mask))
 
 
 def finished(states: DataFrame) -> DataFrame:
@@ -163,8 +161,8 @@ def finished(states: DataFrame) -> DataFrame:
     named = F.lower(F.concat(F.when(F.col("seam.whole"), F.col("seam.head")).otherwise(F.col("seam.tail")), F.lit(" "), F.col("domain")))
     rows = rows.withColumn("_named", named)
     own = {f"n_{g}": count(rules.KEYWORDS[g]) for g in ("seminar", "community", "event", "education", "industry", "association")}
-    own |= {f"kw_{w}": has([w]) for w in rules.KEYWORDS["role"]}
-    own |= {f"is_{g}": has(rules.KEYWORDS[g]) | exprs.any_of(F.col("_named"), rules.KEYWORDS[g]) for g in ("home", "society")}
+    own |= {f"kw_{w}": F.expr(has([w])) for w in rules.KEYWORDS["role"]}
+    own |= {f"is_{g}": F.expr(has(rules.KEYWORDS[g])) | exprs.any_of(F.col("_named"), rules.KEYWORDS[g]) for g in ("home", "society")}
     own |= {f"has_{f}": F.col(f"best_{f}") >= rules.SHOWN for f in rules.FEATURES}
     own |= {"pages": F.col("pages").cast("int"), "raw_emails": F.array_sort("emails"), "raw_phones": F.array_sort("phones")}
     return rows.withColumns(own).withColumnRenamed("first", "first_ordinal").drop("_named", "last", "emails", "phones", "seam", "run", *MASKS)
