@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import exprs, rules
 from leadloom.operators import crm, leads, sinks, states
-from leadloom.operators.store import Store
+from leadloom.operators.store import WIDTH, Store
 from leadloom.plans import sheet
 from leadloom.sources import files
-from leadloom.sources.pages import driver_pages, results
+from leadloom.sources.pages import driver_pages, json_array, results
 
 PHRASES = [
     "contact us or request a call back", "book an appointment for a consultation", "plain words only", "online arrangement and planning tool",
@@ -195,6 +195,26 @@ def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("ordinal", "outreach_rank", "domain", "pages", "outreach_priority", F.array_join("missing", ",").alias("missing"), "outreach_package.crm.executive_action")
 
 
+def _pages_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as one JSON array in order of their ids, and read back by ranges of bytes."""
+    path, pages = f"{files.shared_dir(spark)}/leadloom/pages-{uuid.uuid4().hex}", driver_pages(spark, sf_dir)
+    first = pages.agg(F.min("ordinal")).first()[0]
+    sinks.write_json_array(pages.select("ordinal", "url", F.col("text").alias("markdown")), path, "ordinal", 0 if first is None else first)
+    back = json_array(spark, path, as_one=True)
+    return back.select("ordinal", "url", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def _migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of a store from before starts and completions were kept, read by the schema of today, and one started."""
+    path = f"{files.shared_dir(spark)}/leadloom/store-{uuid.uuid4().hex}"
+    old = _actions(spark, sf_dir).drop("started_at", "completed_at").withColumns({"whole": F.lit(True), "place": F.lit(0).cast("bigint")})
+    old.write.parquet(f"{path}/log/actions/{1:0{WIDTH}}-old")
+    files.created(spark, f"{path}/commits/{1:0{WIDTH}}-old", '{"actions": 0, "events": 0}')
+    store = Store(spark, path)
+    store.start_next("start", F.expr(AS_OF))
+    return store.table("actions").groupBy("status", "started_at", "completed_at").agg(F.count("*").alias("n"))
+
+
 def _phones_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AREAS))
     p = F.expr(f"CASE c_custkey % 3 WHEN 0 THEN '+1 ' WHEN 1 THEN '1-' ELSE '' END || CASE c_custkey % 12 {text} END || '-555-01' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0')")
@@ -271,6 +291,10 @@ def queries() -> dict[str, Query]:
         "store_actions": lambda spark, sf_dir: _store(spark, sf_dir).table("actions").select("id", "domain", "action_type", "priority", "status", "due_date", "completed_at"),
         "store_events": lambda spark, sf_dir: _store(spark, sf_dir).table("events"),
         "results_array": _stored_results,
+        "pages_array": _pages_array,
+        "actions_migrated": _migrated,
+        "best_scores": on(lambda p: leads.sites(p).select("domain", *[f"best_{f}" for f in rules.FEATURES])),
+        "site_counts": on(lambda p: leads.sites(p).agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"))),
         "event_history": lambda spark, sf_dir: _log(spark, sf_dir).groupBy("domain").agg(F.max("seq").alias("last_id"), F.count("*").alias("n")),
     }
     return found | {n: _sheet_query(c) for n, c in SHEET_GROUPS.items()}
@@ -325,6 +349,10 @@ def oracle_sql() -> dict[str, str]:
         "store_leads": f"WITH f AS ({_FIRST}), l AS (SELECT domain, arg_max(priority_level, {late}) AS priority_level, arg_max(event_type, {late}) AS contact_method, bool_or(seq % 2 = 0) AS early, bool_or(seq % 2 = 1) AS late FROM ({_LOG}) GROUP BY domain), m AS (SELECT l.*, f.action_type, f.domain IS NOT NULL AND early AS mine FROM l LEFT JOIN f USING (domain)) SELECT domain, CASE WHEN mine AND NOT late THEN 'CONTACTED' ELSE 'NEW' END AS pipeline_stage, priority_level, contact_method, CASE WHEN mine THEN 1 ELSE 0 END AS attempts, CASE WHEN mine AND NOT late THEN action_type ELSE '' END AS next_action, CASE WHEN mine AND NOT late THEN CAST({AS_OF} + 3 AS VARCHAR) ELSE '' END AS follow_up_date FROM m",
         "store_actions": f"WITH f AS ({_FIRST}) SELECT a.id, a.domain, a.action_type, a.priority, CASE WHEN f.id IS NULL THEN 'OPEN' ELSE 'COMPLETED' END AS status, a.due_date, CASE WHEN f.id IS NULL THEN NULL ELSE CAST({AS_OF} AS VARCHAR) END AS completed_at FROM ({_ACTIONS}) a LEFT JOIN f ON a.id = f.id",
         "store_events": found["events_after"],
+        "pages_array": "SELECT page_id - min(page_id) OVER () AS ordinal, coalesce(url, '') AS url, CAST(length(coalesce(html, '')) AS INTEGER) AS n_chars, md5(coalesce(html, '')) AS digest FROM pages",
+        "actions_migrated": f"WITH f AS ({_FIRST}) SELECT CASE WHEN f.id IS NULL THEN 'OPEN' ELSE 'IN_PROGRESS' END AS status, CASE WHEN f.id IS NULL THEN NULL ELSE CAST({AS_OF} AS VARCHAR) END AS started_at, CAST(NULL AS VARCHAR) AS completed_at, count(*) AS n FROM ({_ACTIONS}) a LEFT JOIN f ON a.id = f.id GROUP BY 1, 2",
+        "best_scores": oracle("SELECT domain, " + ", ".join(f"CAST(max(score_{f}) AS INTEGER) AS best_{f}" for f in rules.FEATURES) + " FROM features GROUP BY domain"),
+        "site_counts": oracle("SELECT count(*) AS sites, CAST(sum(pages) AS BIGINT) AS pages FROM sites"),
         "results_array": oracle(f"SELECT row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) - 1 AS ordinal, CAST(row_number() OVER (ORDER BY outreach_priority DESC, first_ordinal) AS INTEGER) AS outreach_rank, domain, pages, outreach_priority, {have('NOT ')} AS missing, executive_action FROM leads"),
     }
     found["phone_rules"] = found["phone_rules"].replace(" AS score FROM", f" AS score, CASE {_region} WHEN 0 THEN 'Invalid phone format' WHEN 100 THEN 'Valid NANP phone number, Alberta area code' WHEN 70 THEN 'Valid NANP phone number, Canadian area code' ELSE 'Valid NANP phone number, Non-local area code' END AS reasons FROM")
