@@ -4,7 +4,8 @@ Tokens beyond whole sequences leave a document one tail of 1 to `size` - 1 token
 histogram of tail lengths, `size` numbers, reaches the driver. There a linear program over
 patterns (how many tails of which lengths fill a sequence) is solved by column generation: the
 master program's dual prices value the lengths, and an unbounded knapsack by dynamic programming
-finds the pattern worth most, until none is worth clearly more than the sequence it takes. The patterns'
+finds the pattern worth most, until none is worth more than the sequence it takes, the lower bound
+proves the program to the whole sequence, or it has all but ceased to gain. The patterns'
 numbers are rounded down; what is left goes first-fit-decreasing into further patterns. Patterns
 with room to spare take cut tails: those of the emptiest patterns are dissolved and poured, in
 order, into the others' room.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import os
 import re
 import zlib
@@ -42,9 +44,11 @@ from .tokens import Words, vocabulary
 END_ID = 0
 #: Room below this stays padding: it isn't worth cutting tails for.
 SMALL = 8
-#: When to stop the linear program: the share of sequences that it is proven to be from the least number at most. Tails that are
-#: poured fill what is left.
-GAP = 6e-3
+#: What a pattern has to be worth beyond its sequence to count as a gain.
+GAIN = 1e-6
+#: The linear program ends when its own bound, rounded up, proves it. It ends as well when so many pricings in a row have taken
+#: less than this share off it, whatever its size: proofs of large programs take long in coming.
+PATIENCE, TAIL = 128, 1e-4
 #: Patterns that a pricing adds at most, and steps after which the inverse is made anew.
 COLUMNS, REFRESH = 32, 256
 #: The share of the best bound's prices in those that patterns are priced at.
@@ -106,8 +110,8 @@ def tokenised(docs: DataFrame, file: str | None, size: int, chunk_bytes: int) ->
 
 
 def best_patterns(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, list[np.ndarray]]:
-    """Unbounded knapsack by dynamic programming: the greatest price that fits; and patterns worth clearly more than
-    one sequence, each the best of those with some length, as a count for each length; the best first."""
+    """Unbounded knapsack by dynamic programming: the greatest price that fits; and patterns worth more than one
+    sequence, each the best of those with some length, as a count for each length; the best first."""
     best = np.zeros(size + 1)
     took = np.full(size + 1, -1)
     for room in range(1, size + 1):
@@ -122,7 +126,7 @@ def best_patterns(prices: np.ndarray, lengths: np.ndarray, size: int) -> tuple[f
     with_it = prices + best[size - lengths]
     found, seen = [], set()
     for first in np.argsort(-with_it, kind="stable").tolist():
-        if with_it[first] <= 1 + GAP / 4 or len(found) == COLUMNS:
+        if with_it[first] <= 1 + GAIN or len(found) == COLUMNS:
             break
         counts, room = np.zeros(len(lengths), np.int64), size - int(lengths[first])
         counts[first] = 1
@@ -160,18 +164,23 @@ def first_patterns(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
     return basis, use
 
 
+def rounded_up(sequences: float) -> int:
+    return math.ceil(sequences - 1e-6)
+
+
 def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[tuple[float, np.ndarray]], float]:
     """How often to use which pattern, fractions allowed, by the revised simplex method with generated columns; and
-    the lower bound on sequences that ends it: no plan is better than its number by more than the share GAP."""
+    the lower bound on sequences: no plan has fewer."""
     basis, use = first_patterns(lengths, demand, size)
     bound = float(demand @ lengths) / size  # no sequence holds more than size tokens
-    if use.sum() > bound * (1 + GAP):
+    if rounded_up(use.sum()) > rounded_up(bound):
         # Uses a little above zero keep steps from having no length.
         spread = 1e-6 * use.mean() * (1.5 + np.sin(np.arange(len(use))))
-        asked, use = demand + basis @ spread, use + spread
+        extra, asked, use = float(spread.sum()), demand + basis @ spread, use + spread
         inverse, done = np.linalg.inv(basis), 0
         center, weight = lengths / size, SMOOTH
-        while use.sum() > bound * (1 + GAP):
+        sums = [float(use.sum())]
+        while rounded_up(sums[-1] - extra) > rounded_up(bound) and (len(sums) <= PATIENCE or sums[-PATIENCE - 1] - sums[-1] > TAIL * sums[-1]):
             own = np.maximum(inverse.sum(axis=0), 0)  # every pattern costs one sequence
             # Priced between the basis's prices and those of the best bound, which swing less.
             prices = weight * center + (1 - weight) * own
@@ -182,7 +191,7 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
             moved = False
             for pattern in patterns:
                 way = inverse @ pattern
-                if way.sum() <= 1 + GAP / 8:  # after the other steps it gains nothing any more
+                if way.sum() <= 1 + GAIN:  # after the other steps it gains nothing any more
                     continue
                 ratio = np.where(way > 1e-7, use / np.where(way > 1e-7, way, 1), np.inf)
                 out = int(ratio.argmin())
@@ -200,6 +209,7 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
             if not moved and weight == 0:
                 break  # no pattern gains by the basis's own prices
             weight = SMOOTH if moved else 0.0
+            sums.append(float(use.sum()))
         use = np.maximum(np.linalg.solve(basis, demand), 0)
     return [(float(u), basis[:, j].round().astype(np.int64)) for j, u in enumerate(use)], bound
 

@@ -284,8 +284,8 @@ def test_packing_reaches_the_bound():
         histogram = {k: n for k in range(1, 1024) if (n := way(k))}
         lengths, demand = (np.array(x) for x in zip(*histogram.items(), strict=True))
         found, bound = packing.linear_program(lengths, demand.astype(float), 1024)
-        assert bound >= demand @ lengths / 1024 - 1e-6 and sum(n for n, _ in found) <= bound * (1 + packing.GAP)
-        assert sum(n for n, _ in packing.plan(histogram, 1024)) <= bound * (1 + packing.GAP) + 8
+        assert bound >= demand @ lengths / 1024 - 1e-6 and sum(n for n, _ in found) <= bound * 1.006
+        assert sum(n for n, _ in packing.plan(histogram, 1024)) <= bound * 1.006 + 8
 
 
 def test_top_k(spark):
