@@ -5,17 +5,22 @@ pieces of text (what stands between the tags of blocks). Per host, tokens that s
 equivalence class; the vectors are compared by two sums of page hashes, which partial aggregation
 adds up, so a host with a third of all pages is no group of any task. Classes that occur once in
 every page they are in, on at least half of the host's pages, and whose tokens keep their order,
-nest into the host's template: containers, which are its slots, and fixed texts. A fixed text is
-dropped wherever it stands, so only what varies between pages is left. Slots are weighed by their
-varying text. Names of elements are tie-breaks among the slots that are left: the slot named as the
-article's is taken if it holds half of the varying text at least, else all slots are; slots named as
-menus, notices and the like are left out, unless words of a class alone say so and nearly all of the
-varying text stands there.
-
-Copies of one page are no evidence: a text is fixed only if it is on SUPPORT unlike pages (by a
-lower bound). Defined results: a page of fixed texts alone has an empty text; a null or empty page has an empty text; a page whose url is null or has no host
-is taken by itself, as is a host's only page (tags alone lead there); repeated rows each get their text; markup cut off at
-the end of a page is dropped. Other columns are ignored.
+nest into the host's template: containers, which are its slots, and fixed texts. What a slot holds
+beyond fixed texts varies from page to page, and that leads to the article: from the page inwards,
+always into the slot that holds twice as much of what varies as all beside it, as long as one does.
+
+Names of elements break ties. A slot named as the article's is taken where no other that could be it
+varies twice as much (else all are); fixed texts in it stay, but for those of slots within that have nothing else.
+Elsewhere they go. Slots named as menus, notices and the like are left out, unless most of what varies
+stands there and nothing is named as the article's; readers' comments always are, if anything else
+varies.
+
+A text is fixed if it is on two unlike pages at least (by a lower bound), in a class of at least half of
+the pages, and if the slot it leads to is not mostly of such texts: pages that are copies of each other
+are no evidence. Defined results: a null or empty page has an empty text; a page whose url is null or
+has no host, the only page of a host, and one that lacks the template's slot are each their own
+template, of slots alone; repeated rows each get their text; markup cut off at the end of a page is
+dropped. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -44,10 +49,9 @@ PAGE_WORDS = frozenset("ad ads advert advertisement advertising sponsor sponsore
 MAIN_WORDS = frozenset("article content main post entry story".split())
 PAGE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 #: On so many unlike pages at least a text has to be to belong to the template.
-SUPPORT = 4
-#: The share of a host's varying text from which a slot is no aside, whatever its class is called.
-MOST = 0.8
+SUPPORT = 2
 
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?=[a-zA-Z/!?])(?:/?([a-zA-Z][^\s/>]*))?((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -319,30 +323,58 @@ def template(rows: list[tuple]) -> str:
             if not role.endswith("<"):
                 continue
             slots[role[:-1]] = held
-    slots = {p: held for p, held in slots.items() if "." in p or p.rsplit("/", 1)[-1] in CONTAINERS}
-    # What varies: a slot's text less the fixed texts in it.
-    vary = dict(slots)
-    for role, held in fixed.items():
-        path = role[role.index("/") :] if "/" in role else ""
-        for p in slots:
-            if within(path, p):
-                vary[p] -= held
-    outer = lambda found: [p for p in found if not any(p.startswith(q + "/") for q in found)]
+    slots = {p: held for p, held in slots.items() if "." in p or contains(p.rsplit("/", 1)[-1])}
+    place_of = lambda role: role[role.index("/") :] if "/" in role else ""
+
+    def varying(fixed: dict[str, int]) -> dict[str, int]:
+        found = dict(slots)
+        for role, held in fixed.items():
+            for p in slots:
+                if within(place_of(role), p):
+                    found[p] -= held
+        return found
+
+    main, named, kept = article(varying(fixed), slots)
+    if fixed and 2 * sum(n for r, n in fixed.items() if within(place_of(r), main)) > slots.get(main, sum(slots[p] for p in outer(slots))):
+        fixed = {r: n for r, n in fixed.items() if not within(place_of(r), main)}  # copies of each other
+        main, named, kept = article(varying(fixed), slots)
+    vary = varying(fixed)
+    empty = [p for p in slots if vary[p] <= 0 and p != main and within(p, main)]
+    gone = [r for r in fixed if not (named and within(place_of(r), main)) or any(within(place_of(r), p) for p in empty)]
+    return "\n".join(["*" + main, *sorted(p for p in slots if p != main), *("!" + p for p in sorted(kept)), *sorted(gone)])
+
+
+def outer(paths: Iterable[str]) -> list[str]:
+    known = set(paths)
+    return [p for p in known if not any(p.startswith(q + "/") for q in known)]
+
+
+def article(vary: dict[str, int], slots: Iterable[str]) -> tuple[str, bool, list[str]]:
+    """The article's slot ('' for the page), whether it is named so, and the slots around and in it that are no asides in spite of their names."""
     whole = sum(vary[p] for p in outer(slots))
-    asides = [p for p in slots if named_aside(p)]
-    tags = lambda p: any(part.split(".")[0] in SKIPPED for part in p.split("/"))
-    named = [p for p in slots if worth(p) > 0 and vary[p] > 0]
-    kept = [] if named else [p for p in asides if vary[p] > MOST * whole and not tags(p)]
-    plain = whole - sum(vary[p] for p in outer([p for p in asides if p not in kept]))
-    best = max(named, key=lambda p: (worth(p), vary[p], p), default=None)
-    lines = ["*" + p if p == best and 2 * vary[p] >= plain else p for p in sorted(slots)]
-    if best is not None and 2 * vary[best] < plain:
-        lines.append("*")
-    return "\n".join([*lines, *("!" + p for p in sorted(kept)), *sorted(fixed)])
+    asides = {p for p in slots if named_aside(p)}
+    told = lambda p, words: bool(words & set(p.rsplit("/", 1)[-1].split(".")[1:]))
+    comments = {p for p in asides if told(p, COMMENT_WORDS)}
+    around = lambda p, some: [q for q in some if within(p, q)]
+    large = {p for p in asides - comments if 2 * vary[p] > whole}
+    by_tag = {p for p in asides if p.rsplit("/", 1)[-1].split(".")[0] in SKIPPED or p.rsplit("/", 1)[-1].split(".")[0] == "header"}
+    free = [p for p in slots if vary[p] > 0 and not around(p, asides - large)]
+    named = [p for p in free if worth(p.rsplit("/", 1)[-1]) > 0 and p not in asides]
+    best = max(named, key=lambda p: (worth(p.rsplit("/", 1)[-1]), vary[p], p), default=None)
+    if best is not None:
+        others = [p for p in slots if vary[p] > 2 * vary[best] and not within(p, best) and not within(best, p) and not around(p, by_tag | comments)]
+        return (best, True, around(best, asides)) if not others else ("", False, around(best, asides))
+    kept = sorted(large)
+    left = [p for p in slots if not around(p, asides - set(kept))]
+    main, room = "", sum(vary[p] for p in outer(left))
+    while inside := [p for p in left if p != main and within(p, main) and 3 * vary[p] > 2 * room]:
+        main = min(inside, key=lambda p: (p.count("/"), -vary[p], p))
+        room = vary[main]
+    return main, False, kept
 
 
 class Form(NamedTuple):
-    """A host's template as extraction reads it. main: the article's slot, '' for all, None where none is named."""
+    """A host's template as extraction reads it. main: the article's slot, '' for all, None without a template."""
 
     main: str | None
     kept: frozenset
@@ -355,16 +387,23 @@ def form_of(text: str) -> Form:
     return Form(next((x[1:] for x in lines if x.startswith("*")), None), frozenset(x[1:] for x in lines if x.startswith("!")), frozenset(x for x in lines if x.startswith("#")))
 
 
-def worth(path: str) -> int:
+def worth(last: str) -> int:
     """How much a container looks like the article's: by its tag, role and marks. 0 and less: not at all."""
-    tag, *words = path.rsplit("/", 1)[-1].split(".")
-    if any(part.split(".")[0] in SKIPPED for part in path.split("/") if part):
+    tag, *words = last.split(".")
+    if tag in SKIPPED:
         return -1
     return 4 * (tag == "article" or "=articlebody" in words) + 2 * (tag == "main" or "=main" in words) + (tag in CONTAINERS and bool(MAIN_WORDS & set(words)))
 
 
+def own_form(page: str) -> Form:
+    """The template of a page that is taken by itself: its slots."""
+    return form_of(template([(role, 1, 0, 0, place, held, 1) for role, (n, place, held) in roles(page).items() if n == 1]))
+
+
 def extracted(page: str, form: Form) -> str:
-    """The blocks that vary in the article's slot, or in the page's likeliest container if the template names none."""
+    """The blocks that vary in the article's slot; of a page without a template, or without that slot, by the page's own."""
+    if form.main is None:
+        form = own_form(page)
     walk = Walk(form.kept)
     held: list[tuple[str, str, bool]] = []  # piece, path, whether it is a block's end
     opened = {""}
@@ -376,13 +415,13 @@ def extracted(page: str, form: Form) -> str:
         opened.add(walk.path)
         if token.name in BLOCKS:
             held.append(("", walk.path, True))
-    main = form.main
-    if main is None or main not in opened:
-        main = likeliest(held, bool(form.fixed))
+    if form.main not in opened:
+        own = own_form(page)
+        return extracted(page, own._replace(fixed=form.fixed if own.main in opened else own.fixed)) if own.main in opened else ""
     blocks, block = [], []
     for raw, path, ends in [*held, ("", "", True)]:
         if not ends:
-            if within(path, main):
+            if within(path, form.main):
                 block.append(raw)
         elif block:
             if text := " ".join(html.unescape("".join(block)).split()):
@@ -391,21 +430,6 @@ def extracted(page: str, form: Form) -> str:
     return "\n".join(blocks)
 
 
-def likeliest(held: list[tuple[str, str, bool]], deduced: bool) -> str:
-    """The container most like an article's by name; '' for all, and where a template has been deduced and most of the text stands outside."""
-    size: Counter = Counter()
-    for raw, path, _ in held:
-        if n := len(raw.strip()):
-            size[path] += n
-    sums: Counter = Counter()
-    for path, n in size.items():
-        parts = path.split("/")
-        for i in range(2, len(parts) + 1):
-            sums["/".join(parts[:i])] += n
-    best = max(sums, key=lambda p: (worth(p), sums[p], -len(p), p), default="")
-    return best if best and worth(best) > 0 and not (deduced and 2 * sums[best] < size.total()) else ""
-
-
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 

@@ -411,7 +411,7 @@ def test_html_template_leads(spark):
         rows.append((i, f"http://plain.example/{i}", f"<body><div class=c1><p>Our shop, open daily</div><div class=c2><h2>{own}</h2></div><div class=c3><p>{more}<p>Call us now</div></body>"))
         want[i] = f"{own}\n{plain}"
         rows.append((100 + i, f"http://inner.example/{i}", f"<body><article><h1>{own}</h1><p>{more}<p>Call us now<p>Call us now</article></body>"))
-        want[100 + i] = f"{own}\n{plain}"
+        want[100 + i] = f"{own}\n{plain}\nCall us now\nCall us now"  # what recurs in the article is the article's
         rows.append((200 + i, f"http://social.example/{i}", f"<body><div class='social page'><p>Join us</p><p>{own}</div></body>"))
         want[200 + i] = own
         rows.append((300 + i, f"http://teaser.example/{i}", f"<body><div class=c1><p>{own} {own} {own}</div><article><p>{plain[:9]}</article></body>"))
