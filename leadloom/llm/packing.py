@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import merges
-from .common import chunks, stored, whole_text
+from .common import chunks, numbered, whole_text
 from .tokens import Words, vocabulary
 
 END_ID = 0
@@ -294,7 +294,7 @@ class Plan:
 def pack(docs: DataFrame, size: int = 1024, tokenizer_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, bucket_rows: int = 128) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    coded = stored(tokenised(own, tokenizer_file, size, chunk_bytes), "tokens")
+    coded = numbered(tokenised(own, tokenizer_file, size, chunk_bytes), "row")
     rest = (F.col("tokens") % size).cast("int")
     tails = coded.withColumn("rest", rest).where("rest > 0")
     counts = {r["rest"]: r["n"] for r in tails.groupBy("rest").agg(F.count("*").alias("n")).collect()}  # size rows at most
@@ -302,10 +302,10 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer_file: str | None = None, i
     # Ranks within a length: by buckets of about bucket_rows rows, whose sizes are added up.
     spread = docs.sparkSession.createDataFrame([(k, -(-n // bucket_rows)) for k, n in counts.items()], "rest int, buckets bigint")
     dealt = tails.join(F.broadcast(spread), "rest")  # at most size rows
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tail"), F.col("buckets"))).select("doc_id", "tokens", "tail", "rest", "bucket")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).select("row", "doc_id", "tokens", "tail", "rest", "bucket")
     before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("rest", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("rest", "bucket").orderBy("doc_id", "tail")
+    within = Window.partitionBy("rest", "bucket").orderBy("row")
     ranked = dealt.withColumn("place", F.row_number().over(within) - 1).join(offsets, ["rest", "bucket"]).withColumn("rank", F.col("base") + F.col("place")).select("doc_id", "tokens", "tail", "rest", "rank")
     whole_rows, room_rows, poured_rows = made.whole, made.room, made.poured
 
