@@ -22,6 +22,7 @@ symbols are equally likely; other columns are ignored. Words are told apart by 6
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,22 +127,29 @@ def word_totals(words: DataFrame) -> DataFrame:
     """block, key, total of the words that several blocks have; and in rows without a block, sums over the rest:
     total (of all training tokens) and key (how many distinct words they are). words: block, key, n."""
 
+    names = ["block", "key", "total"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], 1) for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = np.concatenate(held)
-        held.clear()
-        rows = rows[np.argsort(rows[:, 1], kind="stable")]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]]))
-        totals, sizes = np.add.reduceat(rows[:, 2], first), np.diff(np.append(first, len(rows)))
-        several = np.repeat(sizes > 1, sizes)
-        names = ["block", "key", "total"]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[several, 0].astype(np.int32)), pa.array(rows[several, 1]), pa.array(np.repeat(totals, sizes)[several])], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([int((totals > 0).sum())], pa.int64()), pa.array([int(totals.sum())], pa.int64())], names)
-
-    # A word has at most one row for each block.
-    return words.select("block", "key", "n").repartition("key").mapInArrow(run, "block int, key bigint, total bigint")
+        n = v = 0
+        last = np.zeros((0, 3), np.int64)  # the rows of the word that may go on in the next batch
+        for batch in chain(batches, [None]):
+            rows = last if batch is None else np.concatenate([last, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)])
+            if not len(rows):
+                continue
+            cut = len(rows) if batch is None else int(np.searchsorted(rows[:, 1], rows[-1, 1]))
+            rows, last = rows[:cut], rows[cut:]
+            if not cut:
+                continue
+            first = np.flatnonzero(np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]]))
+            totals, sizes = np.add.reduceat(rows[:, 2], first), np.diff(np.append(first, cut))
+            n, v = n + int(totals.sum()), v + int((totals > 0).sum())
+            several = np.repeat(sizes > 1, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[several, 0].astype(np.int32)), pa.array(rows[several, 1]), pa.array(np.repeat(totals, sizes)[several])], names)
+        if v or n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([v], pa.int64()), pa.array([n], pa.int64())], names)
+
+    # A word has at most one row for each block; a task holds those of one word at a time.
+    return words.select("block", "key", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "block int, key bigint, total bigint")
 
 
 class Level:
