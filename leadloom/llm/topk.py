@@ -84,12 +84,16 @@ def best_of_block(queries: pa.Table, block: pa.Table, k: int, scale: int) -> pa.
     return pa.table({"query_row": pa.array(out_r, pa.int64()), "query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that queries tells, its k best among all others."""
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that queries tells, its k best among all others.
+
+    A task holds block_rows candidates and queries of about query_bytes; candidates go to as many groups as queries
+    fill, so the larger a group may be, the fewer copies of the candidates are sent out.
+    """
     all_rows = numbered(usable(vectors, queries, id_col, vector_col), "row")
     asked = all_rows.where("asked")
-    blocks = max(1, -(-vectors.count() // block_rows))
-    groups = max(1, -(-asked.count() // query_rows))
+    n, size = all_rows.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("asked"), 16 + 8 * F.size("v"))), F.lit(0))).first()
+    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-size // query_bytes))
     deal = lambda df, n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     units = lambda n: F.explode(F.array_repeat(F.lit(0), n)) if n == 1 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = all_rows.withColumn("block", deal(all_rows, blocks)).withColumn("group", units(groups))

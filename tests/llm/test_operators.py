@@ -294,7 +294,7 @@ def test_top_k(spark):
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
     rows += [(50, rows[3][1]), (50, rows[50][1]), (77, rows[50][1])]
     df = df.union(spark.createDataFrame([(i, v, 9) for i, v in rows[-3:]], df.schema))
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, query_rows=3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, query_bytes=300)
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(topk.exhaustive(rows, list(range(0, 400, 50)), 5))
     huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
