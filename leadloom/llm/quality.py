@@ -32,6 +32,8 @@ LOSS_STEPS = 100
 NEWTON_STEPS = 100
 #: Labels of a kind set aside, below which calibration takes the rows that the weights come from.
 LEAST_HELD = 10
+#: Texts that become features, and entries of those that are summed up, at a time.
+FEW, SLICE = 32, 1 << 20
 
 
 class Hashes(dict):
@@ -135,23 +137,33 @@ def calibrated(z: np.ndarray, y: np.ndarray, even: bool = False) -> tuple[float,
 
 
 def trained(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
-    """Weights, intercept, and Platt's slope and offset, from texts by sparse(); order tells which are set aside."""
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c, _ in rows])
+    """Weights, intercept, and Platt's slope and offset, from texts by sparse(); order tells which are set aside. Empties rows."""
+    n = len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c, _ in rows])
     col, value = np.concatenate([c for c, _ in rows]), np.concatenate([v for _, v in rows])
+    rows.clear()
+    slices = [slice(at, at + SLICE) for at in range(0, len(row), SLICE)]
+
+    def margins_of(weights: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row[s], weights[col[s]] * value[s], n) for s in slices), np.zeros(n))
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(col[s], error[row[s]] * value[s], 1 << bits) for s in slices), np.zeros(1 << bits))
+
     held = set_aside(good, order)
     fit = ~held
     share = np.where(good, 0.5 / max(1, (good & fit).sum()), 0.5 / max(1, (~good & fit).sum())) * fit
     weights, intercept = np.zeros(1 << bits, np.float32), 0.0
     seen, seen0 = np.full(1 << bits, 1e-8, np.float32), 1e-8
     for _ in range(LOSS_STEPS):  # Adagrad on the balanced logistic loss
-        z = np.bincount(row, weights[col] * value, len(rows)) + intercept
+        z = margins_of(weights) + intercept
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        step = (np.bincount(col, error.astype(np.float32)[row] * value, 1 << bits) + 1e-7 * weights).astype(np.float32)
+        step = (gradient(error.astype(np.float32)) + 1e-7 * weights).astype(np.float32)
         seen += step * step
         seen0 += error.sum() ** 2
         weights -= 2.0 * step / np.sqrt(seen)
         intercept -= 0.2 * error.sum() / np.sqrt(seen0)
-    z = np.bincount(row, weights[col] * value, len(rows)) + intercept
+    z = margins_of(weights) + intercept
     use = held if held.any() else fit
     return np.concatenate([weights, [intercept, *calibrated(z[use], good[use], not held.any())]])
 
@@ -167,17 +179,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, bits: int =
     rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text"))
 
     def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [sparse(t, bits, chars) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), *(pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1))], ["doc_id", "good", "cols", "shares"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, FEW):
+                b = whole.slice(at, FEW)
+                own = [sparse(t, bits, chars) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), *(pa.array([x[i].tobytes() for x in own], pa.binary()) for i in (0, 1))], ["doc_id", "good", "cols", "shares"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((x for b in batches for x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "good", "cols", "shares")), strict=True)), key=lambda x: x[:2])
-        good = np.array([g == 1 for _, g, _, _ in got], bool)
+        got = []
+        for b in batches:
+            arrays = [[np.frombuffer(x.as_buffer(), t).copy() for x in b.column(c)] for c, t in (("cols", np.int32), ("shares", np.float32))]
+            got += zip(b.column("doc_id").to_pylist(), b.column("good").to_pylist(), *arrays, strict=True)
+        got.sort(key=lambda x: x[:2])
+        good = np.array([x[1] == 1 for x in got], bool)
         if len(set(good.tolist())) < 2:
             return
-        order = np.array([xxhash.xxh3_64_intdigest(str(i)) for i, _, _, _ in got], np.uint64)
-        model = trained([(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for _, _, c, v in got], good, order, bits)
+        order = np.array([xxhash.xxh3_64_intdigest(str(x[0])) for x in got], np.uint64)
+        rows_ = [x[2:] for x in got]
+        got.clear()
+        model = trained(rows_, good, order, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.astype(np.float32).tobytes()], pa.binary())], ["model"])
 
     own = rows.mapInArrow(featurised, "doc_id bigint, good int, cols binary, shares binary")
