@@ -63,5 +63,5 @@ FREE_HOSTS = ["gmail.com", "hotmail.com", "outlook.com", "yahoo.com"]
 ROLE_LOCALS = ["info", "contact", "office", "director", "owner", "manager"]
 # Telephone area codes. The regional list has four that the ranking list lacks.
 HOME_AREAS = ["403", "587", "780", "825"]
-RANKED_AREAS = "204 236 249 250 289 306 343 365 403 416 418 431 437 438 450 506 514 519 548 579 581 587 604 613 639 647 705 709 778 780 782 807 819 825 867 873 879 902 905".split()
-REGION_AREAS = sorted([*RANKED_AREAS, "226", "367", "387", "742"])
+RANKED_AREAS = ["204", "236", "249", "250", "289", "306", "343", "365", "403", "416", "418", "431", "437", "438", "450", "506", "514", "519", "548", "579", "581", "587", "604", "613", "639", "647", "705", "709", "778", "780", "782", "807", "819", "825", "867", "873", "879", "902", "905"]
+REGION_AREAS = ["204", "226", "236", "249", "250", "289", "306", "343", "365", "367", "387", "403", "416", "418", "431", "437", "438", "450", "506", "514", "519", "548", "579", "581", "587", "604", "613", "639", "647", "705", "709", "742", "778", "780", "782", "807", "819", "825", "867", "873", "879", "902", "905"]
