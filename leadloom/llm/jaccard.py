@@ -301,8 +301,10 @@ def joined(plain: DataFrame, words: int, percent: int, pivots: int = 1, chunk_by
         raise ValueError("the size bands hold for a similarity of 80 percent or more")
     survey = stored(surveyed(plain.select("row", "doc_id", "text"), words, chunk_bytes), "survey")
     common = survey.where("sig IS NOT NULL").groupBy("sig").agg(F.sum("times").alias("times")).where("times > 7").orderBy(F.desc("times"), "sig").limit(COMMON)
-    top = sorted((r["sig"] % 2**64, r["times"]) for r in common.collect())  # COMMON rows at most
-    ordered = (np.array([s for s, _ in top], np.uint64).tobytes(), np.array([t for _, t in top], np.int64).tobytes())
+    top = common.toArrow()  # COMMON rows at most, as columns
+    sigs, times = top.column("sig").to_numpy().view(np.uint64), top.column("times").to_numpy().astype(np.int64)
+    order = np.argsort(sigs)
+    ordered = (sigs[order].tobytes(), times[order].tobytes())
     of_docs = survey.where("n IS NOT NULL").select("row", "doc_id", "n", "k", "sketch", "f0", "f1")
     classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("f0").alias("f0"), F.max("f1").alias("f1")), "classes")
     members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared"), classes), "members")

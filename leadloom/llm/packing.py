@@ -177,7 +177,7 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
         # Uses a little above zero keep steps from having no length.
         spread = 1e-6 * use.mean() * (1.5 + np.sin(np.arange(len(use))))
         extra, asked, use = float(spread.sum()), demand + basis @ spread, use + spread
-        inverse, done = np.linalg.inv(basis), 0
+        inverse, change, done = np.linalg.inv(basis), np.empty_like(basis), 0
         center, weight = lengths / size, SMOOTH
         sums = [float(use.sum())]
         while rounded_up(sums[-1] - extra) > rounded_up(bound) and (len(sums) <= PATIENCE or sums[-PATIENCE - 1] - sums[-1] > TAIL * sums[-1]):
@@ -200,7 +200,7 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[
                 use[out] = step
                 basis[:, out] = pattern
                 pivot = inverse[out] / way[out]
-                inverse -= np.outer(way, pivot)
+                inverse -= np.multiply.outer(way, pivot, out=change)
                 inverse[out] = pivot
                 done += 1
                 if done % REFRESH == 0:
