@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Upper to lower case for A-Z alone, as the contracts have it.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of the lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/leadloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Writes df to the shared folder and reads it back: a cut of the lineage that survives lost executors.
+
+    Nothing reads the shuffle files of that write again, so they go when it ends.
+    """
+    conf, path = df.sparkSession.conf, f"{shared_dir(df.sparkSession)}/leadloom/{name}-{uuid.uuid4().hex}"
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the stored tables that these read, and nothing else; no result that is still to be computed may read them."""
+    for df in tables:
+        if df is None:
+            continue
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if re.search(r"/leadloom/[a-z]+-[0-9a-f]{32}$", folder):
+                path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df, stored, with a number of its own for each row. As it is stored with the rows, it stays when tasks are run again."""
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

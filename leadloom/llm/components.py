@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,7 +21,8 @@ def labels(edges: DataFrame) -> DataFrame:
     """node, label for every vertex of the edges (a, b): the least vertex it reaches."""
     now, before = stored(edges.select("a", "b").where("a != b").distinct(), "edges"), None
     while True:
-        now = stored(star(star(now, True), False), "stars")
+        old, now = now, stored(star(star(now, True), False), "stars")
+        discard(old)
         # Equal sums of hashes over as many edges: nothing moved.
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:

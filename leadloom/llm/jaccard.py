@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, numbered, stored, whole_text
+from .common import LOWER, chunks, discard, numbered, stored, whole_text
 from .components import labels
 
 GOLD, FMIX1, FMIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -291,12 +291,17 @@ def nearer(known: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def join_near(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id that links lead to)."""
-    own = docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text"))
-    return joined(numbered(own, "row"), words, percent, pivots, chunk_bytes).select("doc_id", "n_shingles", "component_id")
+    own = numbered(docs.select(docs[id_col].cast("bigint").alias("doc_id"), whole_text(text_col).alias("text")), "row")
+    found = joined(own, words, percent, pivots, chunk_bytes)
+    discard(own)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def joined(plain: DataFrame, words: int, percent: int, pivots: int = 1, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """row, doc_id, n_shingles, component_id of the rows of plain: row (its number), doc_id, text."""
+    """row, doc_id, n_shingles, component_id of the rows of plain: row (its number), doc_id, text.
+
+    The result is stored, and what was stored on the way is deleted as soon as nothing reads it.
+    """
     if percent < 80:
         raise ValueError("the size bands hold for a similarity of 80 percent or more")
     survey = stored(surveyed(plain.select("row", "doc_id", "text"), words, chunk_bytes), "survey")
@@ -307,14 +312,18 @@ def joined(plain: DataFrame, words: int, percent: int, pivots: int = 1, chunk_by
     ordered = (sigs[order].tobytes(), times[order].tobytes())
     of_docs = survey.where("n IS NOT NULL").select("row", "doc_id", "n", "k", "sketch", "f0", "f1")
     classes = stored(of_docs.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("f0").alias("f0"), F.max("f1").alias("f1")), "classes")
-    members = stored(with_lone(stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared"), classes), "members")
+    shared = stored(shared_only(prefixes(plain, words, ordered, chunk_bytes)), "shared")
+    members = stored(with_lone(shared, classes), "members")
+    discard(shared)
     links: DataFrame | None = None
     sets: DataFrame | None = None
     known: DataFrame | None = None
     while True:
         marked = members.withColumn("label", F.col("k")) if known is None else members.join(known, "k", "left").withColumn("label", F.coalesce("label", "k"))
-        pairs, members = candidates(marked, pivots)
-        pairs = stored(near_by_sketch(pairs, classes), "pairs")
+        met, rest = candidates(marked, pivots)
+        discard(members)
+        members = rest
+        pairs = stored(near_by_sketch(met, classes), "pairs")
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("k"), "k", "left_anti")
@@ -322,21 +331,28 @@ def joined(plain: DataFrame, words: int, percent: int, pivots: int = 1, chunk_by
         if not wanted.isEmpty():
             more = stored(set_table(plain.select("row", "text"), wanted, words), "sets")
             sets = more if sets is None else sets.union(more)
+        discard(wanted)
         if sets is not None and not pairs.isEmpty():
             near = stored(verified(pairs, sets, percent), "links")
             if not near.isEmpty():
                 links = near if links is None else links.union(near)
-                known = stored(nearer(nearer(None, links), links), "labels")
+                old, known = known, stored(nearer(nearer(None, links), links), "labels")
+                discard(old)
+        discard(pairs)
         if members.isEmpty():
             break
         pivots *= 8
+    discard(members, sets, known)
     found = None if links is None else labels(links)
     least = classes.select("k", "doc_id") if found is None else classes.join(found.select(F.col("node").alias("k"), "label"), "k", "left").select("k", "doc_id", F.coalesce("label", "k").alias("label"))
     if found is not None:
         lowest = least.groupBy("label").agg(F.min("doc_id").alias("lowest"))
         least = least.join(lowest, "label").select("k", F.col("lowest").alias("doc_id"))
     named = least.select(F.col("k").alias("_k"), F.col("doc_id").alias("component"))
-    return of_docs.join(named, F.col("k") == F.col("_k"), "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    whole = of_docs.join(named, F.col("k") == F.col("_k"), "left")
+    result = stored(whole.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "components")
+    discard(survey, classes, links, found)
+    return result
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,8 +364,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     row = "_leadloom_row"
     own = numbered(docs, row)
     plain = own.select(F.col(row).alias("row"), F.col(row).alias("doc_id"), whole_text(text_col).alias("text"))
-    found = joined(plain, words, percent).select(F.col("row").alias("_r"), "component_id")
+    components = joined(plain, words, percent)
+    found = components.select(F.col("row").alias("_r"), "component_id")
     id_, text = own[id_col].cast("bigint"), F.xxhash64(whole_text(text_col))
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), text.alias("h"), F.col(row).alias("r"))
     first = own.select(F.col(row), order.alias("o")).join(found, F.col(row) == F.col("_r")).groupBy("component_id").agg(F.min("o")["r"].alias("_kept"))
+    first = stored(first.select("_kept"), "kept")
+    discard(components)
     return own.join(first, F.col(row) == F.col("_kept"), "left_semi").drop(row)
