@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, joined_by_count, numbered, stored, whole_text
+from .common import chunks, discard, joined_by_count, numbered, stored, whole_text
 
 GRAM = 32
 #: Contexts of an anchor in a shard; an anchor with more is dealt over several.
@@ -278,11 +278,15 @@ def merged(shards: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) -> DataFrame:
-    """rid, spans: the runs of repeated window starts of each document that has one. docs has rid, text."""
+    """rid, spans: the runs of repeated window starts of each document that has one. docs has rid, text.
+
+    The result is stored, and what was stored on the way is deleted as soon as nothing reads it.
+    """
     found = stored(anchors(docs, length, chunk_bytes), "anchors")
     total = found.count()
     times = stored(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "times")
     again = stored(joined_by_count(found, times, ["h"], "times", total).drop("times"), "contexts")
+    discard(found, times)
     place = F.struct("rid", "first", "last")
     kinds = stored(again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("twin")), "kinds")
     many = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
@@ -305,11 +309,15 @@ def covered(docs: DataFrame, length: int, chunk_bytes: int, shard_bytes: int) ->
 
     pieces = docs.join(per_text, "rid").select("text", "asked").mapInArrow(cut, "h bigint, c bigint, salt bigint, n bigint, bytes binary")
     results = stored(sharded(pieces, length, shard_bytes, buckets), "suffixes")
+    discard(kinds, many)
     runs = results.where("bucket IS NULL").select("h", "c", "n", "a", "b")
     if hot:
         runs = stored(runs.union(merged(results.where("bucket IS NOT NULL").select("bucket", "windows"))), "runs")
     hits = joined_by_count(again, runs, ["h", "c"], "n", total)
-    return hits.groupBy("rid").agg(F.collect_set(F.struct((F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last"))).alias("spans"))
+    spans = F.collect_set(F.struct((F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("last")))
+    done = stored(hits.groupBy("rid").agg(spans.alias("spans")), "spans")
+    discard(again, results, runs)
+    return done
 
 
 def kept_parts(text: bytes, spans: list[dict] | None, length: int) -> tuple[list[bytes], int]:

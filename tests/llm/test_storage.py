@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import jaccard
+from leadloom.llm import jaccard, substrings
 from leadloom.llm.common import discard, shared_dir, stored
 
 random.seed(5)
@@ -43,7 +43,7 @@ def test_discard_deletes_what_was_stored_alone(spark, tmp_path):
     assert given.count() == two.count() == 3
 
 
-@pytest.mark.parametrize(("run", "left"), [(jaccard.join_near, {"components"}), (jaccard.keep_one, {"numbered", "kept"})])
+@pytest.mark.parametrize(("run", "left"), [(jaccard.join_near, {"components"}), (jaccard.keep_one, {"numbered", "kept"}), (substrings.dedup, {"numbered", "spans"}), (substrings.dedup_report, {"numbered", "spans"})])
 def test_operators_leave_what_their_result_reads(spark, run, left):
     """Copies, near copies in a chain, large groups and repeats, so that every kind of table is made."""
     first, passage = prose(200).split(), prose(120)
