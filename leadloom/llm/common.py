@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Spark's setting by which the shuffle files of an execution go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits that tell rows apart before an exact join, 2 MB.
+MARKS = 1 << 24
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,20 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str, marks: int = MARKS) -> DataFrame:
+    """The rows whose key, a bigint, is not in the table gone (that column alone).
+
+    Every key of gone sets one of so many bits by its hash; the bits are broadcast, marks / 64 integers at most. Rows
+    whose bit is unset stay where they are read, and the others alone go through the join that decides.
+    """
+    slot = f"pmod(xxhash64(`{key}`), {marks}L)"
+    words = gone.selectExpr(f"{slot} DIV 64 AS _leadloom_word", f"shiftleft(1L, CAST({slot} % 64 AS INT)) AS bit").groupBy("_leadloom_word").agg(F.bit_or("bit").alias("_leadloom_bits"))
+    marked = rows.join(F.broadcast(words), F.expr(f"{slot} DIV 64 = _leadloom_word"), "left")
+    found = F.expr(f"coalesce(shiftright(_leadloom_bits, CAST({slot} % 64 AS INT)) & 1L, 0L) = 1")
+    asked = marked.where(found).drop("_leadloom_word", "_leadloom_bits")
+    return marked.where(~found).drop("_leadloom_word", "_leadloom_bits").union(asked.join(gone.toDF("_leadloom_gone"), F.expr(f"`{key}` = _leadloom_gone"), "left_anti"))
+
+
 def joined_by_count(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """The inner join of two stored tables by keys, where counts.n of the total rows have a key.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, discard, numbered, stored, whole_text
+from .common import LOWER, chunks, discard, numbered, stored, whole_text, without
 from .components import labels
 
 GOLD, FMIX1, FMIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -359,7 +359,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """One row of each component, the first by id (null last) and content; all columns as they were.
 
     Rows are told apart by a number of their own, stored with them, so rows that repeat an id, or have
-    none, are decided one by one. A row without shingles stays.
+    none, are decided one by one. A row without shingles stays. Rows that stay are not
+    shuffled, but for some whose number shares a bit with that of a row that goes.
     """
     row = "_leadloom_row"
     own = numbered(docs, row)
@@ -369,6 +370,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     id_, text = own[id_col].cast("bigint"), F.xxhash64(whole_text(text_col))
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), text.alias("h"), F.col(row).alias("r"))
     first = own.select(F.col(row), order.alias("o")).join(found, F.col(row) == F.col("_r")).groupBy("component_id").agg(F.min("o")["r"].alias("_kept"))
-    first = stored(first.select("_kept"), "kept")
+    kept = found.select("_r").join(first.select("_kept"), F.col("_r") == F.col("_kept"), "left")
+    kept = stored(kept.select(F.col("_r").alias(row), F.col("_kept").isNotNull().alias("stays")), "kept")
     discard(components)
-    return own.join(first, F.col(row) == F.col("_kept"), "left_semi").drop(row)
+    return without(own, kept.where("NOT stays").select(row), row).drop(row)

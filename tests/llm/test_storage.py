@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadloom.llm import jaccard, substrings
-from leadloom.llm.common import discard, shared_dir, stored
+from leadloom.llm.common import discard, shared_dir, stored, without
 
 random.seed(5)
 
@@ -54,3 +54,29 @@ def test_operators_leave_what_their_result_reads(spark, run, left):
     found = run(docs)
     assert {t.partition("-")[0] for t in tables(spark) - before} == left
     assert found.count() == (len(texts) if run is not jaccard.keep_one else 8)
+
+
+def test_keep_one_shuffles_texts_of_copies_alone(spark):
+    """Also where the table of what stays is too large to be broadcast."""
+    texts = [" ".join(f"{random.getrandbits(60):x}" for _ in range(1500)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:3]])), "doc_id bigint, text string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found, before = jaccard.keep_one(docs), shuffled(spark)
+        ids = sorted(r["doc_id"] for r in found.select("doc_id", "text").collect())
+        moved = sum(os.path.getsize(f) for f in shuffled(spark) - before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ids == list(range(60))
+    assert moved < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("marks", [64, 128, 1 << 24])
+def test_without_is_exact_however_few_the_bits(spark, marks):
+    rows = spark.createDataFrame([(None if i % 4 else f"t{i}", i << 33, i) for i in [*range(-100, 300), 7, 7]], "`te.xt` string, row bigint, bits int")
+    gone = spark.createDataFrame([(i << 33,) for i in range(0, 400, 7)], "row bigint")
+    left = without(rows, gone, "row", marks)
+    assert left.columns == rows.columns
+    assert sorted(r["bits"] for r in left.collect()) == [i for i in range(-100, 300) if i < 0 or i % 7]
+    assert without(rows, gone.limit(0), "row", marks).count() == 402
